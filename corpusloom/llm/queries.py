@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op8_bpe": bpe.query,
+    "op10_mixing": mixing.query,
+}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op10_mixing": mixing.oracle(),
 }
-ORACLES = {"op3_exact_dedup": exact_dedup.SQL}
