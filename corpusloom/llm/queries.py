@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, resharding
+from . import bpe, exact_dedup, mixing, quality, resharding
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op4_quality": quality.query,
     "op7_resharding": resharding.query,
     "op8_bpe": bpe.query,
     "op10_mixing": mixing.query,
