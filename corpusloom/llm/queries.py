@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, resharding
+from . import audio, bpe, exact_dedup, mixing, quality, resharding
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op4_quality": quality.query,
     "op7_resharding": resharding.query,
     "op8_bpe": bpe.query,
+    "op9_audio": audio.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
