@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, mixing, quality, resharding, simhash
+from . import audio, bpe, exact_dedup, mixing, quality, resharding, simhash, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op4_quality": quality.query,
+    "op5_warc": warc.query,
     "op6_simhash": simhash.query,
     "op7_resharding": resharding.query,
     "op8_bpe": bpe.query,
