@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, line_dedup, mixing, quality, resharding, simhash, warc
+from . import audio, bpe, exact_dedup, line_dedup, mixing, quality, resharding, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_quality": quality.query,
     "op5_warc": warc.query,
