@@ -124,17 +124,19 @@ def without_one(line: bytes) -> np.ndarray:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, did (last if null), tie (a hash of the text), text compressed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("text", pa.binary())])
+    """doc_id, did (last if null), tie (a hash of the text), text compressed, and rest_: the row's other columns."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    plain = docs.select(F.struct(*rest).alias("rest_"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
-    def rows(batches):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield doc_id, LAST if doc_id is None else doc_id, tie(text), zstd.compress(text)
+            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            dids = pa.array([LAST if i is None else i for i in ids], pa.int64())
+            columns = [batch.column(0), batch.column(1), dids, pa.array(map(tie, texts), pa.int32()), pa.array(map(zstd.compress, texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rest_", "doc_id", "did", "tie", "text"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return plain.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[3]) + 40), "doc_id long, did long, tie int, text binary")
+    return plain.mapInArrow(pack, f"rest_ {plain.schema['rest_'].dataType.simpleString()}, doc_id long, did long, tie int, text binary")
 
 
 def tie(text: bytes) -> int:
@@ -269,7 +271,7 @@ def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, did, tie, text (what is left, bytes), n_lines, n_removed, links of every row.
+    """rest_ (the other columns of docs), doc_id, did, tie, text (what is left, bytes), n_lines, n_removed, links of every row.
 
     links: (line, other_doc, other_line) of each link of a line that first occurs in this document.
     """
@@ -281,21 +283,37 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     kept = reps.select(*SPOT).join(gone, list(SPOT), "left_anti").groupBy("did", "tie").agg(F.collect_list("line").alias("kept"))
     ends = [found.select(*[F.col(f"{s}_{c}").alias(c) for c in SPOT], F.struct(F.col(f"{s}_line").alias("line"), F.nullif(F.col(f"{o}_did"), F.lit(LAST)).alias("other_doc"), F.col(f"{o}_line").alias("other_line")).alias("link")) for s, o in ("ab", "ba")]
     linked = ends[0].unionByName(ends[1]).groupBy("did", "tie").agg(F.array_sort(F.collect_list("link")).alias("links"))
-    schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("text", pa.binary()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
-    def rows(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for doc_id, did, tie_, text, keep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines, keep = zstd.decompress(text).split(b"\n"), set(keep or ())
-                left = [line for k, line in enumerate(lines) if k in keep or not line.strip()]
-                yield doc_id, did, tie_, b"\n".join(left), len(lines), len(lines) - len(left)
-
-    done = texts.join(kept, ["did", "tie"], "left").select("doc_id", "did", "tie", "text", "kept")
-    left = done.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[3]) + 60), "doc_id long, did long, tie int, text binary, n_lines long, n_removed long")
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.slice(start, 512)
+                left, lines, gone = [], [], []
+                for text, keep in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                    every, keep = zstd.decompress(text).split(b"\n"), set(keep or ())
+                    stay = [line for k, line in enumerate(every) if k in keep or not line.strip()]
+                    left.append(b"\n".join(stay))
+                    lines.append(len(every))
+                    gone.append(len(every) - len(stay))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(left, pa.binary()), pa.array(lines), pa.array(gone)], ["rest_", "doc_id", "did", "tie", "text", "n_lines", "n_removed"])
+
+    done = texts.join(kept, ["did", "tie"], "left").select("rest_", "doc_id", "did", "tie", "text", "kept")
+    kind = done.schema["rest_"].dataType.simpleString()
+    left = done.mapInArrow(rows, f"rest_ {kind}, doc_id long, did long, tie int, text binary, n_lines long, n_removed long")
     return left.join(linked, ["did", "tie"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<line:int,other_doc:bigint,other_line:int>>")))
 
 
+def deduped_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs with the text that is left; a document all of whose lines went (they stand elsewhere) goes."""
+    found = line_dedup(docs).where("n_removed < n_lines OR n_lines = 0 OR length(text) > 0")
+    text = F.col("text").cast("string")
+    columns = {c: F.col(f"rest_.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.size("links").cast("long").alias("n_links"), F.sha2("text", 256).alias("kept_sha256"), "links")

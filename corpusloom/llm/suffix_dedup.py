@@ -386,7 +386,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = plain.mapInArrow(lambda b: find_anchors(b, hot), _SQL).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: settle(b, hot), "did long, tie int, act long")
     # rows of equal doc_id and text say the same: once each
     acts = found.repartition(parts, *spot).groupBy(*spot).agg(F.collect_set("act").alias("acts"))
-    texts = packed(docs).repartition(parts, *spot)
+    texts = packed(docs.select("doc_id", "text")).drop("rest_").repartition(parts, *spot)
     asked = F.filter("acts", lambda a: a.bitwiseAND(F.lit(7)) >= WINDOWS)
     asks = texts.join(acts.select(*spot, asked.alias("asked")).where("size(asked) > 0"), spot).select(*spot, "text", "asked").dropDuplicates(spot)
     contexts = asks.mapInArrow(cut_contexts, "key long, did long, tie int, act long, bytes binary")
