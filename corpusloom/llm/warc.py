@@ -159,8 +159,10 @@ def planned(pages: DataFrame) -> DataFrame:
 
 def dictionary_of(pages: DataFrame, records: int = 400, most: int = 64 << 10) -> bytes:
     """Trained on at most `records` records of at most `most` bytes of html, those with the smallest hash of the page_id."""
-    some = pages.where(F.octet_length("html") <= most).select("page_id", "url", F.col("html").cast("binary").alias("html")).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(records)
-    return train([record(r.page_id, r.url, bytes(r.html), None) for r in some.collect()])
+    some = pages.where(F.octet_length("html") <= most).select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
+    ids = [r.page_id for r in some.select("page_id").dropDuplicates(["page_id"]).orderBy(F.xxhash64("page_id"), "page_id").limit(records).collect()]
+    wanted = some.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("r")).select("page_id", "r.*")
+    return train([record(r.page_id, r.url, bytes(r.html), None) for r in wanted.orderBy("page_id").collect()])
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
