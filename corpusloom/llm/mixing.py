@@ -23,9 +23,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 LEVELS = ("domain", "language", "source")
+#: Leaves up to this number go to every task; more are joined by shuffles, with hot leaves salted.
+BROADCAST_LEAVES, SALTS = 20_000, 32
 
 
 @dataclass(frozen=True)
@@ -107,10 +109,19 @@ def order_hash(plan: Mixture, epoch: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{plan.seed}:"), epoch.cast("string"), F.lit(":"), F.col("id_")).cast("binary"))
 
 
+def with_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows, each beside its leaf's row; leaves is a stored table."""
+    if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id_", "tokens"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt_", salt).join(salted, [*LEVELS, "salt_"]).drop("salt_")
+
+
 def cutoffs(rows: DataFrame, plan: Mixture) -> DataFrame:
     """quotas() and, for each leaf, the order hash at which its prefix in the partial epoch ends (null: it takes none)."""
-    found = quotas(rows, plan)
-    keyed = rows.select(*LEVELS, "id_", "tokens").join(found, list(LEVELS)).withColumn("hash", order_hash(plan, F.col("full"))).withColumn("range", F.substring("hash", 1, plan.digits))
+    found = materialise(quotas(rows, plan), "quotas")
+    keyed = with_leaves(rows.select(*LEVELS, "id_", "tokens"), found).withColumn("hash", order_hash(plan, F.col("full"))).withColumn("range", F.substring("hash", 1, plan.digits))
     ranges = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.max("hash").alias("last"))
     upto = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("range"))
     ranges = ranges.withColumn("upto", upto)
@@ -134,7 +145,7 @@ def mix(docs: DataFrame, plan: Mixture | None = None) -> DataFrame:
     rows = labelled(docs)
     taken = F.col("hash") <= F.col("cutoff")
     return (
-        rows.join(cutoffs(rows, plan), list(LEVELS))
+        with_leaves(rows, materialise(cutoffs(rows, plan), "cutoffs"))
         .withColumn("hash", order_hash(plan, F.col("full")))
         .withColumn("copies", F.col("full") + F.when(taken, 1).otherwise(0))
         .where("copies > 0")
