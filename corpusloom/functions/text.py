@@ -44,7 +44,7 @@ def casefold(x: Column) -> Column:
 
 def normalize_label(x: Column) -> Column:
     """Edge punctuation off, accents off, case folded, white space collapsed."""
-    return collapse_ws(casefold(strip_accents(F.regexp_replace(x, r"(?U)^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""))))
+    return collapse_ws(casefold(strip_accents(F.regexp_replace(x, r"^[\s!-/:-@\[-`{-~]+|[\s!-/:-@\[-`{-~]+$", ""))))
 
 
 def escape_regex(x: Column) -> Column:
@@ -69,8 +69,8 @@ def locate_quote(text: Column, quote: Column) -> Column:
 
 
 def slug(x: Column, most: int = 48) -> Column:
-    dashed = F.trim(F.lit("-"), F.regexp_replace(F.lower(F.regexp_replace(strip_accents(x), r"[^\x00-\x7F]", "")), r"[^a-z0-9]+", "-"))
-    return F.trim(F.lit("-"), F.substring(dashed, 1, most))
+    dashed = F.trim(F.regexp_replace(F.lower(F.regexp_replace(strip_accents(x), r"[^\x00-\x7F]", "")), r"[^a-z0-9]+", "-"), F.lit("-"))
+    return F.trim(F.substring(dashed, 1, most), F.lit("-"))
 
 
 def first_line(x: Column) -> Column:
@@ -91,7 +91,7 @@ def match_query(x: Column) -> Column:
 
 
 def _every(x: Column, pattern: str, group: int = 1) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), F.trim), lambda v: F.length(v) > 0))
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), lambda v: F.trim(v)), lambda v: F.length(v) > 0))
 
 
 def urls(x: Column) -> Column:
@@ -130,7 +130,11 @@ def paths(x: Column) -> Column:
 def language_scores(x: Column) -> Column:
     """map of language to the number of its stop words among the tokens."""
     tokens = F.regexp_extract_all(casefold(x), F.lit(r"([\p{L}]+)"), F.lit(1))
-    return F.create_map(*[c for lang, words in STOPWORDS.items() for c in (F.lit(lang), F.size(F.filter(tokens, lambda t, w=words: t.isin(w))))])
+    return F.create_map(*[c for lang, words in STOPWORDS.items() for c in (F.lit(lang), F.size(F.filter(tokens, _one_of(words))))])
+
+
+def _one_of(words: list[str]):
+    return lambda token: token.isin(words)
 
 
 def detect_language(x: Column) -> Column:
@@ -152,7 +156,7 @@ def event_time(front: Column, path: Column, fallback: Column) -> Column:
 
 
 def normalise_path(x: Column) -> Column:
-    return F.trim(F.lit("/"), F.translate(x, "\\", "/"))
+    return F.trim(F.translate(x, "\\", "/"), F.lit("/"))
 
 
 def sanitise_extension(x: Column) -> Column:
@@ -163,19 +167,24 @@ def sanitise_extension(x: Column) -> Column:
 def trigram_embedding(x: Column, dimensions: int = 64) -> Column:
     """Hashed character trigrams of the folded text, padded by two spaces, as a unit vector."""
     padded = F.concat(F.lit("  "), casefold(x), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    grams = let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
     buckets = F.transform(grams, lambda g: F.conv(F.substring(F.sha2(g, 256), 1, 8), 16, 10).cast("long") % dimensions)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    counts = let(buckets, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(all_, lambda b: b == d)).cast("double")))
     return l2_normalise(counts)
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x evaluated once, however often body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def l2_normalise(a: Column) -> Column:
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+    """The unit vector; a zero vector stays."""
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda e: F.when(norm > 0, e / norm).otherwise(F.lit(0.0)))))
 
 
 def cosine(a: Column, b: Column) -> Column:

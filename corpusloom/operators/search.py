@@ -55,4 +55,5 @@ def rrf(lexical: DataFrame, semantic: DataFrame, limit: int = 10, key: str = "id
     both = a.join(b, ["qid", key], "full_outer")
     score = F.coalesce(1 / (RRF_K + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("semantic_rank")), F.lit(0.0))
     both = both.withColumn("score", F.round(score, 8)).withColumn("by_both", F.col("lexical_rank").isNotNull() & F.col("semantic_rank").isNotNull())
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lexical_rank", "semantic_rank")})  # 0: not in that list
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)

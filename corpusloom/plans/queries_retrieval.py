@@ -44,7 +44,7 @@ def join_knn(spark, d):
     return _semantic(spark, d)
 
 
-_RRF = """fused AS (SELECT coalesce(l.qid, s.qid) AS qid, coalesce(l.doc_id, s.vec_id) AS id, l.rank AS lexical_rank, s.rank AS semantic_rank,
+_RRF = """fused AS (SELECT coalesce(l.qid, s.qid) AS qid, coalesce(l.doc_id, s.vec_id) AS id, coalesce(l.rank, 0) AS lexical_rank, coalesce(s.rank, 0) AS semantic_rank,
   round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + s.rank), 0), 8) AS score, l.rank IS NOT NULL AND s.rank IS NOT NULL AS by_both
   FROM lex l FULL JOIN sem s ON l.qid = s.qid AND l.doc_id = s.vec_id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 10)"""

@@ -56,7 +56,7 @@ query("agg_stopword_score", f"SELECT doc_id, {_COUNT['fr']} AS fr, {_COUNT['en']
     lambda s, d: R.read(s, d, D).select("doc_id", T.language_scores(F.col("text")).alias("m")).select("doc_id", F.col("m")["fr"].cast("long").alias("fr"), F.col("m")["en"].cast("long").alias("en"))
 )
 _doc("fn_detect_language", lambda: T.detect_language(_X()), f"CASE WHEN len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\\p{{L}}+')) < 5 OR {_COUNT['fr']} = {_COUNT['en']} THEN 'und' WHEN {_COUNT['fr']} > {_COUNT['en']} THEN 'fr' ELSE 'en' END")
-_doc("agg_distinct_ordered", lambda: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", " "), F.trim), lambda t: F.length(t) > 12))), "|"), "array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda t: trim(t)), lambda t: length(t) > 12))), '|')")
+_doc("agg_distinct_ordered", lambda: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", " "), lambda t: F.trim(t)), lambda t: F.length(t) > 12))), "|"), "array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda t: trim(t)), lambda t: length(t) > 12))), '|')")
 _CITE = "text || ' [' || (doc_id % 5) || '] and [12] [' || (doc_id % 5) || ']'"
 query("fn_citations", f"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all({_CITE}, '\\[([0-9]{{1,9}})\\]', 1), lambda x: x::INT))) AS value FROM documents")(
     lambda s, d: R.read(s, d, D).select("doc_id", T.citations(F.concat("text", F.lit(" ["), F.col("doc_id") % 5, F.lit("] and [12] ["), F.col("doc_id") % 5, F.lit("]"))).alias("value"))
@@ -64,7 +64,7 @@ query("fn_citations", f"SELECT doc_id, list_sort(list_distinct(list_transform(re
 _doc("fn_is_uncited", lambda: F.size(T.citations(_X())) == 0, "len(regexp_extract_all(text, '\\[([0-9]{1,9})\\]', 1)) = 0")
 query("join_cited_passages", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % 40, 12)")(
     lambda s, d: (lambda c: c.join(R.read(s, d, "benchmark").select("item_id"), "item_id", "left_semi").select("doc_id", "item_id"))(
-        R.read(s, d, D).select("doc_id", F.explode(T.citations(F.concat(F.lit("["), F.col("doc_id") % 40, F.lit("] [12]")))).cast("long").alias("item_id"))
+        R.read(s, d, D).select("doc_id", F.explode(F.transform(T.citations(F.concat(F.lit("["), F.col("doc_id") % 40, F.lit("] [12]"))), lambda n: n.cast("long"))).alias("item_id"))
     )
 )
 _doc("fn_surface", lambda: F.concat(F.col("lang"), F.lit(": "), F.col("source")), "lang || ': ' || source")
