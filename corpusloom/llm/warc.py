@@ -93,7 +93,7 @@ class Writer:
         for one in records:
             if out is None:
                 name = f"{uuid.uuid4().hex}.warc.zst"
-                out = self.store.open_output_stream(f"{self.folder}/{name}")
+                out = self.store.open_output_stream(f"{self.folder}/{name}", compression=None)  # pyarrow would compress the whole by the name
                 out.write(struct.pack("<II", DICTIONARY_FRAME, len(self.dictionary)) + self.dictionary)
             frame = self.zstd.compress(one)
             out.write(frame)
@@ -188,7 +188,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with store.open_input_stream(f"{root}/{name}") as file:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as file:
                     yield from (parsed(h, b) for h, b in read(file))
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
