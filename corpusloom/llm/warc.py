@@ -107,19 +107,19 @@ class Writer:
             yield name, count
 
 
-def read(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-cased names) and block of each record of an archive, one record in memory at a time."""
+def read(file: BinaryIO, records: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-cased names) and block of each record of an archive, one record in memory at a time; records: how many there must be."""
     magic, size = struct.unpack("<II", file.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame")
     dictionary = file.read(size)
     zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    stream, held = zstd.stream_reader(file, read_across_frames=True), b""
+    stream, held, count = zstd.stream_reader(file, read_across_frames=True), b"", 0
     while True:
         while (end := held.find(b"\r\n\r\n")) < 0:
             if not (more := stream.read(1 << 16)):
-                if held:
-                    raise ValueError("a record breaks off")
+                if held or records not in (None, count):
+                    raise ValueError("an archive breaks off")
                 return
             held += more
         headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in held[:end].decode().split("\r\n")[1:])}
@@ -132,6 +132,7 @@ def read(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             parts.append(more)
             have += len(more)
         held = b"".join(parts)
+        count += 1
         yield headers, held[end + 4 : need - 4]
         held = held[need:]
 
@@ -187,12 +188,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     def records(batches):
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(f"{root}/{name}", compression=None) as file:
-                    yield from (parsed(h, b) for h, b in read(file))
+                    yield from (parsed(h, b) for h, b in read(file, count))
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file").repartition(parts, "file").mapInArrow(lambda b: in_batches(records(b), schema), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("file", "records").repartition(parts, "file").mapInArrow(lambda b: in_batches(records(b), schema), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
