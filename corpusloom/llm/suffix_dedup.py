@@ -206,7 +206,7 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         first: dict[tuple[int, int, bytes], tuple] = {}
-        for did, tie_, text, acts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for did, tie_, text, acts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
             text, acts = zstd.decompress(text), np.array(acts, np.int64)
             anchor, start, last, kind = unpack(acts)
             keys = gram_hashes(text, anchor).view(np.int64).tolist()
@@ -386,9 +386,10 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = plain.mapInArrow(lambda b: find_anchors(b, hot), _SQL).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: settle(b, hot), "did long, tie int, act long")
     # rows of equal doc_id and text say the same: once each
     acts = found.repartition(parts, *spot).groupBy(*spot).agg(F.collect_set("act").alias("acts"))
-    texts = packed(docs.select("doc_id", "text")).drop("rest_").repartition(parts, *spot)
+    # the same columns and filters wherever texts are joined, so that they are dealt out once
+    texts = packed(docs.select("doc_id", "text")).drop("rest_").where("did IS NOT NULL AND tie IS NOT NULL").repartition(parts, *spot)
     asked = F.filter("acts", lambda a: a.bitwiseAND(F.lit(7)) >= WINDOWS)
-    asks = texts.join(acts.select(*spot, asked.alias("asked")).where("size(asked) > 0"), spot).select(*spot, "text", "asked").dropDuplicates(spot)
+    asks = texts.join(acts.select(*spot, asked.alias("asked")).where("size(asked) > 0"), spot).select("doc_id", *spot, "text", "asked").dropDuplicates(spot)
     contexts = asks.mapInArrow(cut_contexts, "key long, did long, tie int, act long, bytes binary")
     spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "did long, tie int, begin long, end long")
     cuts = spans.repartition(parts, *spot).groupBy(*spot).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
