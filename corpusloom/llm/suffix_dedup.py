@@ -98,7 +98,7 @@ def unpack(act: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return anchor, anchor - (act >> 11 & 255), anchor - (act >> 3 & 255), act & 7
 
 
-def find_anchors(batches: Iterator[pa.RecordBatch], hot_from: int = HOT, block: int = 1 << 20, flush: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def find_anchors(batches: Iterator[pa.RecordBatch], hot_from: int = HOT, block: int = 1 << 20, flush: int = 800_000) -> Iterator[pa.RecordBatch]:
     """ROWS of a task's anchors: FIRST, dealt by hash; REPEAT of a context before; WINDOWS, and a MARK for others, of hot anchors."""
     held: list[tuple[np.ndarray, ...]] = []
     texts: list[bytes] = []
@@ -321,7 +321,7 @@ SPANS = pa.schema([("did", pa.int64()), ("tie", pa.int32()), ("begin", pa.int64(
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SPANS of the repeats among CONTEXTS sorted by key."""
-    for columns in in_runs(batches, 40_000):
+    for columns in in_runs(batches, 15_000):
         key, did, tie_, act = (c.to_numpy(zero_copy_only=False) for c in columns[:4])
         anchor, first, last, kind = unpack(act)
         bodies = columns[4].to_pylist()
