@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import queries_facts, queries_retrieval, queries_text  # noqa: E402, F401  they register themselves
+from . import queries_facts, queries_models, queries_retrieval, queries_text  # noqa: E402, F401  they register themselves
