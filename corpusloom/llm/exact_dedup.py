@@ -96,11 +96,13 @@ def exact_dedup(docs: DataFrame, seed: int = 0) -> DataFrame:
     while not collisions(docs, seed).isEmpty():
         seed += 1
     found = recipes(docs, seed)
-    groups = found.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # by recipe and doc_id, before the join: rows of one group of copies are spread, and the join by recipe alone can be split if skewed
     first = F.row_number().over(Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")) == 1
+    marked = found.withColumn("first", first)
+    groups = found.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return (
-        found.join(groups, "recipe")
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & first)
+        marked.join(groups, "recipe")
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first"))
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     )
 
