@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, in_batches, pairs, table, texts
+from .common import SPACES, in_batches, materialise, pairs, table, texts
 
 LEAST, MASK_BITS, MOST = 512, 11, 16384
 
@@ -99,7 +99,8 @@ def exact_dedup(docs: DataFrame, seed: int = 0) -> DataFrame:
     # by recipe and doc_id, before the join: rows of one group of copies are spread, and the join by recipe alone can be split if skewed
     first = F.row_number().over(Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")) == 1
     marked = found.withColumn("first", first)
-    groups = found.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored, so that the join has a shuffle of its own on both sides, which a skewed recipe's rows can be split over
+    groups = materialise(found.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
     return (
         marked.join(groups, "recipe")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first"))
