@@ -266,3 +266,57 @@ def test_one_of_each_near_copy(edge_docs, edge_rows, no_docs):
     assert ids[5] == 1 and not {6, 7} & set(ids), "of texts without words one stays"
     assert {8, 9, 10, 13, 14, 15} <= set(ids) and ids[13] == 2 and ids[None] == 1
     assert near_text.one_of_each(no_docs).count() == 0
+
+
+def true_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def true_groups(texts, least=0.8):
+    sets = {i: true_sets(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    alike = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return {tuple(sorted(g)) for g in groups_of(ids, alike)}
+
+
+def near_text_groups(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = defaultdict(set)
+    for r in near_text.near_groups(docs).collect():
+        out[r.root].add(r.doc_id)
+    assert {r.doc_id for r in near_text.one_of_each(docs).collect()} == {min(g) for g in out.values()}
+    return {tuple(sorted(g)) for g in out.values()}
+
+
+def test_near_copies_with_passages_inserted_cut_or_changed(spark):
+    """Pairs from 0.6 to 0.95: all those at 0.8 or more are one group each, none of the others is."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8))) for _ in range(4000)]
+    some = lambda n: [words[k] for k in rng.integers(0, len(words), n)]
+    texts = {}
+    for i in range(240):
+        base = some(int(rng.integers(60, 400)))
+        n = max(1, int(len(base) * rng.uniform(0.03, 0.35)))
+        at = int(rng.integers(0, len(base) - n))
+        copy = [base[:at] + some(n) + base[at:], base[:at] + base[at + n :], base[:at] + some(n // 2) + base[at + n // 2 :]][i % 3]
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+    want = true_groups(texts)
+    assert 60 < sum(len(g) == 2 for g in want) < 200
+    assert near_text_groups(spark, texts) == want
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8))) for _ in range(2000)]
+    base = [words[k] for k in rng.integers(0, len(words), 150)]
+    texts = {}
+    for i in range(200):
+        copy = list(base)
+        for at in rng.integers(0, len(base), 2 if i % 2 else 9):
+            copy[at] = words[rng.integers(0, len(words))]
+        texts[i] = " ".join(copy)
+    want = true_groups(texts)
+    assert max(map(len, want)) >= 100
+    assert near_text_groups(spark, texts) == want
