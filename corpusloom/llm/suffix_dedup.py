@@ -17,8 +17,8 @@ a run of windows, whose bytes are its context.
 4. Each document's repeats are united and cut out.
 
 An anchor with very many different contexts (a phrase that a large share of documents hold) is dealt
-out by whole windows instead, so no task gets all its occurrences. Contexts count as equal by two independent
-64-bit hashes in 2 and by their bytes in 3.
+out by whole windows instead, so no task gets all its occurrences. Contexts count as equal by the hash of the anchor
+and one 64-bit hash of all their bytes, seeded by the anchor's offset, in 1 and 2, and by their bytes in 3.
 
 Defined results: a null text is the empty text; null doc_ids come last; rows of equal doc_id and text count as
 one document and are each returned; rows of one doc_id with different texts are ordered by a hash of the text.
@@ -125,6 +125,9 @@ def find_anchors(batches: Iterator[pa.RecordBatch], hot_from: int = HOT, block:
         held.clear()
         order = np.lexsort((anchor, tie_, did, context, key))
         key, context, did, tie_, anchor, first, last = (x[order] for x in (key, context, did, tie_, anchor, first, last))
+        # a repeated row's anchors are those of the row before, not repeats of them
+        again = np.concatenate([[False], np.all([x[1:] == x[:-1] for x in (key, context, did, tie_, anchor, first)], axis=0)])
+        key, context, did, tie_, anchor, first, last = (x[~again] for x in (key, context, did, tie_, anchor, first, last))
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         fresh = new_key | np.concatenate([[True], context[1:] != context[:-1]])
         run = np.cumsum(new_key) - 1
@@ -185,6 +188,8 @@ def settle(batches: Iterator[pa.RecordBatch], hot_from: int = HOT) -> Iterator[p
         marked = (np.bincount(run, kind == MARK) > 0)[run]
         todo = np.flatnonzero(keep & ~done)
         todo = todo[np.lexsort((act[todo], tie_[todo], did[todo], context[todo], run[todo]))]
+        if len(todo):  # as above, for repeated rows of different tasks
+            todo = todo[np.concatenate([[True], ~np.all([x[todo][1:] == x[todo][:-1] for x in (run, context, did, tie_, act)], axis=0)])]
         new_run = np.concatenate([[True], run[todo][1:] != run[todo][:-1]]) if len(todo) else np.empty(0, bool)
         fresh = new_run | np.concatenate([[True], context[todo][1:] != context[todo][:-1]]) if len(todo) else new_run
         classes = np.bincount(run[todo], fresh, minlength=run[-1] + 1)[run[todo]]

@@ -170,6 +170,18 @@ def test_suffix_dedup_of_shared_passages(spark, hot):
     assert strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot) == brute_strings(rows)
 
 
+@pytest.mark.parametrize("parts,hot", [(1, suffix_dedup.HOT), (6, suffix_dedup.HOT), (6, 2)])
+def test_suffix_dedup_of_repeated_rows(spark, parts, hot):
+    """Rows of one doc_id and text of over 200 bytes count once, whether a task has all of them or one; other copies still go."""
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("abcdef ghij"), n))
+    one, two, passage = some(300), some(900), some(150)
+    rows = [(1, one)] * 3 + [(2, passage + two)] * 4 + [(3, some(50) + passage + some(60)), (4, one), (None, two), (None, two), (5, passage * 3), (5, passage * 3)]
+    want = brute_strings(rows)
+    assert want[1, 300, 0, 0, one.encode()] == 3
+    assert strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), hot) == want
+
+
 def test_suffixes_are_sorted_by_bytes():
     rng = np.random.default_rng(4)
     text = rng.choice(np.frombuffer(b"ab", np.uint8), 3000).tobytes() + b"a" * 300
