@@ -16,6 +16,7 @@ one class only, every score is 0.5.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,8 +45,8 @@ def features(text: bytes) -> tuple[float, ...]:
     lines = [x for x in text.split(b"\n") if x]
     lengths = np.fromiter(map(len, words), np.int32, len(words))
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
-    distinct = set(words)
-    often = max(map(words[:400].count, set(words[:40])), default=0) / max(1, min(w, 400)) if words else 0.0
+    distinct = Counter(words)
+    often = max(distinct.values(), default=0) / w
     return (
         np.log1p(len(text)), np.log1p(len(words)), float(lengths.sum()) / w, len(distinct) / w,
         sum(map(bytes.__eq__, words[1:], words)) / w, float((lengths <= 3).sum()) / w, float((lengths >= 12).sum()) / w,

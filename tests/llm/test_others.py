@@ -44,6 +44,14 @@ def test_quality_of_odd_rows(spark, edge_docs, edge_rows, no_docs):
     assert kept.schema == edge_docs.schema and kept.count() == len(edge_rows)
 
 
+def test_top_word_is_of_the_whole_text():
+    top = lambda words: quality.features(" ".join(words).encode())[quality.FEATURES.index("top_word")]
+    clean = [f"w{k}" for k in range(600)]
+    assert top(clean) == 1 / 600 and top([]) == 0
+    assert top(clean + ["again"] * 3000) == 3000 / 3600, "words behind the 400th count"
+    assert top(clean[:50] + ["late"] * 50 + clean[:5]) == 50 / 105, "a word that isn't among the first 40 counts"
+
+
 def test_pairs_learn_what_single_features_cannot():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (3000, len(quality.FEATURES)))
