@@ -5,11 +5,11 @@ the merge ranks and determinised lazily. It rests on two facts of rank-ordered B
 encoding of a prefix that ends at a token boundary is the same tokens, and a token sequence is
 an encoding if each two neighbours are the encoding of their joined bytes. So after each byte
 the transducer knows the last token of the encoding of the prefix; a start position stays alive
-while some longer token could begin there, and tokens before the point where the
+while some token begins with the bytes since then and is longer, and tokens before the point where the
 back-pointers of all live positions meet are final and emitted. Lookahead is bounded by
 the longest token. A state is the shape of the live positions and the pending tokens; its moves
 are computed on first use and cached within a bound (an overfull cache is emptied, which costs
-time, never results).
+time, never results). A Python worker keeps its transducer for its next tasks.
 
 Decoding concatenates token bytes in pieces; a UTF-8 state machine holds back the bytes of an
 unfinished character until its rest arrives.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import in_batches, pairs, table, texts
 
 BYTES = [bytes((i,)) for i in range(256)]
-STATES, WORDS = 150_000, 250_000
+STATES, WORDS = 300_000, 250_000
 #: A space between white space or the text's ends.
 LONE_SPACE = re.compile(r"(?:^|\s) (?=\s|$)").search
 
@@ -60,12 +61,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.most = ranks, states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes: dict[bytes, list[int]] = {}  # the longer tokens of each proper prefix
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                self.prefixes.setdefault(token[:k], []).append(rank)
-        self.longest = max(map(len, ranks), default=1)
-        self.hopes: dict[tuple[int, bytes], bool] = {}
+        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}  # proper prefixes of tokens
         self.proper: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.splits: dict[int, tuple[int, int]] = {}
@@ -131,18 +127,11 @@ class Transducer:
             known = self.proper[token] = merge(self.tokens[token], self.ranks) == (token,)
         return known
 
-    def hope(self, before: int, text: bytes) -> bool:
-        """Whether some token that begins with text, and is longer, can follow the token before."""
-        if len(self.hopes) > 500_000:
-            self.hopes.clear()
-        known = self.hopes[before, text] = any(self.joined(before, t) if before >= 0 else self.whole(t) for t in self.prefixes.get(text, ()))
-        return known
-
     def step(self, shape: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The next shape, and the tokens that have become final."""
         pending, lasts, backs, live = shape
         pending += BYTES[byte]
-        end, ranks, alive, last = len(pending), self.ranks, [], -1
+        end, ranks, prefixes, alive, last = len(pending), self.ranks, self.prefixes, [], -1
         for start in live:  # the longest first: exactly one candidate fits
             text = pending[start:]
             if last < 0 and (token := ranks.get(text)) is not None:
@@ -152,8 +141,7 @@ class Transducer:
                     known = self.joined(before, token)
                 if known:
                     last, back = token, start
-            hope = self.hopes.get((lasts[start], text))
-            if self.hope(lasts[start], text) if hope is None else hope:
+            if text in prefixes:
                 alive.append(start)
         assert last >= 0, "single bytes must be tokens"
         lasts += (last,)
@@ -177,37 +165,7 @@ class Transducer:
         return (pending[final:], (keep, *lasts[final + 1 :]), (0, *[max(0, k - final) for k in backs[final + 1 :]]), tuple([s - final for s in alive])), tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
-        """The ids of a piece: leaps over whole tokens, or byte by byte for long pieces.
-
-        A leap looks ahead to the end of the longest token and takes the longest that is joined to
-        the one before. Where none is, that position ends no prefix's encoding: it is barred and
-        the last leap is taken shorter. All neighbours of a finished way are joined, so it is the encoding.
-        """
-        if len(piece) > 100:
-            return self.byte_by_byte(piece)
-        ids: list[int] = []
-        barred: set[int] = set()
-        at, end, before, ranks, fits, longest = 0, len(piece), -1, self.ranks, self.fits, self.longest
-        stop = min(end, longest)
-        while at < end:
-            while stop > at:
-                if (token := ranks.get(piece[at:stop])) is not None and stop not in barred:
-                    known = fits.get((before, token)) if before >= 0 else self.whole(token)
-                    if self.joined(before, token) if known is None else known:
-                        break
-                stop -= 1
-            if stop > at:
-                ids.append(token)
-                at, before = stop, token
-                stop = min(end, at + longest)
-            else:
-                barred.add(at)
-                stop = at - 1
-                at -= len(self.tokens[ids.pop()])
-                before = ids[-1] if ids else -1
-        return ids
-
-    def byte_by_byte(self, piece: bytes) -> list[int]:
+        """The ids of a piece, byte by byte through the cached moves."""
         if len(self.shapes) > self.most:
             self.clear()
         state, ids, moves = 0, [], self.moves
@@ -307,18 +265,30 @@ def decode(ids: Iterable[int], tokens: list[bytes], piece: int = 4096) -> Iterat
     yield state.end()
 
 
+#: The encoder that this Python worker used last, by name.
+_LAST: dict[tuple[str, str], Encoder] = {}
+
+
+def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """An encoder that tasks of one Python worker share, since only the first of them finds its caches empty."""
+    if (name, pattern) not in _LAST:
+        _LAST.clear()
+        _LAST[name, pattern] = Encoder(ranks, pattern)
+    return _LAST[name, pattern]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and its ids where asked for.
 
     The ranks (a fixed, small vocabulary) go to the executors as a broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    shared, name = spark.sparkContext.broadcast(load_ranks(ranks_path)), uuid.uuid4().hex
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def rows(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = worker_encoder(name, shared.value, pattern)
         tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
         for token, rank in shared.value.items():
             tokens[rank] = token

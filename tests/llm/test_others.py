@@ -155,13 +155,26 @@ def test_encoding_is_the_library_s(encoders):
         assert own.encode(text) == library.encode_ordinary(text)
 
 
-def test_leaps_and_bytes_agree(encoders):
+def test_every_piece_goes_through_the_moves(encoders):
     own, _ = encoders
     rng = np.random.default_rng(2)
     tokens = list(own.fst.tokens.values())
     for _ in range(1500):
         piece = b"".join(tokens[k] for k in rng.integers(0, len(tokens), rng.integers(1, 4)))[:60]
-        assert own.fst.encode(piece) == own.fst.byte_by_byte(piece) == list(bpe.merge(piece, own.fst.ranks))
+        assert own.fst.encode(piece) == list(bpe.merge(piece, own.fst.ranks))
+    fresh = bpe.Encoder(own.fst.ranks, bpe.production()[1])
+    fresh.encode("a short text")
+    state, seen = 0, 0
+    for byte in b" short":  # each byte of each piece has a move from the state before
+        state, _ = fresh.fst.moves[state << 8 | byte]
+        seen += 1
+    assert seen == 6 and len(fresh.fst.moves) >= len("a short text") - 2
+
+
+def test_a_worker_keeps_its_encoder():
+    ranks = {bytes((i,)): i for i in range(256)}
+    one = bpe.worker_encoder("x", ranks, ".")
+    assert bpe.worker_encoder("x", ranks, ".") is one and bpe.worker_encoder("y", ranks, ".") is not one
 
 
 def test_small_caches_change_nothing(encoders):
