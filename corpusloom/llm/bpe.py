@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import in_batches, pairs, table, texts
 
 BYTES = [bytes((i,)) for i in range(256)]
-STATES, WORDS = 300_000, 250_000
+STATES, WORDS = 300_000, 300_000
+NEITHER = -1, False
 #: A space between white space or the text's ends.
 LONE_SPACE = re.compile(r"(?:^|\s) (?=\s|$)").search
 
@@ -61,7 +62,10 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.most = ranks, states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}  # proper prefixes of tokens
+        # of each token and each prefix of one: the token or -1, and whether a longer token begins with it
+        self.known = {token[:k]: (-1, True) for token in ranks for k in range(1, len(token))}
+        for token, rank in ranks.items():
+            self.known[token] = rank, token in self.known
         self.proper: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.splits: dict[int, tuple[int, int]] = {}
@@ -131,29 +135,30 @@ class Transducer:
         """The next shape, and the tokens that have become final."""
         pending, lasts, backs, live = shape
         pending += BYTES[byte]
-        end, ranks, prefixes, alive, last = len(pending), self.ranks, self.prefixes, [], -1
+        end, known, fits, alive, last = len(pending), self.known, self.fits, [], -1
         for start in live:  # the longest first: exactly one candidate fits
-            text = pending[start:]
-            if last < 0 and (token := ranks.get(text)) is not None:
+            token, longer = known.get(pending[start:], NEITHER)
+            if last < 0 and token >= 0:
                 before = lasts[start]
-                known = self.fits.get((before, token)) if before >= 0 else self.whole(token)
-                if known is None:
-                    known = self.joined(before, token)
-                if known:
+                fit = fits.get((before, token)) if before >= 0 else self.whole(token)
+                if fit is None:
+                    fit = self.joined(before, token)
+                if fit:
                     last, back = token, start
-            if text in prefixes:
+            if longer:
                 alive.append(start)
         assert last >= 0, "single bytes must be tokens"
         lasts += (last,)
         backs += (back,)
         alive.append(end)
         # go back from the live starts until their ways meet: what lies before is final
-        heads = set(alive)
-        while len(heads) > 1:
-            top = max(heads)
-            heads.remove(top)
-            heads.add(backs[top])
-        final = heads.pop()
+        final = end
+        for start in alive:
+            while start != final:
+                if start > final:
+                    start = backs[start]
+                else:
+                    final = backs[final]
         if not final:
             return (pending, lasts, backs, tuple(alive)), ()
         out, at = [], final
@@ -185,6 +190,26 @@ class Transducer:
         return ids + rest[::-1]
 
 
+class Memory(dict):
+    """A bounded memory: when `most` entries are new, the older ones are kept only if they are asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     """Texts to ids: the pattern's matches, each through the transducer, with a bounded memory of frequent words.
 
@@ -194,18 +219,15 @@ class Encoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = WORDS):
-        self.fst, self.find, self.most = Transducer(ranks), regex.compile(pattern).findall, words
-        self.matches: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
+        self.matches, self.words = Memory(words), Memory(words)
 
     def match(self, piece: str) -> list[int]:
-        found = self.matches.get(piece)
+        found = self.matches[piece]
         if found is None:
             found = self.fst.encode(piece.encode("utf-8", "surrogatepass"))
-            if len(self.matches) >= self.most:
-                self.matches.clear()
             if len(piece) < 64:
-                self.matches[piece] = found
+                self.matches.put(piece, found)
         return found
 
     def plain(self, text: str) -> list[int]:
@@ -220,13 +242,11 @@ class Encoder:
         first, *rest = text.split(" ")
         ids, words = self.plain(first), self.words
         for word in rest:
-            found = words.get(word)
+            found = words[word]
             if found is None:
                 found = self.plain(" " + word)
-                if len(words) >= self.most:
-                    words.clear()
                 if len(word) < 24 and "\n" not in word:
-                    words[word] = found
+                    words.put(word, found)
             ids += found
         return ids
 
