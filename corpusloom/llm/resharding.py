@@ -1,15 +1,18 @@
 """Minimum-cost-flow resharding.
 
-Rows lie in old shards, each cut into blocks by a hash. From the old shards' sizes and the new
-shards' capacities (equal bytes) a minimum-cost flow tells how many bytes go from where to where;
-staying costs nothing, so the fewest bytes move. Each old shard's blocks are dealt to its
-flows in order: most blocks stay or move whole, and the few in which a flow ends are split row
-by row, the largest rows first, to where most room is left. Only what moves is rewritten: its
-rows go to new files under the new shard, and the rest of the layout is left as it is.
-
-The flow is solved on the driver over old and new shards and a bounded number of block sizes,
-whatever the number of rows. Law `bytes`: shards differ by about the small rows of a split
-block. Defined results: a null text has size 8; repeated rows are placed each for itself; with no
+The old layout lies in files: a folder a shard, in it a folder a block, its rows placed by a hash of what identifies
+them alone, so growth of the table moves no row to another old shard. From the old shards' sizes and the new shards' capacities (equal bytes) a
+minimum-cost flow tells how many bytes go from where to where; staying costs nothing, so the fewest bytes
+move. Each old shard's blocks are dealt to its flows in order: most stay or move whole. The few blocks in
+which a flow ends are dealt by cells, finer pieces of the same hash, the largest first, to where most room is left.
+
+Only affected blocks, those that lose or give a row, are rewritten: all of their rows go to new files
+under their new shard. The new layout of a shard is its blocks that were left alone and its new files, and the result is
+read from these.
+
+The flow is solved on the driver over old and new shards, a bounded number of block sizes, and the cells of split
+blocks, whatever the number of rows. Law `bytes`: shards differ by about a small cell, which is a few rows of a small table and
+some 1 in 65,536 of a large one. Defined results: a null text has size 8; repeated rows are placed each for itself; with no
 rows the result is empty; slots within a shard are gapless from 0.
 """
 
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,15 @@ from .common import shared_path, table
 
 @dataclass(frozen=True)
 class Layout:
-    """blocks: at most so many a shard; least_rows: rows a block should hold at least, before there are more blocks."""
+    """blocks: folders of an old shard; cells: pieces of a block. Both are bounds of the plan, not of the rows."""
 
     old: int = 16
     new: int = 24
-    blocks: int = 256
-    least_rows: int = 64
+    blocks: int = 16
+    cells: int = 256
+
+
+ROW = "doc_id long, text binary, size long, text_crc32 long, cell int"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[dict[int, int]]:
@@ -107,71 +112,99 @@ def deal(blocks: dict[int, int], flows: dict[int, int], home: int) -> tuple[dict
     return whole, split
 
 
-def sized(docs: DataFrame, layout: Layout, per_shard: int) -> DataFrame:
-    """doc_id, text (bytes), size, text_crc32, block; block // per_shard is the old shard."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(layout.old * per_shard)).cast("int"))
-
-
 def capacities(total: int, shards: int) -> list[int]:
     return [total * (j + 1) // shards - total * j // shards for j in range(shards)]
 
 
-def placed(docs: DataFrame, layout: Layout) -> DataFrame:
-    """The rows of sized(), with their old shard and the shard where they go."""
+def write_old(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
+    """Write docs as the old layout, shard=i/block=b; returns it as it is on disk."""
     spark = docs.sparkSession
-    per_shard = max(1, min(layout.blocks, docs.count() // (layout.old * layout.least_rows)))
-    rows = sized(docs, layout, per_shard)
-    sizes = {r.block: r.bytes for r in rows.groupBy("block").agg(F.sum("size").alias("bytes")).collect()}  # at most old * blocks rows
-    of_shard = [{b: s for b, s in sizes.items() if b // per_shard == i} for i in range(layout.old)]
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    every = layout.old * layout.blocks
+    piece = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(every * layout.cells))
+    rows = rows.withColumn("piece", piece).withColumn("cell", (F.col("piece") % layout.cells).cast("int")).withColumn("block", F.expr(f"CAST(piece DIV {layout.cells} AS INT)"))
+    rows = rows.withColumn("shard", F.expr(f"block DIV {layout.blocks}").cast("int")).drop("piece")
+    # a block's rows meet in as many tasks as there are partitions a block
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, "block", F.pmod("cell", F.lit(-(-parts // every)))).write.partitionBy("shard", "block").option("compression", "zstd").parquet(path)
+    return spark.read.schema(f"{ROW}, shard int, block int").parquet(path)
+
+
+def shared_out(cells: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """Each cell's destination: the largest first, to where most room is left; room is what is left then."""
+    to = {}
+    for cell, size in sorted(cells.items(), key=lambda c: (-c[1], c[0])):
+        to[cell] = shard = max(room, key=lambda j: (room[j], -j))
+        room[shard] -= size
+    return to
+
+
+@dataclass
+class Plan:
+    """Blocks that stay whole, the shard of each that moves whole, and of each cell of a split block."""
+
+    stay: list[int]
+    blocks: dict[int, int]
+    cells: dict[tuple[int, int], int]
+
+
+def planned(old: DataFrame, layout: Layout) -> Plan:
+    """From the block sizes (at most old * blocks rows) and the cell sizes of split blocks (at most cells for each of old + new flows)."""
+    sizes = {r.block: r.bytes for r in old.groupBy("block").agg(F.sum("size").alias("bytes")).collect()}
+    of_shard = [{b: s for b, s in sizes.items() if b // layout.blocks == i} for i in range(layout.old)]
     supply = [sum(x.values()) for x in of_shard]
     flows = min_cost_flow(supply, capacities(sum(supply), layout.new), lambda i, j: 0 if i == j else 1)
-    whole: list[tuple[int, int]] = []
-    split: dict[int, list[tuple[int, int]]] = {}
+    plan, split = Plan([], {}, {}), []
     for i, blocks in enumerate(of_shard):
-        w, s = deal(blocks, flows[i], i)
-        whole += w.items()
-        split |= s
-    plan = spark.createDataFrame(whole, "block int, shard int")  # at most old * blocks rows
-    kept = rows.join(F.broadcast(plan), "block")
-    if not split:
-        return kept.withColumn("old_shard", F.expr(f"block DIV {per_shard}").cast("int"))
-
-    def by_row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        room = dict(split[int(key[0])])
-        pdf = pdf.sort_values(["size", "doc_id", "text_crc32"], ascending=[False, True, True], kind="stable")
-        shards = []
-        for size in pdf["size"]:
-            shard = max(room, key=room.__getitem__)
-            room[shard] -= size
-            shards.append(shard)
-        return pdf.assign(shard=pd.Series(shards, pdf.index, "int32"))[["block", "doc_id", "size", "text_crc32", "shard"]].astype({"doc_id": "Int64"})
-
-    # texts stay out of the split: its rows are found again by what identifies them
-    some = rows.where(F.col("block").isin(list(split)))
-    cut = some.select("block", "doc_id", "size", "text_crc32").groupBy("block").applyInPandas(by_row, "block int, doc_id long, size long, text_crc32 long, shard int")
-    same = ["block", "doc_id", "size", "text_crc32"]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    dealt = some.withColumn("nth", nth).alias("a").join(cut.withColumn("nth", nth).alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*same, "nth"]])
-    return kept.unionByName(dealt.select("a.*", "b.shard").drop("nth")).withColumn("old_shard", F.expr(f"block DIV {per_shard}").cast("int"))
+        whole, parts = deal(blocks, flows[i], i)
+        plan.stay += [b for b, j in whole.items() if i == j]
+        plan.blocks |= {b: j for b, j in whole.items() if i != j}
+        split.append(parts)
+    found = old.where(F.col("block").isin([b for parts in split for b in parts])).groupBy("block", "cell").agg(F.sum("size").alias("bytes")).collect()
+    over: dict[int, int] = {}  # what an old shard's cells left or took too much is made up for by the next one's
+    for parts in split:
+        room: dict[int, int] = {}
+        for shares in parts.values():
+            for j, share in shares:
+                room[j] = room.get(j, over.pop(j, 0)) + share
+        plan.cells |= shared_out({(r.block, r.cell): r.bytes for r in found if r.block in parts}, room)
+        over |= room
+    return plan
+
+
+def rewritten(old: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of affected blocks, with the shard they go to."""
+    spark = old.sparkSession
+    blocks = spark.createDataFrame(list(plan.blocks.items()), "block int, to int")  # at most old * blocks rows
+    cells = spark.createDataFrame([(*k, j) for k, j in plan.cells.items()], "block int, cell int, to int")  # at most cells for each flow
+    whole = old.where(F.col("block").isin(list(plan.blocks))).join(F.broadcast(blocks), "block")
+    split = old.where(F.col("block").isin(sorted({b for b, _ in plan.cells}))).join(F.broadcast(cells), ["block", "cell"])
+    return whole.unionByName(split).select("doc_id", "text", "size", "text_crc32", "cell", "block", F.col("shard").alias("old_shard"), F.col("to").alias("shard"))
+
+
+def new_layout(spark: SparkSession, path: str, stay: list[int]) -> DataFrame:
+    """Every row of the new layout as it is on disk: blocks left alone, and new files. moved: whether it lay in another shard."""
+    kept = spark.read.schema(f"{ROW}, shard int, block int").parquet(f"{path}/old").where(F.col("block").isin(stay)).withColumn("moved", F.lit(False))
+    new = spark.read.schema(f"{ROW}, block int, old_shard int, shard int").parquet(f"{path}/new").withColumn("moved", F.col("shard") != F.col("old_shard"))
+    return kept.unionByName(new.drop("old_shard"))
 
 
 def reshard(docs: DataFrame, layout: Layout | None = None, path: str | None = None) -> DataFrame:
-    """Rewrite what moves under path (a folder a new shard) and return where each row of the new layout is: doc_id, size, text_crc32, shard, slot, block, moved."""
-    layout = layout or Layout()
-    spark = docs.sparkSession
+    """Write the old layout under path/old and the affected rows under path/new; returns where each row of the new layout is: doc_id, size, text_crc32, shard, slot, block, moved."""
+    layout, spark = layout or Layout(), docs.sparkSession
     path = path or shared_path(spark, "reshard")
-    rows = placed(docs, layout)
-    moving = F.col("shard") != F.col("old_shard")
-    rows.where(moving).select("doc_id", "text", "block", "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    moved = spark.read.schema("doc_id long, text binary, block int, shard int").parquet(path)
-    moved = moved.select("doc_id", (F.octet_length("text") + F.lit(8)).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), "shard", "block", F.lit(True).alias("moved"))
-    every = rows.where(~moving).select("doc_id", "size", "text_crc32", "shard", "block", F.lit(False).alias("moved")).unionByName(moved)
-    pieces = every.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    base = pieces.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
-    return every.withColumn("inside", inside).join(F.broadcast(base), ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("inside") - 1).cast("long").alias("slot"), "block", "moved")
+    old = write_old(docs, layout, f"{path}/old")
+    plan = planned(old, layout)
+    rewritten(old, plan).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/new")
+    every = new_layout(spark, path, plan.stay)
+    pieces = every.groupBy("shard", "block", "cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("block", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = pieces.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # sizes and checksums are those of the texts that were read back
+    read = every.select("doc_id", (F.octet_length("text") + F.lit(8)).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), "shard", "block", "cell", "moved")
+    inside = F.row_number().over(Window.partitionBy("shard", "block", "cell").orderBy("doc_id", "text_crc32", "size"))
+    return read.withColumn("inside", inside).join(base, ["shard", "block", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("inside") - 1).cast("long").alias("slot"), "block", "moved")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

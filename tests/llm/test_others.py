@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -10,8 +11,10 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import audio, bpe, mixing, quality, resharding, warc
+from corpusloom.llm.common import table
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -113,8 +116,30 @@ def test_flow_moves_the_fewest_bytes():
     assert dear == [{1: 10}, {2: 10}]
 
 
-def test_resharding(spark, edge_docs, edge_rows, no_docs):
-    got = resharding.reshard(edge_docs, resharding.Layout(old=3, new=4, blocks=4, least_rows=2)).collect()
+def test_no_transfer_moves_fewer_bytes():
+    def ways(supply, room):  # every whole-number transport
+        if not supply:
+            yield ()
+            return
+        for row in itertools.product(*(range(min(supply[0], r) + 1) for r in room)):
+            if sum(row) == supply[0]:
+                for rest in ways(supply[1:], [r - x for r, x in zip(room, row, strict=True)]):
+                    yield (row, *rest)
+
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        supply = rng.integers(0, 5, 3).tolist()
+        room = resharding.capacities(sum(supply), int(rng.integers(2, 5)))
+        price = rng.integers(0, 4, (3, len(room))).tolist()
+        flows = resharding.min_cost_flow(supply, room, lambda i, j: price[i][j])
+        assert [sum(f.values()) for f in flows] == supply
+        cost = sum(n * price[i][j] for i, f in enumerate(flows) for j, n in f.items())
+        assert cost == min(sum(n * price[i][j] for i, row in enumerate(w) for j, n in enumerate(row)) for w in ways(supply, room))
+
+
+def test_resharding(spark, edge_docs, edge_rows, no_docs, tmp_path):
+    layout = resharding.Layout(old=3, new=4, blocks=4, cells=4)
+    got = resharding.reshard(edge_docs, layout, f"file://{tmp_path}/one").collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len(body(r[1])) + 8, zlib.crc32(body(r[1]))) for r in edge_rows)
     slots = defaultdict(list)
     for r in got:
@@ -123,6 +148,30 @@ def test_resharding(spark, edge_docs, edge_rows, no_docs):
     assert resharding.reshard(no_docs).count() == 0
 
 
+def test_old_shards_are_files_that_growth_leaves_alone(spark, tmp_path):
+    docs = table(spark, SMALL, "documents")
+    layout = resharding.Layout(old=4, new=6, blocks=8, cells=16)
+    old = resharding.write_old(docs, layout, f"file://{tmp_path}/a").select("doc_id", "block").collect()
+    more = resharding.write_old(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6)), layout, f"file://{tmp_path}/b")
+    assert set(old) <= set(more.select("doc_id", "block").collect())
+
+
+def test_affected_files_are_rewritten_and_the_fewest_bytes_move(spark, tmp_path):
+    docs, layout, path = table(spark, SMALL, "documents"), resharding.Layout(old=4, new=6, blocks=8, cells=16), f"file://{tmp_path}/c"
+    got = resharding.reshard(docs, layout, path).collect()
+    old = spark.read.parquet(f"{path}/old")
+    supply = {r.shard: r.n for r in old.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    room = resharding.capacities(sum(supply.values()), 6)
+    least = sum(max(0, supply.get(i, 0) - room[i]) for i in range(4))
+    largest = max(r.size for r in got)
+    assert least <= sum(r.size for r in got if r.moved) + largest * 4 and sum(r.size for r in got if r.moved) <= least + largest * 10
+    stay = resharding.planned(old, layout).stay
+    new = spark.read.parquet(f"{path}/new")
+    # the new layout on disk is the whole corpus: blocks left alone, and all rows of the others, those that stay in their shard too
+    assert old.where(F.col("block").isin(stay)).count() + new.count() == docs.count() and new.where("shard = old_shard").count() > 0
+    assert stay and not set(stay) & {r.block for r in new.select("block").distinct().collect()}
+
+
 def test_shards_are_near_equal(spark):
     rows = resharding.query(spark, SMALL).collect()
     size = Counter()
