@@ -1,27 +1,31 @@
 r"""Line dedup by a segment-partition edit join.
 
-Lines are the pieces between newlines, compared as bytes. Of equal lines the first (by doc_id, then
-line number) represents them. Representatives of at least `least` bytes within one edit (insert,
-delete or replace a byte) of each other are linked: each is split into threshold + 1 = 2
+Lines are the pieces between newlines. Of equal lines the first (by doc_id, then
+line number) represents them. Representatives of at least `least` characters within `edits` edits (insert,
+delete or replace a character) of each other are linked: each is split into edits + 1
 segments, of which one must be untouched; each line probes the segments of lines of its own
-length and one less at the places where they can lie, and who meets is verified by a banded
+length and up to `edits` less at the places where they can lie, and who meets is verified by a banded
 bit-parallel edit distance. A line goes if it is not the first of its equals, or if it is linked to an earlier
 representative (by first occurrence). Blank lines always stay.
 
 A segment that very many different lines share is not paired within its bucket: its lines get
-finer keys instead, one for each byte left out, of which lines within one edit share one. So the number of
-pairs follows the links, not the square of a bucket.
+finer keys instead. They are cut into many pieces, of which edits touch at most `edits`, and a key is what is left of a line without so
+many pieces, each stretch shifted as edits can shift it. Lines that meet in crowds again are cut finer once more. So
+the number of pairs follows the links, not the square of a bucket, and no bucket is held in memory.
 
-Texts move compressed, by document; lines move only where they are candidates.
+Texts move once, compressed, by document; lines move only where they are candidates.
 
 Defined results: a null text is the empty text; null doc_ids come last; rows of equal doc_id
 and text count as one document and are each returned; rows of one doc_id with different texts
-are ordered by a hash of the text; a document keeps its newlines only between lines that stay.
+are ordered by a hash of the text; a document keeps its newlines only between lines that stay; shorter lines than
+`least` are linked to none, but their repeats go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +36,21 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, materialise, table
 
-EDITS, LEAST = 1, 20
-#: Different lines that may share a segment before they get finer keys.
-HOT = 48
+EDITS, LEAST = 2, 20
+#: Lines that may share a key before they get finer ones, and pieces a segment that these are made of, step by step.
+HOT, FINER = 48, (4, 16)
+#: Most documents of candidate lines that are sent to every task; more are joined by shuffles.
+BROADCAST_DOCS = 300_000
 LAST = (1 << 63) - 1
 SPOT = ("did", "tie", "line")
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
+def characters(line: bytes) -> bytes | str:
+    """A line as a sequence of characters: itself if they are bytes."""
+    return line if line.isascii() else line.decode("utf-8", "surrogateescape")
+
+
+def common_prefix(a: bytes | str, b: bytes | str) -> int:
     low, high = 0, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
@@ -50,7 +61,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
+def within(a: bytes | str, b: bytes | str, edits: int = EDITS) -> bool:
     """Whether the edit distance is at most `edits`: one bit vector an error count over a band of a, moved along b."""
     if abs(len(a) - len(b)) > edits:
         return False
@@ -58,14 +69,14 @@ def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
     a, b = a[k:], b[k:]
     k = common_prefix(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
-    places: dict[int, int] = {}
-    for i, byte in enumerate(a):
-        places[byte] = places.get(byte, 0) | 1 << i
+    places: dict[int | str, int] = {}
+    for i, one in enumerate(a):
+        places[one] = places.get(one, 0) | 1 << i
     # bit j of rows[e]: a[:j] becomes what was read of b with e errors
     rows = [(2 << e) - 1 for e in range(edits + 1)]
-    for i, byte in enumerate(b):
+    for i, one in enumerate(b):
         low = max(0, i + 1 - edits)
-        band, same = ((2 << 2 * edits) - 1) << low, places.get(byte, 0)
+        band, same = ((2 << 2 * edits) - 1) << low, places.get(one, 0)
         new: list[int] = []
         for e, row in enumerate(rows):
             now = (row & same) << 1
@@ -98,29 +109,58 @@ def probes(length: int, indexed: int, edits: int = EDITS) -> Iterator[tuple[int,
                 yield i, at, n
 
 
-def _key(line: bytes, at: int, n: int, segment: int, indexed: int) -> int:
-    value = xxhash.xxh3_64_intdigest(line[at : at + n], segment << 40 | indexed)
-    return value - (value >> 63 << 64)
-
-
-def line_keys(line: bytes, edits: int = EDITS) -> list[int]:
-    """Its own segments (edits + 1), then its probes of shorter lines. Lines of equal length meet at their segments."""
-    n = len(line)
-    own = [_key(line, at, size, i, n) for i, (at, size) in enumerate(segments(n, edits))]
-    return own + [_key(line, at, size, i, n - less) for less in range(1, edits + 1) for i, at, size in probes(n, n - less, edits)]
-
-
-def without_one(line: bytes) -> np.ndarray:
-    """Hashes of the line and of the line without each of its bytes: lines within one edit share one."""
-    n = len(line)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base), dtype=np.uint64)])
-    upto = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(line, np.uint8).astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
-    back = np.uint64(pow(int(base), -1, 1 << 64))
-    less = upto[:-1] + (upto[-1] - upto[1:]) * back
-    salt = np.array([n] + [n - 1] * n, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = np.concatenate([upto[-1:], less]) + salt
-    return np.unique((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+@lru_cache(16384)
+def key_plan(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of a line's own segments (edits + 1), then of its other probes."""
+    own = [(at, at + size, i << 40 | n) for i, (at, size) in enumerate(segments(n, edits))]
+    asked = [(at, at + size, i << 40 | n - less) for less in range(min(edits, n) + 1) for i, at, size in probes(n, n - less, edits)]
+    return own + [x for x in dict.fromkeys(asked) if x not in own]
+
+
+def line_keys(line: bytes | str, edits: int = EDITS) -> list[int]:
+    """Hashes of its own segments (edits + 1), then of its probes of lines of equal or shorter length."""
+    digest, whole = xxhash.xxh3_64_intdigest, isinstance(line, bytes)
+    return [digest(line[a:b] if whole else line[a:b].encode("utf-8", "surrogateescape"), seed) - (1 << 63) for a, b, seed in key_plan(len(line), edits)]
+
+
+def shifts(edits: int, less: int) -> list[tuple[int, ...]]:
+    """Shifts of the stretches between `edits` pieces that may be touched: from 0 to `less`, by at most `edits` steps altogether."""
+    every = product(range(-edits, edits + 1), repeat=edits - 1)
+    return [s for s in ((0, *middle, less) for middle in every) if sum(abs(x - y) for x, y in zip(s, s[1:], strict=False)) <= edits]
+
+
+@lru_cache(256)
+def fine_plan(n: int, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of each key of a line of n characters, a salt, and whether the key is its own; own ones first."""
+    rows = []
+    for less in range(edits + 1):
+        size = n - less
+        m = min(pieces * (edits + 1), size)
+        cuts = [size * k // max(1, m) for k in range(m + 1)]
+        for number, out in enumerate(combinations(range(m), edits)):
+            begin, end = [0, *[cuts[k + 1] for k in out]], [*[cuts[k] for k in out], size]
+            for s in shifts(edits, less):
+                a, b = [x + y for x, y in zip(begin, s, strict=True)], [x + y for x, y in zip(end, s, strict=True)]
+                if a[0] >= 0 and b[-1] <= n and all(x <= y for x, y in zip(b, a[1:], strict=False)):
+                    rows.append((bool(less or any(s)), size << 32 | number, a, b))
+    rows.sort(key=lambda r: r[0])
+    salt = np.array([r[1] for r in rows], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.array([r[2] for r in rows], np.int64).reshape(-1, edits + 1), np.array([r[3] for r in rows], np.int64).reshape(-1, edits + 1), salt, np.array([not r[0] for r in rows], bool)
+
+
+def fine_keys(line: bytes | str, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a line, and which are its own: of two lines within `edits` edits the longer has one of the other's own keys."""
+    codes = np.frombuffer(line, np.uint8) if isinstance(line, bytes) else np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    n, base = len(codes), 0x9E3779B97F4A7C15
+    begin, end, salt, own = fine_plan(n, edits, pieces)
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(base)), dtype=np.uint64)])
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(pow(base, -1, 1 << 64))), dtype=np.uint64)])
+    upto = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
+    stretch = (upto[end] - upto[begin]) * back[begin]
+    stretch = (stretch ^ stretch >> np.uint64(31)) * (np.arange(1, 2 * edits + 2, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    mixed = stretch.sum(1, dtype=np.uint64) + salt
+    keys, first = np.unique(((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), return_index=True)
+    return keys, own[first]
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -143,8 +183,8 @@ def tie(text: bytes) -> int:
     return xxhash.xxh32_intdigest(text) - (1 << 31)
 
 
-def representatives(docs: DataFrame, least: int) -> DataFrame:
-    """did, tie, line of the first of each set of equal lines that aren't blank, and its keys (null below `least` bytes)."""
+def representatives(docs: DataFrame, least: int, edits: int) -> DataFrame:
+    """did, tie, line of the first of each set of equal lines that aren't blank, and its keys (null below `least` characters)."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def rows(batches):
@@ -160,10 +200,10 @@ def representatives(docs: DataFrame, least: int) -> DataFrame:
                         if len(seen) > 300_000:  # sending a line again is harmless
                             seen.clear()
                         seen[digest] = (*spot, k)
-                        yield int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), *spot, k, line_keys(line) if len(line) >= least else None
+                        yield int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), *spot, k, line_keys(own, edits) if len(own := characters(line)) >= least else None
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sent = plain.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: 100), "h1 long, h2 long, did long, tie int, line int, keys array<long>")
+    sent = plain.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: 200), "h1 long, h2 long, did long, tie int, line int, keys array<long>")
     return sent.groupBy("h1", "h2").agg(F.min(F.struct("did", "tie", "line", "keys")).alias("first")).select("first.*")
 
 
@@ -182,9 +222,11 @@ def _before(cols: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """Pairs within the runs of equal keys of sorted rows (key, did, tie, line, own); of longer runs each line alone, b null.
 
-    A pair has at least one side with its own segment. hot 0: all runs are paired.
+    A pair has at least one side with its own segment. hot 0: all runs are paired. Of a run beyond `hot` nothing is held.
     """
-    held: list[np.ndarray] | None = None
+
+    def alone(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[1:4]), *(pa.nulls(len(cols[0]), f.type) for f in list(_PAIR)[3:])], schema=_PAIR)
 
     def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, own = cols[0], cols[4].astype(bool)
@@ -193,6 +235,7 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
         big = np.repeat(length > hot, length) if hot else np.zeros(len(key), bool)
         for off in range(1, int(length[length <= hot].max(initial=1)) if hot else int(length.max())):
             at = np.flatnonzero((key[:-off] == key[off:]) & ~big[:-off] & (own[:-off] | own[off:]))
+            at = at[np.any([c[at] != c[at + off] for c in cols[1:4]], axis=0)]
             if len(at):
                 x, y = at, at + off
                 first = _before(cols, x, y)
@@ -200,17 +243,29 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
                 for k in range(0, len(one), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[x[k : k + 50_000]]) for x in (one, two) for c in cols[1:4]], schema=_PAIR)
         if big.any():
-            lone = [pa.array(c[big]) for c in cols[1:4]]
-            yield pa.RecordBatch.from_arrays(lone + [pa.nulls(int(big.sum()), f.type) for f in list(_PAIR)[3:]], schema=_PAIR)
+            yield alone([c[big] for c in cols])
 
+    held: list[np.ndarray] | None = None
+    crowded: int | None = None  # the key of a run that has passed `hot`
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if crowded is not None and len(cols[0]):
+            n = int(np.searchsorted(cols[0], crowded, "right"))
+            if n:
+                yield alone([c[:n] for c in cols])
+                cols = [c[n:] for c in cols]
+            if len(cols[0]):
+                crowded = None
         if held:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
         if last:
             yield from out([c[:last] for c in cols])
         held = [c[last:] for c in cols]
+        if hot and len(held[0]) > hot:
+            crowded = int(held[0][0])
+            yield alone(held)
+            held = None
     if held and len(held[0]):
         yield from out(held)
 
@@ -221,64 +276,74 @@ def joined(keys: DataFrame, hot: int) -> DataFrame:
     return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, hot), PAIR)
 
 
-def lines_of(texts: DataFrame, spots: DataFrame) -> DataFrame:
-    """did, tie, line, content of the asked lines; texts by packed(), dealt by document."""
+def lines_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """did, tie, line, content of the asked lines, stored."""
     schema = pa.schema([("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("content", pa.binary())])
+    asked = materialise(spots.groupBy("did").agg(F.collect_set(F.struct("tie", "line")).alias("asked")), "asked-lines")
+    if asked.count() <= BROADCAST_DOCS:
+        asked = F.broadcast(asked)
 
     def rows(batches):
-        zstd = zstandard.ZstdDecompressor()
         for batch in batches:
-            for did, tie_, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = zstd.decompress(text).split(b"\n")
-                for k in asked:
-                    yield did, tie_, k, parts[k]
-
-    asked = spots.groupBy("did", "tie").agg(F.collect_set("line").alias("asked"))
-    found = texts.join(asked, ["did", "tie"]).select("did", "tie", "text", "asked")
+            for did, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, parts = tie(text), text.split(b"\n")
+                for x in wanted:
+                    if x["tie"] == own:
+                        yield did, own, x["line"], parts[x["line"]]
+
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    found = plain.join(asked, "did").select("did", "text", "asked").mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[3]) + 40), "did long, tie int, line int, content binary")
     # rows of equal doc_id and text give equal lines
-    return found.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[3]) + 40), "did long, tie int, line int, content binary").dropDuplicates(list(SPOT))
+    return materialise(found.dropDuplicates(list(SPOT)), "line-contents")
 
 
-def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """PAIR of representatives within one edit, a before b."""
-    own = F.transform("keys", lambda x, i: F.struct(x.alias("key"), (i <= EDITS).alias("own")))
+def links(reps: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
+    """PAIR of representatives within `edits` edits, a before b."""
+    own = F.transform("keys", lambda x, i: F.struct(x.alias("key"), (i <= edits).alias("own")))
     keys = reps.where("keys IS NOT NULL").select(*SPOT, F.explode(own).alias("k")).select("k.key", *SPOT, "k.own")
     met = materialise(joined(keys, HOT).distinct(), "line-pairs")
     pairs = met.where("b_did IS NOT NULL")
-    lone = met.where("b_did IS NULL").select(F.col("a_did").alias("did"), F.col("a_tie").alias("tie"), F.col("a_line").alias("line"))
-    if not lone.isEmpty():
-        schema = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("own", pa.bool_())])
-
-        def finer(batches):
-            for batch in batches:
-                for did, tie_, line, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    k = without_one(content)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.full(len(k), v, t)) for v, t in ((did, "int64"), (tie_, "int32"), (line, "int32"))), pa.array(np.ones(len(k), bool))], schema=schema)
-
-        fine = lines_of(texts, lone).mapInArrow(finer, "key long, did long, tie int, line int, own boolean")
-        pairs = materialise(pairs.unionByName(joined(fine, 0)).distinct(), "line-pairs")
+    schema = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("own", pa.bool_())])
+
+    def finer(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, tie_, line, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, mine = fine_keys(characters(content), edits, pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.full(len(k), v, t)) for v, t in ((did, "int64"), (tie_, "int32"), (line, "int32"))), pa.array(mine)], schema=schema)
+
+    for step, pieces in enumerate(FINER):
+        lone = met.where("b_did IS NULL").select(F.col("a_did").alias("did"), F.col("a_tie").alias("tie"), F.col("a_line").alias("line"))
+        if lone.isEmpty():
+            break
+        fine = lines_of(docs, lone).mapInArrow(lambda b, n=pieces: finer(b, n), "key long, did long, tie int, line int, own boolean")
+        met = materialise(joined(fine, HOT if step + 1 < len(FINER) else 0).distinct(), "line-pairs")
+        pairs = pairs.unionByName(met.where("b_did IS NOT NULL")).distinct()
     a, b = ([F.col(f"{side}_{c}").alias(c) for c in SPOT] for side in "ab")
-    content = lines_of(texts, pairs.select(*a).unionByName(pairs.select(*b)))
+    content = lines_of(docs, pairs.select(*a).unionByName(pairs.select(*b)))
     sides = [content.select(*[F.col(c).alias(f"{s}_{c}") for c in (*SPOT, "content")]) for s in "ab"]
     both = pairs.join(sides[0], [f"a_{c}" for c in SPOT]).join(sides[1], [f"b_{c}" for c in SPOT]).select(*_PAIR.names, "a_content", "b_content")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
+            good = []
+            for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                if not (x.isascii() and y.isascii()):
+                    x, y = x.decode("utf-8", "surrogateescape"), y.decode("utf-8", "surrogateescape")
+                good.append(within(x, y, edits))
             yield pa.RecordBatch.from_arrays(batch.columns[:6], schema=_PAIR).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(verified, PAIR)
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
     """rest_ (the other columns of docs), doc_id, did, tie, text (what is left, bytes), n_lines, n_removed, links of every row.
 
     links: (line, other_doc, other_line) of each link of a line that first occurs in this document.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = packed(docs).repartition(parts, "did", "tie")
-    reps = materialise(representatives(docs, least), "lines")
-    found = materialise(links(reps, texts), "line-links")
+    reps = materialise(representatives(docs, least, edits), "lines")
+    found = materialise(links(reps, docs, edits), "line-links")
     gone = found.select(*[F.col(f"b_{c}").alias(c) for c in SPOT]).distinct()
     kept = reps.select(*SPOT).join(gone, list(SPOT), "left_anti").groupBy("did", "tie").agg(F.collect_list("line").alias("kept"))
     ends = [found.select(*[F.col(f"{s}_{c}").alias(c) for c in SPOT], F.struct(F.col(f"{s}_line").alias("line"), F.nullif(F.col(f"{o}_did"), F.lit(LAST)).alias("other_doc"), F.col(f"{o}_line").alias("other_line")).alias("link")) for s, o in ("ab", "ba")]

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -71,11 +72,27 @@ def test_edit_distance_and_keys():
         a, b = (rng.choice(np.frombuffer(b"ab", np.uint8), rng.integers(0, 9)).tobytes() for _ in range(2))
         for edits in range(4):
             assert line_dedup.within(a, b, edits) == (lev(a, b) <= edits)
-        if lev(a, b) <= 1:
-            assert set(line_dedup.without_one(a).tolist()) & set(line_dedup.without_one(b).tolist())
-            if min(len(a), len(b)) > 1:
-                x, y = (a, b) if len(a) >= len(b) else (b, a)
-                assert set(line_dedup.line_keys(x)) & set(line_dedup.line_keys(y)[:2])
+        x, y = (a, b) if len(a) >= len(b) else (b, a)
+        for edits in (1, 2, 3):
+            if lev(a, b) <= edits < len(y):
+                assert set(line_dedup.line_keys(x, edits)) & set(line_dedup.line_keys(y, edits)[: edits + 1])
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("pieces", [1, 2, 4])
+def test_fine_keys_are_shared_by_similar_lines(edits, pieces):
+    rng = np.random.default_rng(edits * 10 + pieces)
+    letters = list("abcé")
+    for _ in range(250):
+        y = "".join(rng.choice(letters, rng.integers(edits + 1, 30)))
+        x = y
+        for _ in range(rng.integers(0, edits + 1)):
+            at = int(rng.integers(0, len(x) + 1))
+            x = x[:at] + "".join(rng.choice(letters, rng.integers(0, 2))) + x[at + int(rng.integers(0, 2)) :]
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        if lev(x, y) <= edits and len(y) > edits:
+            (asked, _), (keys, own) = line_dedup.fine_keys(line_dedup.characters(x.encode()), edits, pieces), line_dedup.fine_keys(line_dedup.characters(y.encode()), edits, pieces)
+            assert set(asked.tolist()) & set(keys[own].tolist()), (x, y)
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
@@ -99,8 +116,9 @@ def brute_lines(rows, least):
         for k, line in enumerate(text.split(b"\n")):
             if line.strip():
                 first.setdefault(line, (*s, k))
-    long = [x for x in first if len(x) >= least]
-    links = {tuple(sorted((first[a], first[b]))) for i, a in enumerate(long) for b in long[:i] if abs(len(a) - len(b)) <= 1 and line_dedup.within(a, b)}
+    long = [(x, x.decode()) for x in first if len(x.decode()) >= least]
+    alike = lambda a, b: abs(len(a) - len(b)) <= line_dedup.EDITS and line_dedup.within(a, b)
+    links = {tuple(sorted((first[a], first[b]))) for i, (a, x) in enumerate(long) for b, y in long[:i] if alike(x, y)}
     gone = {b for _, b in links}
     out = Counter()
     for r in rows:
@@ -128,6 +146,31 @@ def test_line_dedup_with_a_hot_segment(spark, hot, monkeypatch):
     assert Counter((r.doc_id, bytes(r.text)) for r in got) == want and len(links) > 20
 
 
+def test_line_dedup_of_accents_numbers_and_crowds(spark, monkeypatch):
+    """Two changed digits and an accent are two edits at most, wherever they are; a crowd of similar lines loses no link."""
+    monkeypatch.setattr(line_dedup, "HOT", 6)
+    rng = np.random.default_rng(9)
+    rows = [(1, "Une journée d'été à la plage"), (2, "Une journee d'eté à la plage"), (3, "Ein schöner Tag am See, 19"), (4, "Ein schoner Tag am See, 18"), (5, "x" * 40), (6, "x" * 41)]
+    for i in range(60):
+        line = list("Seen on page 000 of a very common notice, by reader 000.")
+        for at in rng.integers(0, len(line), 2):
+            line[at] = "0123456789"[rng.integers(0, 10)]
+        rows.append((10 + i, "".join(line)))
+    want, links = brute_lines(rows, line_dedup.LEAST)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, bytes(r.text)) for r in got) == want and len(links) > 20
+    assert sum(len(r.links) for r in got) == 2 * len(links) and {2, 4, 6} <= {r.doc_id for r in got if r.n_removed}
+
+
+def test_a_crowded_key_is_passed_through():
+    """A key of 100,000 lines is never paired nor held: its lines come out alone."""
+    n = 100_000
+    rows = [np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int32), np.zeros(n, np.int32), np.ones(n, bool)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c[k : k + 5000]) for c in rows], ["key", "did", "tie", "line", "own"]) for k in range(0, n, 5000))
+    out = list(line_dedup.meet(batches, 48))
+    assert sum(map(len, out)) == n and max(map(len, out)) <= 5000 and all(b.column(3).null_count == len(b) for b in out)
+
+
 def test_line_dedup_keeps_columns(edge_docs, no_docs):
     kept = line_dedup.deduped_rows(edge_docs)
     assert kept.columns == edge_docs.columns and kept.where("text IS NULL OR key <> 'extra'").count() == 0
