@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,18 @@ def session(name: str = "corpusloom", master: str = "local[8]", shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of this machine only where that is unset and Spark runs on it alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"

@@ -5,17 +5,17 @@ Query state and results lie under the folder that spark.checkpoint.dir names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(top or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
