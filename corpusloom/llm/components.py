@@ -1,16 +1,23 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars.
+
+A hub's edges are many rows of one key: the least neighbours are summed up within tasks first and stored, so that the
+join with the edges has shuffles of its own, which a skewed key's rows can be split over.
+
+Defined results: edges from a node to itself, and repeated edges, count for nothing; an empty table gives no rows; null ends
+are no nodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_scratch, materialise
 
 
 def _to_least(edges: DataFrame, of: str, other: str) -> DataFrame:
     """least: the smallest of each node's neighbours and itself, beside each of its edges."""
-    least = edges.groupBy(of).agg(F.min(other).alias("least")).withColumn("least", F.least("least", of))
+    least = materialise(edges.groupBy(of).agg(F.min(other).alias("least")).withColumn("least", F.least("least", of)), "least")
     return edges.join(least, of)
 
 
@@ -38,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, before = seen, now
         now = materialise(_small(_large(now)), "links")
+        drop_scratch(edges.sparkSession, before)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -170,8 +170,9 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
                 keys, rows = bucket_keys(part.view(np.uint64), golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "print"])
 
-    dealt = prints.select("print").distinct().mapInArrow(deal, "key long, print long")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out anew, since the few bytes of the fingerprints would meet in few tasks, and each becomes some 180 rows
+    dealt = prints.select("print").distinct().repartition(parts).mapInArrow(deal, "key long, print long")
     found = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: bucket_links(b, bits), "a long, b long")
     return found.distinct()
 
@@ -192,8 +193,10 @@ def classes(found: DataFrame, bits: int = BITS) -> DataFrame:
     """print, component_id (the smallest doc_id reachable over links) of every distinct fingerprint of fingerprints()."""
     least = found.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(found, bits))
-    rooted = least.join(roots, least["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    return rooted.select("print", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
+    rooted = materialise(least.join(roots, least["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root")), "roots")
+    # stored, so that the join has shuffles of its own, which a giant component's rows can be split over
+    first = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return rooted.select("print", "root").join(first, "root").select("print", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
