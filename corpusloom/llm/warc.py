@@ -147,12 +147,20 @@ def parsed(headers: dict[str, str], block: bytes) -> tuple[int | None, int, str,
     return page_of(headers["warc-record-id"]), size, named, kind, page_of(headers["warc-refers-to"]) if kind == "revisit" else None
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its store's scheme, so that pyarrow in a task means what Spark means."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to (null for a response)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keys = rows.select("page_id", F.sha2("payload", 256).alias("same"))
-    kept = keys.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join has shuffles of its own, which the rows of a very common payload can be split over
+    kept = materialise(keys.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-kept")
     revisits = keys.join(kept, "same").where("page_id <> refers_to").select("page_id", "same", "refers_to").distinct()
     # repeated page_ids with other payloads keep their own records
     return rows.withColumn("same", F.sha2("payload", 256)).join(revisits, ["page_id", "same"], "left").drop("same")
@@ -168,6 +176,7 @@ def dictionary_of(pages: DataFrame, records: int = 400, most: int = 64 << 10) ->
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives under folder; returns the manifest: file, records."""
+    folder = qualified(pages.sparkSession, folder)
     jvm, conf = pages.sparkSession.sparkContext._jvm, pages.sparkSession.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(conf).mkdirs(path)
@@ -183,6 +192,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the manifest's files."""
+    folder = qualified(manifest.sparkSession, folder)
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def records(batches):
