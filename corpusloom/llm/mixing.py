@@ -8,9 +8,13 @@ the siblings are full. Each leaf then takes whole epochs and, in one more epoch,
 prefix of its documents, in that epoch's seeded order, whose tokens fit.
 
 The order of a hot leaf is never sorted in one task: tokens are summed by leaf and the leading
-digits of the order's hash; only the range in which the budget ends is ordered by row. What
+digits of the order's hash; the range in which the budget ends is cut into ranges by the next digits, and so on; only
+the last such range is ordered by row, one in 16 to the power digits * steps of the leaf. What
 is joined to the documents is a row a leaf, with the hash at which its prefix ends.
 
+The tree's top level is the caller's: `domains` names the domain of each source. `documents` has no such column,
+so the query takes a stand-in, by a hash of the source's name.
+
 Tokens are counted as a quarter of the UTF-8 bytes, rounded up. Defined results: a null text has no
 tokens; null languages and sources are the label ''; rows that share a doc_id stand or fall
 together; a leaf without tokens, or of weight zero, gets no quota; an empty table gives no rows.
@@ -32,29 +36,37 @@ BROADCAST_LEAVES, SALTS = 20_000, 32
 
 @dataclass(frozen=True)
 class Mixture:
-    """share: of all tokens; weights: by level and label, 1 where unnamed; digits: of the hash by which a leaf is cut into ranges."""
+    """share: of all tokens; weights: by level and label, 1 where unnamed; domains: of each source (others are in ''), or None
+    for the stand-in; digits: of the hash by which a range is cut in each of so many steps."""
 
     share: float = 0.5
     epochs: int = 2
     seed: int = 17
-    digits: int = 3
+    digits: int = 2
+    steps: int = 3
+    domains: dict[str, str] | None = None
     weights: dict[str, dict[str, int]] = field(
         default_factory=lambda: {"domain": {"web": 5, "books": 3, "reference": 2}, "language": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {}}
     )
 
 
-def domain_of(source: Column) -> Column:
-    """The production domains: by the first hex digit of the source's MD5."""
+def domain_of(source: Column, domains: dict[str, str] | None) -> Column:
+    """The domain that the mapping names; the stand-in goes by the first hex digit of the source's MD5."""
+    if domains is not None:
+        out = F.lit("")
+        for name, domain in domains.items():
+            out = F.when(source == name, domain).otherwise(out)
+        return out
     digit = F.substring(F.md5(source.cast("binary")), 1, 1)
     return F.when(digit < "6", "web").when(digit < "b", "books").otherwise("reference")
 
 
-def labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, plan: Mixture) -> DataFrame:
     """docs as one struct `row_`, with the tree's labels and the tokens."""
     source = F.coalesce(F.col("source"), F.lit(""))
     return docs.select(
         F.struct("*").alias("row_"),
-        domain_of(source).alias("domain"),
+        domain_of(source, plan.domains).alias("domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("language"),
         source.alias("source"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_"),
@@ -114,38 +126,47 @@ def with_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
         return rows.join(F.broadcast(leaves), list(LEVELS))
     salted = leaves.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("id_", "tokens"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("id_" if "id_" in rows.columns else "hash", "tokens"), F.lit(SALTS)).cast("int")
     return rows.withColumn("salt_", salt).join(salted, [*LEVELS, "salt_"]).drop("salt_")
 
 
 def cutoffs(rows: DataFrame, plan: Mixture) -> DataFrame:
     """quotas() and, for each leaf, the order hash at which its prefix in the partial epoch ends (null: it takes none)."""
+    rows = materialise(rows.select(*LEVELS, "id_", "tokens"), "mixing-tokens")
     found = materialise(quotas(rows, plan), "quotas")
-    keyed = with_leaves(rows.select(*LEVELS, "id_", "tokens"), found).withColumn("hash", order_hash(plan, F.col("full"))).withColumn("range", F.substring("hash", 1, plan.digits))
-    ranges = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.max("hash").alias("last"))
-    upto = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    ranges = ranges.withColumn("upto", upto)
-    whole = ranges.where("upto <= rest").groupBy(*LEVELS).agg(F.max("last").alias("cutoff"))
-    # of each leaf the one range in which the budget ends
-    border = ranges.where("upto > rest AND upto - tokens < rest").select(*LEVELS, "range", (F.col("upto") - F.col("tokens")).alias("before"))
-    inside = (
-        keyed.join(border, [*LEVELS, "range"])
-        .withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)))
-        .where("upto <= rest")
-        .groupBy(*LEVELS)
-        .agg(F.max("hash").alias("cutoff"))
-    )
-    ends = whole.unionByName(inside).groupBy(*LEVELS).agg(F.max("cutoff").alias("cutoff"))
-    return found.join(ends, list(LEVELS), "left")
+    keyed = with_leaves(rows, found.select(*LEVELS, "full")).withColumn("hash", order_hash(plan, F.col("full"))).drop("full", "id_")
+    # of each leaf the one range in which the budget ends, and the tokens before it
+    border = found.select(*LEVELS, "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    ends = None
+    for step in range(plan.steps + 1):
+        inside = with_border(keyed, border)
+        if step < plan.steps:  # cut into finer ranges
+            inside = inside.withColumn("range", F.substring("hash", 1, plan.digits * (step + 1))).groupBy(*LEVELS, "rest", "before", "range").agg(F.sum("tokens").alias("tokens"), F.max("hash").alias("last"))
+            order = Window.partitionBy(*LEVELS).orderBy("range")
+        else:
+            inside = inside.withColumn("last", F.col("hash"))
+            order = Window.partitionBy(*LEVELS).orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)
+        ranges = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+        if step < plan.steps:
+            ranges = materialise(ranges, "mixing-ranges")
+            border = ranges.where("upto > rest AND upto - tokens <= rest").select(*LEVELS, "rest", F.col("range").alias("prefix"), (F.col("upto") - F.col("tokens")).alias("before"))
+        whole = ranges.where("upto <= rest").groupBy(*LEVELS).agg(F.max("last").alias("cutoff"))
+        ends = whole if ends is None else ends.unionByName(whole)
+    return found.join(ends.groupBy(*LEVELS).agg(F.max("cutoff").alias("cutoff")), list(LEVELS), "left")
+
+
+def with_border(keyed: DataFrame, border: DataFrame) -> DataFrame:
+    """The rows in the range of their leaf that border names."""
+    return with_leaves(keyed, border).where(F.col("hash").startswith(F.col("prefix"))).drop("prefix")
 
 
 def mix(docs: DataFrame, plan: Mixture | None = None) -> DataFrame:
     """Each chosen row as struct `row_`, its labels, tokens, and in how many epochs it is taken (copies)."""
     plan = plan or Mixture()
-    rows = labelled(docs)
+    rows = labelled(docs, plan)
     taken = F.col("hash") <= F.col("cutoff")
     return (
-        with_leaves(rows, materialise(cutoffs(rows, plan), "cutoffs"))
+        with_leaves(rows, materialise(cutoffs(rows, plan).drop("supply", "rest"), "cutoffs"))
         .withColumn("hash", order_hash(plan, F.col("full")))
         .withColumn("copies", F.col("full") + F.when(taken, 1).otherwise(0))
         .where("copies > 0")
