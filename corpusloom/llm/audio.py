@@ -4,9 +4,9 @@ Each text's bytes, padded with zeros, are stored losslessly as the 8-bit samples
 binary column. The stored column is read back and, from its samples alone, features are made:
 polyphase resampling (to half the rate), overlapped windowed frames through a log-mel filterbank,
 and segments by energy with hysteresis (begun above the higher level, ended below the lower one).
-Frames are stored as a fixed-shape tensor column (a list of `frames` x `mels` float32 patches
-for each row) beside the time spans of the segments; tensors() gives the column as Arrow's
-fixed-shape tensor type.
+Frames are stored as a fixed-shape tensor column (`frames` x `mels` float32 patches, flat and in order, for each row;
+Spark has no tensor type, so the column's metadata in the schema name Arrow's, with its shape, and stay with it in Parquet)
+beside the time spans of the segments; tensors() gives the column as Arrow's fixed-shape tensor type by that metadata.
 
 Every stage is one row at a time over bounded pieces of a row, so a task holds one batch of
 bounded weight plus its longest row. Defined results: a null text is the empty one (64 zero
@@ -16,6 +16,7 @@ samples); equal texts give equal values; repeated rows give repeated rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from functools import lru_cache
@@ -142,6 +143,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 SHAPE = (PATCH, MELS)
+#: What Arrow writes of a fixed-shape tensor field, as metadata of the column.
+TENSOR = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": SHAPE})}
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<struct<begin: double, end: double>>"
 
 
@@ -158,16 +161,19 @@ def featured(stored: DataFrame, keep_patches: bool = True) -> DataFrame:
                 yield (doc_id.as_py(), n.as_py(), *digest, [{"begin": a, "end": b} for a, b in spans]) + ((mel.ravel(),) if keep_patches else ())
 
     weigh = (lambda r: 400 + r[-1].nbytes) if keep_patches else (lambda r: 400)
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lambda b: in_batches(rows(b), schema, weigh), RESULT + ", patches array<float>" * keep_patches)
+    found = stored.select("doc_id", "n_bytes", "media").mapInArrow(lambda b: in_batches(rows(b), schema, weigh), RESULT + ", patches array<float>" * keep_patches)
+    return found.withMetadata("patches", TENSOR) if keep_patches else found
 
 
-def tensors(patches: pa.Array) -> pa.ChunkedArray | pa.Array:
-    """A row's flat patches, or a column of them joined, as Arrow's fixed-shape tensors."""
+def tensors(patches: pa.Array, metadata: dict) -> pa.ExtensionArray:
+    """A row's flat patches, or a column of them joined, as Arrow's fixed-shape tensors; metadata of the column, as in its schema."""
+    if metadata.get("ARROW:extension:name") != TENSOR["ARROW:extension:name"]:
+        raise ValueError("the column is no tensor column")
+    shape = json.loads(metadata["ARROW:extension:metadata"])["shape"]
     flat = patches.flatten() if pa.types.is_list(patches.type) else patches
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), PATCH * MELS))
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), int(np.prod(shape))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialise(featured(store(table(spark, sf_dir, "documents"))), "audio-features")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").alias("n_segments"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("spans").alias("n_segments"), "spans", "patches")
