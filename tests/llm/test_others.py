@@ -35,6 +35,43 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
 
 
+def test_scores_are_sums_of_table_cells():
+    """Model.score and one round of boosting against loops over rows, bins and cuts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality.fit(x, y, bins=6, rounds=3, pair_rounds=2, pairs_kept=2)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        cells = [sum(c <= v for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        total = model.base + sum(t[c] for t, c in zip(model.single, cells, strict=True)) + sum(t[cells[i], cells[j]] for (i, j), t in model.double.items())
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
+    # a tree of two leaves: the cut of the greatest gain, and each side's step
+    g, h, ridge = rng.normal(size=7), rng.uniform(0.1, 1, 7), 2.0
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + ridge)
+    cut = max(range(1, 7), key=lambda k: gain(0, k) + gain(k, 7))
+    want = [g[:cut].sum() / (h[:cut].sum() + ridge)] * cut + [g[cut:].sum() / (h[cut:].sum() + ridge)] * (7 - cut)
+    assert np.allclose(quality._tree(g, h, 2, ridge), want)
+    g, h = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+    best = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: sum(p[0].sum() ** 2 / (p[1].sum() + ridge) for p in quarters(g, h, *c)))
+    step, _ = quality._pair_tree(g, h, ridge)
+    want = np.empty((4, 5))
+    for part, (a, b) in zip(quarters(want, want, *best), quarters(g, h, *best), strict=True):
+        part[0][:] = a.sum() / (b.sum() + ridge)
+    assert np.allclose(step, want)
+
+
+def quarters(g, h, i, j):
+    return [(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))]
+
+
+def test_no_feature_stops_at_a_prefix():
+    """What stands behind the first hundred thousand bytes changes features, the count of the top word among them."""
+    words = [f"word{k}" for k in range(20_000)]
+    one, two = quality.features(" ".join(words).encode()), quality.features(" ".join([*words, *["again"] * 5000]).encode())
+    top = quality.FEATURES.index("top_word")
+    assert one[top] == 1 / 20_000 and two[top] == 5000 / 25_000
+
+
 def test_quality_of_odd_rows(spark, edge_docs, edge_rows, no_docs):
     marks = spark.createDataFrame([(1, 1), (1, 0), (15, 0), (8, 1), (9, 1), (5, None)], "doc_id long, quality int")
     found = quality.featured(edge_docs)
@@ -74,6 +111,7 @@ def pages(spark):
 def test_archives_read_back(spark, tmp_path):
     rows, df = pages(spark)
     folder = f"file://{tmp_path}/w"
+    df = df.withColumns({n: F.lit("extra") for n in ("payload", "same", "refers_to", "n", "file", "records", "payload_bytes", "payload_digest", "record_type")})
     got = Counter(tuple(r) for r in warc.read_archives(warc.write_archives(df, folder), folder).collect())
     best = {}
     for i, _, h in rows:
@@ -275,7 +313,26 @@ def test_segments_have_hysteresis():
     assert audio.segments(energy) == [(1, 5), (8, 10)]
 
 
-def test_audio(edge_docs, edge_rows, no_docs):
+def test_log_mels_equal_a_plain_transform():
+    y, rate = np.random.default_rng(5).normal(size=700).astype(np.float32), 8000
+    mel, energy = audio.log_mels(y, rate)
+    mels = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mels(rate / 2), audio.MELS + 2)]
+    for f in range(len(mel)):
+        frame = y[f * audio.HOP : f * audio.HOP + audio.FRAME].astype(float)
+        assert abs(energy[f] - 10 * np.log10((frame**2).mean() + 1e-10)) < 1e-6
+        smooth = frame * [0.5 - 0.5 * np.cos(2 * np.pi * t / audio.FRAME) for t in range(audio.FRAME)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * t / audio.FRAME) for t, v in enumerate(smooth))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        for m in range(audio.MELS):
+            low, top, high = edges[m : m + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                hz = k * rate / audio.FRAME
+                total += p * max(0.0, min((hz - low) / (top - low), (high - hz) / (high - top)))
+            assert abs(mel[f, m] - np.log(total + 1e-6)) < 1e-3
+
+
+def test_audio(edge_docs, edge_rows, no_docs, tmp_path):
     import wave
 
     stored = audio.store(edge_docs)
@@ -296,7 +353,10 @@ def test_audio(edge_docs, edge_rows, no_docs):
     assert all(len(f) == 1 for f in features.values())
     import pyarrow as pa
 
-    tensors = audio.tensors(pa.array([r.patches for r in rows], pa.list_(pa.float32())))
+    path = f"file://{tmp_path}/features"
+    audio.featured(stored).write.parquet(path)
+    metadata = edge_docs.sparkSession.read.parquet(path).schema["patches"].metadata  # the column keeps its tensor type in Parquet
+    tensors = audio.tensors(pa.array([r.patches for r in rows], pa.list_(pa.float32())), metadata)
     assert tensors.type.shape == list(audio.SHAPE) and len(tensors) == sum(len(r.patches) for r in rows) // (audio.PATCH * audio.MELS)
     assert audio.featured(audio.store(no_docs)).count() == 0
 
@@ -327,13 +387,44 @@ def test_shortages_go_to_siblings_first(spark):
     rows = [(i, "x" * 400, "en", "s1") for i in range(2)] + [(10 + i, "x" * 400, "en", "s2") for i in range(50)] + [(100 + i, "x" * 400, "de", "s3") for i in range(50)]
     plan = mixing.Mixture(share=0.5, epochs=1, weights={"domain": {}, "language": {}, "source": {}})
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    quota = {r.source: r.quota for r in mixing.quotas(mixing.labelled(docs).withColumn("domain", __import__("pyspark").sql.functions.lit("d")), plan).collect()}
+    quota = {r.source: r.quota for r in mixing.quotas(mixing.labelled(docs, plan).withColumn("domain", F.lit("d")), plan).collect()}
     assert quota == {"s1": 200, "s2": 2350, "s3": 2550}
 
 
+def test_domains_are_the_caller_s(spark):
+    docs = spark.createDataFrame([(i, "x" * 400, "en", f"s{i % 3}") for i in range(90)], "doc_id long, text string, lang string, source string")
+    plan = mixing.Mixture(share=0.5, epochs=1, domains={"s0": "law", "s1": "news"}, weights={"domain": {"law": 3, "news": 1, "": 1}, "language": {}, "source": {}})
+    tokens = Counter()
+    for r in mixing.mix(docs, plan).collect():
+        tokens[r.domain] += r.tokens * r.copies
+    assert tokens == {"law": 2700, "news": 900, "": 900}
+
+
+@pytest.mark.parametrize(("digits", "steps"), [(1, 0), (1, 1), (1, 4), (3, 1)])
+def test_steps_of_ranges_change_nothing(edge_docs, digits, steps):
+    want = Counter(str(r) for r in mixing.mix(edge_docs).drop("row_").collect())
+    assert Counter(str(r) for r in mixing.mix(edge_docs, mixing.Mixture(digits=digits, steps=steps)).drop("row_").collect()) == want
+
+
 # pipeline
 
 
+def test_stages_of_odd_rows(spark, edge_docs, edge_rows, no_docs):
+    """Nulls, empty and very long texts, ties, repeats and clashing names: each stage keeps the columns, and an empty table stays empty."""
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    assert labels.count() > 0
+    ids = {r[0] for r in edge_rows}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got, none = stage(spark, edge_docs, SMALL), stage(spark, no_docs, SMALL)
+        assert none.count() == 0 and {r.doc_id for r in got.select("doc_id").collect()} <= ids
+        if k < 4:
+            assert got.columns == edge_docs.columns and none.columns == no_docs.columns
+        else:
+            assert got.count() == len(edge_rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
