@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import in_batches, materialise, table
 
 EDITS, LEAST = 2, 20
-#: Lines that may share a key before they get finer ones, and pieces a segment that these are made of, step by step.
-HOT, FINER = 48, (4, 16)
+#: Lines that may share a segment before they get finer keys; for each step, pieces a segment that these are made of, and lines that may
+#: share one before the next step.
+HOT, FINER = 48, ((4, 1024), (16, 0))
 #: Most documents of candidate lines that are sent to every task; more are joined by shuffles.
 BROADCAST_DOCS = 300_000
 LAST = (1 << 63) - 1
@@ -123,6 +124,23 @@ def line_keys(line: bytes | str, edits: int = EDITS) -> list[int]:
     return [digest(line[a:b] if whole else line[a:b].encode("utf-8", "surrogateescape"), seed) - (1 << 63) for a, b, seed in key_plan(len(line), edits)]
 
 
+def letters(codes: np.ndarray) -> int:
+    """How often the characters of each of 16 classes occur, modulo 16, four bits each."""
+    counts = np.bincount(codes % 16, minlength=16).astype(np.uint64) % np.uint64(16)
+    return int((counts << np.arange(0, 64, 4, dtype=np.uint64)).sum().view(np.int64))
+
+
+def letters_allow(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
+    """Whether lines with such letters() can be within `edits`: an edit takes one letter at most, and brings one at most."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    more, less = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
+    for at in range(0, 64, 4):
+        d = (x >> np.uint64(at)) - (y >> np.uint64(at)) & np.uint64(15)
+        more += np.where(d < 8, d, 0).astype(np.uint64)
+        less += np.where(d < 8, 0, np.uint64(16) - d).astype(np.uint64)
+    return np.maximum(more, less) <= edits
+
+
 def shifts(edits: int, less: int) -> list[tuple[int, ...]]:
     """Shifts of the stretches between `edits` pieces that may be touched: from 0 to `less`, by at most `edits` steps altogether."""
     every = product(range(-edits, edits + 1), repeat=edits - 1)
@@ -148,8 +166,8 @@ def fine_plan(n: int, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray,
     return np.array([r[2] for r in rows], np.int64).reshape(-1, edits + 1), np.array([r[3] for r in rows], np.int64).reshape(-1, edits + 1), salt, np.array([not r[0] for r in rows], bool)
 
 
-def fine_keys(line: bytes | str, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line, and which are its own: of two lines within `edits` edits the longer has one of the other's own keys."""
+def fine_keys(line: bytes | str, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of a line, which are its own, and its letters(): of two lines within `edits` edits the longer has one of the other's own keys."""
     codes = np.frombuffer(line, np.uint8) if isinstance(line, bytes) else np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
     n, base = len(codes), 0x9E3779B97F4A7C15
     begin, end, salt, own = fine_plan(n, edits, pieces)
@@ -160,7 +178,7 @@ def fine_keys(line: bytes | str, edits: int, pieces: int) -> tuple[np.ndarray, n
     stretch = (stretch ^ stretch >> np.uint64(31)) * (np.arange(1, 2 * edits + 2, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     mixed = stretch.sum(1, dtype=np.uint64) + salt
     keys, first = np.unique(((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), return_index=True)
-    return keys, own[first]
+    return keys, own[first], letters(codes)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -185,7 +203,7 @@ def tie(text: bytes) -> int:
 
 def representatives(docs: DataFrame, least: int, edits: int) -> DataFrame:
     """did, tie, line of the first of each set of equal lines that aren't blank, and its keys (null below `least` characters)."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("keys", pa.binary())])
 
     def rows(batches):
         seen: dict[bytes, tuple[int, int, int]] = {}
@@ -200,10 +218,10 @@ def representatives(docs: DataFrame, least: int, edits: int) -> DataFrame:
                         if len(seen) > 300_000:  # sending a line again is harmless
                             seen.clear()
                         seen[digest] = (*spot, k)
-                        yield int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), *spot, k, line_keys(own, edits) if len(own := characters(line)) >= least else None
+                        yield int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), *spot, k, np.array(line_keys(own, edits), np.int64).tobytes() if len(own := characters(line)) >= least else None
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sent = plain.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: 200), "h1 long, h2 long, did long, tie int, line int, keys array<long>")
+    sent = plain.mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: 200), "h1 long, h2 long, did long, tie int, line int, keys binary")
     return sent.groupBy("h1", "h2").agg(F.min(F.struct("did", "tie", "line", "keys")).alias("first")).select("first.*")
 
 
@@ -219,10 +237,25 @@ def _before(cols: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the runs of equal keys of sorted rows (key, did, tie, line, own); of longer runs each line alone, b null.
+KEYS = "key long, did long, tie int, line int, own boolean"
+_KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("own", pa.bool_())])
+
+
+def dealt_keys(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """KEYS of rows (did, tie, line, keys)."""
+    for whole in batches:
+        for start in range(0, len(whole), 4096):
+            batch = whole.slice(start, 4096)
+            parts = batch.column(3).to_pylist()
+            n = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
+            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) <= edits
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(parts), np.int64)), *(pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in range(3)), pa.array(own)], schema=_KEYS)
+
+
+def meet(batches: Iterator[pa.RecordBatch], hot: int, edits: int = EDITS) -> Iterator[pa.RecordBatch]:
+    """Pairs within the runs of equal keys of sorted rows (key, did, tie, line, own, letters if known); of longer runs each line alone, b null.
 
-    A pair has at least one side with its own segment. hot 0: all runs are paired. Of a run beyond `hot` nothing is held.
+    A pair has at least one side with its own key, and letters that allow it. hot 0: all runs are paired. Of a run beyond `hot` nothing is held.
     """
 
     def alone(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -236,6 +269,8 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
         for off in range(1, int(length[length <= hot].max(initial=1)) if hot else int(length.max())):
             at = np.flatnonzero((key[:-off] == key[off:]) & ~big[:-off] & (own[:-off] | own[off:]))
             at = at[np.any([c[at] != c[at + off] for c in cols[1:4]], axis=0)]
+            if len(cols) > 5 and len(at):
+                at = at[letters_allow(cols[5][at], cols[5][at + off], edits)]
             if len(at):
                 x, y = at, at + off
                 first = _before(cols, x, y)
@@ -270,10 +305,10 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
         yield from out(held)
 
 
-def joined(keys: DataFrame, hot: int) -> DataFrame:
+def joined(keys: DataFrame, hot: int, edits: int) -> DataFrame:
     """meet() over keys dealt out by key."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, hot), PAIR)
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: meet(b, hot, edits), PAIR)
 
 
 def lines_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
@@ -299,24 +334,24 @@ def lines_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     """PAIR of representatives within `edits` edits, a before b."""
-    own = F.transform("keys", lambda x, i: F.struct(x.alias("key"), (i <= edits).alias("own")))
-    keys = reps.where("keys IS NOT NULL").select(*SPOT, F.explode(own).alias("k")).select("k.key", *SPOT, "k.own")
-    met = materialise(joined(keys, HOT).distinct(), "line-pairs")
+    keys = reps.where("keys IS NOT NULL").select(*SPOT, "keys").mapInArrow(lambda b: dealt_keys(b, edits), KEYS)
+    met = materialise(joined(keys, HOT, edits).distinct(), "line-pairs")
     pairs = met.where("b_did IS NOT NULL")
-    schema = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("tie", pa.int32()), ("line", pa.int32()), ("own", pa.bool_())])
+    schema = _KEYS.append(pa.field("letters", pa.int64()))
 
     def finer(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for did, tie_, line, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, mine = fine_keys(characters(content), edits, pieces)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.full(len(k), v, t)) for v, t in ((did, "int64"), (tie_, "int32"), (line, "int32"))), pa.array(mine)], schema=schema)
+                k, mine, held = fine_keys(characters(content), edits, pieces)
+                same = lambda v, t, n=len(k): pa.array(np.full(n, v, t))
+                yield pa.RecordBatch.from_arrays([pa.array(k), same(did, "int64"), same(tie_, "int32"), same(line, "int32"), pa.array(mine), same(held, "int64")], schema=schema)
 
-    for step, pieces in enumerate(FINER):
+    for pieces, hot in FINER:
         lone = met.where("b_did IS NULL").select(F.col("a_did").alias("did"), F.col("a_tie").alias("tie"), F.col("a_line").alias("line"))
         if lone.isEmpty():
             break
-        fine = lines_of(docs, lone).mapInArrow(lambda b, n=pieces: finer(b, n), "key long, did long, tie int, line int, own boolean")
-        met = materialise(joined(fine, HOT if step + 1 < len(FINER) else 0).distinct(), "line-pairs")
+        fine = lines_of(docs, lone).mapInArrow(lambda b, n=pieces: finer(b, n), f"{KEYS}, letters long")
+        met = materialise(joined(fine, hot, edits).distinct(), "line-pairs")
         pairs = pairs.unionByName(met.where("b_did IS NOT NULL")).distinct()
     a, b = ([F.col(f"{side}_{c}").alias(c) for c in SPOT] for side in "ab")
     content = lines_of(docs, pairs.select(*a).unionByName(pairs.select(*b)))

@@ -91,8 +91,9 @@ def test_fine_keys_are_shared_by_similar_lines(edits, pieces):
             x = x[:at] + "".join(rng.choice(letters, rng.integers(0, 2))) + x[at + int(rng.integers(0, 2)) :]
         x, y = (x, y) if len(x) >= len(y) else (y, x)
         if lev(x, y) <= edits and len(y) > edits:
-            (asked, _), (keys, own) = line_dedup.fine_keys(line_dedup.characters(x.encode()), edits, pieces), line_dedup.fine_keys(line_dedup.characters(y.encode()), edits, pieces)
+            (asked, _, one), (keys, own, two) = line_dedup.fine_keys(line_dedup.characters(x.encode()), edits, pieces), line_dedup.fine_keys(line_dedup.characters(y.encode()), edits, pieces)
             assert set(asked.tolist()) & set(keys[own].tolist()), (x, y)
+            assert line_dedup.letters_allow(np.array([one]), np.array([two]), edits)[0]
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
@@ -149,6 +150,7 @@ def test_line_dedup_with_a_hot_segment(spark, hot, monkeypatch):
 def test_line_dedup_of_accents_numbers_and_crowds(spark, monkeypatch):
     """Two changed digits and an accent are two edits at most, wherever they are; a crowd of similar lines loses no link."""
     monkeypatch.setattr(line_dedup, "HOT", 6)
+    monkeypatch.setattr(line_dedup, "FINER", ((1, 8), (2, 8), (16, 0)))
     rng = np.random.default_rng(9)
     rows = [(1, "Une journée d'été à la plage"), (2, "Une journee d'eté à la plage"), (3, "Ein schöner Tag am See, 19"), (4, "Ein schoner Tag am See, 18"), (5, "x" * 40), (6, "x" * 41)]
     for i in range(60):
