@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,17 +31,27 @@ def canonicalise(refs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     out = exact.unionByName(normal)
     surface = F.concat(F.col("type"), F.lit(": "), F.col("label"))
     if embed:
-        ranked = known.orderBy(F.desc("occurrences"), "label", "concept_id").limit(pool).withColumn("place", F.row_number().over(Window.orderBy(F.desc("occurrences"), "label", "concept_id")))
-        side = F.broadcast(ranked.select("concept_id", "place", T.trigram_embedding(surface).alias("theirs")))  # at most `pool` rows
-        met = rest.select("label", "type", T.trigram_embedding(surface).alias("ours")).crossJoin(side).withColumn("score", T.dot(F.col("ours"), F.col("theirs")))
-        best = met.groupBy("label", "type").agg(F.max_by(F.struct("concept_id", "score"), F.struct(F.round("score", 9), -F.col("place"))).alias("b")).select("label", "type", "b.*").where(F.col("score") >= threshold)
-        near = best.select("label", "type", "concept_id", F.lit("embedding").alias("method"), F.round("score", 4).alias("score"))
+        ranked = known.orderBy(F.desc("occurrences"), "label", "concept_id").limit(pool)
+        side = [(r.concept_id, r.theirs) for r in ranked.select("concept_id", T.trigram_embedding(surface).alias("theirs")).collect()]  # at most `pool` rows
+        shared = refs.sparkSession.sparkContext.broadcast(([i for i, _ in side], np.array([v for _, v in side])))
+        kind = known.schema["concept_id"].dataType.simpleString()
+        best = rest.select("label", "type", T.trigram_embedding(surface).alias("ours")).mapInPandas(lambda parts: _closest(parts, *shared.value), f"label string, type string, concept_id {kind}, score double")
+        near = best.where(F.col("score") >= threshold).select("label", "type", "concept_id", F.lit("embedding").alias("method"), F.round("score", 4).alias("score"))
         rest = rest.join(near, ["label", "type"], "left_anti")
         out = out.unionByName(near)
     minted = rest.select("label", "type", T.digest(F.lit("concept"), keys[1], keys[0]).alias("concept_id"), F.lit("new").alias("method"), F.lit(0.0).alias("score"))
     return out.unionByName(minted)
 
 
+def _closest(parts: Iterator[pd.DataFrame], ids: list, theirs: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Each ref's concept of the greatest dot product, of equal ones the most frequent; theirs come in that order."""
+    for pdf in parts:
+        if len(pdf) and ids:
+            scores = np.stack(pdf["ours"].tolist()) @ theirs.T
+            at = np.round(scores, 9).argmax(1)
+            yield pd.DataFrame({"label": pdf["label"], "type": pdf["type"], "concept_id": [ids[k] for k in at], "score": scores[np.arange(len(at)), at]})
+
+
 def find_concept(names: DataFrame, concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, concept_id: by label, else by alias; only A-Z fold; the smallest id of equals."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

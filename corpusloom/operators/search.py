@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..session import shared_dir
 
 K1, B, RRF_K, POOL = 1.2, 0.75, 60, 40
 #: Most rows of a query side that is sent to every task; larger ones are joined by shuffles.
 BROADCAST_ROWS = 10_000
+#: Query vectors, or quotes, that are sent to every task at once.
+BLOCK = 4096
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -18,20 +26,29 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored form of the lexical index: key, tokens, length."""
+    """The lexical index: key, tokens, length."""
     return docs.select(key, T.fold_terms(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: what several branches of a plan read is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bm25(indexed: DataFrame, questions: DataFrame, limit: int = POOL, key: str = "doc_id") -> DataFrame:
     """qid, key, score, rank: the best `limit` of each question (qid, question).
 
-    Tokens are pruned to the questions' terms before anything is shuffled; a term that a question repeats
+    indexed is index(), stored or not: it is read once, and only lengths and the questions' terms go on. A term that a question repeats
     counts as often.
     """
     terms = questions.select("qid", F.explode(T.fold_terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = small(terms.select("term").distinct())
-    tf = indexed.select(key, "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    totals = indexed.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = terms.agg(F.collect_set("term").alias("asked"))  # one row; terms of questions, not of the corpus
+    hits = F.filter("tokens", lambda t: F.array_contains("asked", t))
+    pruned = stored(indexed.crossJoin(F.broadcast(asked)).select(key, "length", hits.alias("hits")), "bm25")
+    tf = pruned.select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    totals = pruned.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -41,11 +58,97 @@ def bm25(indexed: DataFrame, questions: DataFrame, limit: int = POOL, key: str =
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, kind: str = "l2", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
+    """qid, key, value: for each query vector (qid, query) the `limit` vectors of least L2 distance, or of greatest dot product, exactly.
+
+    Queries go out in blocks of about `block` (a bound of what is sent, whatever their number); tasks multiply whole
+    batches and keep the best of each query, so what is shuffled is `limit` rows a query and task.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    fields = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    kinds = [to_arrow_type(fields["qid"]), to_arrow_type(fields[key])]
+    found = None
+    for number in range(blocks):
+        rows = numbered.where(F.col("block_") == number).select("qid", "query").collect()
+        if rows or number == 0:
+            side = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.query for r in rows], np.float64)))
+            part = vectors.select(key, "embedding").mapInArrow(lambda b, s=side: _best(b, *s.value, limit, kind, key, kinds), f"qid {fields['qid'].simpleString()}, {key} {fields[key].simpleString()}, value double")
+            found = part if found is None else found.unionByName(part)
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("value" if kind == "l2" else F.desc("value"), key))
+    return found.withColumn("rank", first).where(F.col("rank") <= limit)
+
+
+def _best(batches, qids: list, wanted: np.ndarray, limit: int, kind: str, key: str, kinds: list[pa.DataType]):
+    keys, values = [np.empty(0, object)] * len(qids), [np.empty(0)] * len(qids)
+    for batch in batches:
+        ids = np.array(batch.column(0).to_pylist(), object)
+        if not len(ids) or not len(qids):
+            continue
+        v = np.array(batch.column(1).to_pylist(), np.float64)
+        for q, near in enumerate(_values(v, wanted, kind)):
+            both, k = np.concatenate([values[q], near]), np.concatenate([keys[q], ids])
+            if len(both) > limit:
+                sign = both if kind == "l2" else -both
+                stay = sign <= np.partition(sign, limit - 1)[limit - 1]  # ties stay for the ranking
+                both, k = both[stay], k[stay]
+            keys[q], values[q] = k, both
+    for q, qid in enumerate(qids):
+        if len(keys[q]):
+            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(keys[q]), kinds[0]), pa.array(keys[q].tolist(), kinds[1]), pa.array(values[q])], ["qid", key, "value"])
+
+
+def _values(v: np.ndarray, wanted: np.ndarray, kind: str):
+    """For each query its rounded distance to, or dot product with, each row of v."""
+    if kind == "dot":
+        yield from np.round(wanted @ v.T, 9)
+    else:
+        for q in wanted:
+            yield np.round(np.sqrt(((v - q) ** 2).sum(1)), 6)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, limit: int = POOL, key: str = "vec_id") -> DataFrame:
     """qid, key, distance, rank: the nearest `limit` of each query vector (qid, query), by exact L2 distance."""
-    met = vectors.select(key, "embedding").crossJoin(small(queries)).select("qid", key, F.round(T.l2_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", key))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return nearest(vectors, queries, limit, "l2", key).withColumnRenamed("value", "distance")
+
+
+def quotes_in(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", name: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """key, name, start: where each quote (name, quote) first stands in each text, in characters; empty quotes stand nowhere.
+
+    Each text is read once for a block of quotes by an automaton of them all, whatever their number.
+    """
+    blocks = max(1, -(-quotes.count() // block))
+    numbered = quotes.withColumn("block_", F.pmod(F.xxhash64(name), F.lit(blocks)))
+    fields = {f.name: f.dataType for f in [*docs.schema, *quotes.schema]}
+    schema = pa.schema([(key, to_arrow_type(fields[key])), (name, to_arrow_type(fields[name])), ("start", pa.int64())])
+    found = None
+    for number in range(blocks):
+        rows = [(r[0], r[1]) for r in numbered.where(F.col("block_") == number).select(name, "quote").collect() if r[1]]
+        side = docs.sparkSession.sparkContext.broadcast(rows)
+        part = docs.select(key, "text").mapInArrow(lambda b, s=side: _quoted(b, s.value, schema), f"{key} {fields[key].simpleString()}, {name} {fields[name].simpleString()}, start long")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _quoted(batches, quotes: list[tuple], schema: pa.Schema):
+    import ahocorasick
+
+    named: dict[str, list] = {}
+    for item, quote in quotes:
+        named.setdefault(quote, []).append(item)
+    automaton = ahocorasick.Automaton()
+    for quote, items in named.items():
+        automaton.add_word(quote, (len(quote), items))
+    automaton.make_automaton()
+    for batch in batches:
+        out = []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first: dict = {}
+            for end, (n, items) in automaton.iter(text or "") if named else ():
+                for item in items:
+                    first.setdefault(item, end + 1 - n)
+            out += ((doc, item, start) for item, start in first.items())
+        yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], field.type) for k, field in enumerate(schema)], schema=schema)
 
 
 def rrf(lexical: DataFrame, semantic: DataFrame, limit: int = 10, key: str = "id") -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 TARGET, OVERLAP = 1200, 120
-_HEADING = re.compile(r"(#{1,6})\s+(.*)")
-_BOUNDARY = re.compile(r"(?<=[.!?…])\s+|\n+")
-_FRONT = re.compile(r"\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\Z)", re.S)
+# What a heading, the end of a sentence or line, and leading front matter look like.
+_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
+_BOUNDARY = re.compile(r"(?<=[.!?…])\s+|\n")
+_FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 
 
 def body_offset(text: str) -> int:
@@ -22,24 +23,23 @@ def body_offset(text: str) -> int:
 
 
 def blocks(text: str, offset: int = 0) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-    """(start, end, heading path) of each heading line and of each run of other lines; blank lines part them."""
+    """(start, end, heading path) of each run of lines; headings and blank lines part them and belong to none."""
     path: list[str] = []
     start, at = None, offset
     for line in text[offset:].splitlines(keepends=True):
-        bare = line.strip()
+        bare = line.rstrip("\r\n")
         heading = _HEADING.match(bare)
-        if start is not None and (not bare or heading):
-            yield start, offset + len(text[offset:at].rstrip()), tuple(path)
-            start = None
-        if heading:
-            del path[len(heading[1]) - 1 :]
-            path.append(heading[2].strip())
-            yield at, at + len(line.rstrip()), tuple(path)
-        elif bare and start is None:
+        if heading or not bare.strip():
+            if start is not None:
+                yield start, start + len(text[start:at].rstrip()), tuple(path)
+                start = None
+            if heading:
+                path[len(heading[1]) - 1 :] = [heading[2]]
+        elif start is None:
             start = at
         at += len(line)
     if start is not None:
-        yield start, offset + len(text[offset:].rstrip()), tuple(path)
+        yield start, start + len(text[start:].rstrip()), tuple(path)
 
 
 def pieces(text: str, start: int, end: int, target: int = TARGET) -> Iterator[tuple[int, int]]:

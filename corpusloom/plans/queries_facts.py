@@ -102,8 +102,8 @@ query("join_pending_chunks", f"{CF} SELECT chunk_id, event_time FROM chunks ANTI
 query("lim_process", f"{CF} SELECT chunk_id FROM chunks ANTI JOIN facts USING (chunk_id) ORDER BY event_time, version_id, ordinal LIMIT 10")(lambda s, d: L.queue(R.chunks(s, d), R.facts(s, d)).orderBy("event_time", "version_id", "ordinal").limit(10).select("chunk_id"))
 query("set_except_queue", f"{CF} SELECT chunk_id FROM chunks EXCEPT SELECT chunk_id FROM facts")(lambda s, d: R.chunks(s, d).select("chunk_id").subtract(R.facts(s, d).select("chunk_id")))
 query("join_unindexed_vectors", "SELECT doc_id FROM documents ANTI JOIN embeddings ON doc_id = vec_id")(lambda s, d: R.read(s, d, "documents").select("doc_id").join(R.read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti"))
-query("join_text_back", "SELECT vec_id, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id AND doc_id % 2 = 0")(
-    lambda s, d: R.read(s, d, "embeddings").select("vec_id").join(R.read(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select("vec_id", F.coalesce("text", F.lit("")).alias("text"))
+query("join_text_back", "SELECT vec_id, coalesce(text, '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id")(
+    lambda s, d: R.read(s, d, "embeddings").select("vec_id").join(R.read(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select("vec_id", F.coalesce("text", F.lit("")).alias("text"))
 )
 query("join_chunk_sources", f"{C} SELECT chunk_id, 'conversations/' || document_id || '.md' AS path, c.event_time FROM chunks c JOIN versions USING (version_id)")(
     lambda s, d: R.chunks(s, d).select("chunk_id", "version_id", "event_time").join(R.versions(s, d).select("version_id", "document_id"), "version_id").select("chunk_id", F.concat(F.lit("conversations/"), "document_id", F.lit(".md")).alias("path"), "event_time")
@@ -112,7 +112,7 @@ query("join_prev_version", f"{V} SELECT a.version_id, b.version_id AS previous F
     lambda s, d: R.versions(s, d).select("version_id", "document_id", "ingested_at").join(R.versions(s, d).select("document_id", (F.col("ingested_at") + 1).alias("ingested_at"), F.col("version_id").alias("previous")), ["document_id", "ingested_at"], "left").select("version_id", "previous")
 )
 query("join_contains_eval", "SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(trim(b.text))))")(
-    lambda s, d: search.small(R.read(s, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("want"))).join(R.read(s, d, "documents").select(F.lower("text").alias("body")), F.expr("contains(body, want)"), "left_semi").select("item_id")
+    lambda s, d: search.quotes_in(R.read(s, d, "documents").select("doc_id", F.lower("text").alias("text")), R.read(s, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("quote"))).select("item_id").distinct()
 )
 query("asof_facts", f"{RU} SELECT fact_id FROM facts f LEFT JOIN runs r ON f.superseded_by = r.run_id, (SELECT max(first_day) AS m FROM runs) WHERE knowledge_time <= m AND (started_at IS NULL OR started_at > m)")(
     lambda s, d: (lambda m: L.as_of(R.facts(s, d).crossJoin(F.broadcast(m)), R.runs(s, d), F.col("m")))(R.runs(s, d).agg(F.max("first_day").alias("m"))).select("fact_id")  # m is one row
@@ -161,8 +161,8 @@ query("win_argmax", f"{FA} SELECT subject, fact_id, confidence FROM facts QUALIF
 query("top_recent_runs", f"{RU} SELECT run_id, started_at, n FROM runs ORDER BY started_at DESC, run_id LIMIT 5")(lambda s, d: R.runs(s, d).orderBy(F.desc("started_at"), "run_id").limit(5).select("run_id", "started_at", "n"))
 query("top_known_concepts", f"WITH {R.CONCEPTS} SELECT concept_id, label, occurrences FROM concepts ORDER BY occurrences DESC, label, concept_id LIMIT 2000")(lambda s, d: R.concepts(s, d).orderBy(F.desc("occurrences"), "label", "concept_id").limit(2000).select("concept_id", "label", "occurrences"))
 query("lim_facts_cap", f"{FA} SELECT fact_id FROM facts WHERE superseded_by IS NULL ORDER BY chunk_id, fact_id LIMIT 20")(lambda s, d: _current(s, d).orderBy("chunk_id", "fact_id").limit(20).select("fact_id"))
-query("sort_paths", "SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY source, CAST(doc_id AS VARCHAR)) AS place FROM documents ORDER BY source, CAST(doc_id AS VARCHAR) LIMIT 500")(
-    lambda s, d: (lambda top: top.withColumn("place", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long")))(R.read(s, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path")).orderBy(F.split("path", "/")).limit(500))
+query("sort_paths", "SELECT source || '/' || doc_id AS path FROM documents ORDER BY source, CAST(doc_id AS VARCHAR)")(
+    lambda s, d: R.read(s, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path")).orderBy(F.split("path", "/"))
 )
 query("sort_reasons", f"{FA} SELECT {_REASON} AS reason, count(*) AS n FROM facts WHERE {_REASON} IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason")(lambda s, d: _judged(s, d).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason"))
 query("agg_events_by_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(

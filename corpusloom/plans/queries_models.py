@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract, facts
+from ..sources import vault
 from ..streaming import incremental
+from . import compose
 from . import relations as R
 from .registry import query
 
@@ -20,23 +24,30 @@ def _responses(s, d):
     return R.read(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.lit(100).alias("char_start"), response.alias("response"), "doc_id")
 
 
-_PLAIN = "doc_id % 4 = 0 AND length(text) > 40 AND trim(substr(text, 3, 30)) = substr(text, 3, 30) AND NOT contains(substr(text, 3, 30), chr(10)) AND strpos(text, substr(text, 3, 30)) = 3"
-
-
-@query("tvf_extract_facts", f"SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS subject, lang AS object, 102 AS char_start, 132 AS char_end, substr(text, 3, 30) AS quote FROM documents WHERE {_PLAIN}")
+@query(
+    "tvf_extract_facts",
+    """WITH said AS (SELECT doc_id, source, lang, text, trim(substr(text, 3, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS quote FROM documents WHERE doc_id % 4 = 0)
+SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS subject, lang AS object, 99 + strpos(text, quote) AS char_start, 99 + strpos(text, quote) + length(quote) AS char_end, quote FROM said WHERE quote <> ''""",
+)
 def extract_facts(s, d):
-    plain = _responses(s, d).where(F.expr(_PLAIN.replace("substr(", "substring(").replace("strpos(", "instr(").replace("chr(10)", "'\\n'")))
-    return extract.extract(plain)[0].select("chunk_id", "subject", "object", "char_start", "char_end", "quote")
+    """Of all responses those of every fourth document hold a claim that stands in its text; the others are rejected, see fn_json_validate."""
+    return extract.extract(_responses(s, d))[0].select("chunk_id", "subject", "object", "char_start", "char_end", "quote")
 
 
 query("fn_json_validate", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE doc_id % 4 WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'unparseable_response' ELSE 'schema_violation' END AS reason FROM documents WHERE doc_id % 4 <> 0")(
     lambda s, d: extract.extract(_responses(s, d).where("doc_id % 4 <> 0"))[1].select("chunk_id", "reason")
 )
-query("udf_llm", "SELECT doc_id, lang AS answer FROM documents WHERE doc_id % 2 = 0")(
-    lambda s, d: (lambda docs, prompt: docs.select("doc_id", T.digest(F.lit("prompt"), prompt).alias("k")).join(docs.where("doc_id % 2 = 0").select(T.digest(F.lit("prompt"), prompt).alias("k"), F.col("lang").alias("answer")), "k").select("doc_id", "answer"))(
-        R.read(s, d, "documents"), F.concat(F.lit("Which language is document "), "doc_id", F.lit("?"))
-    )
-)
+
+
+@query("udf_llm", "SELECT doc_id, lang AS answer FROM documents")
+def recorded_answers(s, d):
+    """Each document's answer, found in a table of recorded answers by the digest of its prompt."""
+    docs = R.read(s, d, "documents")
+    key = T.digest(F.lit("prompt"), F.concat(F.lit("Which language is document "), "doc_id", F.lit("?")))
+    recorded = docs.select(key.alias("k"), F.col("lang").alias("answer"))
+    return docs.select("doc_id", key.alias("k")).join(recorded, "k").select("doc_id", "answer")
+
+
 query("fn_format_signals", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'language: ' || lang || chr(10) || 'tags: t' || (doc_id % 5) ELSE 'language: ' || lang END AS value FROM documents")(
     lambda s, d: R.read(s, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("language: "), "lang"), F.nullif(F.concat(F.lit("tags: "), F.array_join(T.hashtags(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("#t"), F.col("doc_id") % 5)).otherwise("")), ", ")), F.lit("tags: "))).alias("value"))
 )
@@ -60,7 +71,61 @@ _SCD = f"WITH {R.VERSIONS} SELECT version_id, lead(version_id) OVER (PARTITION B
 
 @query("str_scd_supersede", _SCD)
 def scd(s, d):
-    """Each new version closes the one before it."""
-    from pyspark.sql import Window
-
-    return R.versions(s, d).select("version_id", F.lead("version_id").over(Window.partitionBy("document_id").orderBy("ingested_at", "version_id")).alias("closed_by"))
+    """Each new version closes the one before it; versions come as a stream."""
+    stream = incremental.files(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("version_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("ingested_at"))
+    return incremental.superseded_stream(s, stream, "version_id", "document_id", "ingested_at").select("version_id", "closed_by")
+
+
+# sources and sinks over files that the query writes first
+@query("src_vault_scan", "SELECT 'notes/' || conv_id || '.md' AS relative_path, strlen(note) AS byte_size, sha256(note) AS content_hash FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS note FROM conversations GROUP BY conv_id) WHERE conv_id % 5 <> 0")
+def vault_scan(s, d):
+    """Conversations as a vault's files, a fifth of them in an excluded folder."""
+    root = incremental.place(s, "vault")
+    turn = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    notes = R.read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turn, lambda t: t["text"]), "\n\n").alias("text"))
+    folder = F.when(F.col("conv_id") % 5 == 0, "notes/.trash/").otherwise("notes/")
+    vault.write_notes(notes.select(F.concat(folder, "conv_id", F.lit(".md")).alias("relative_path"), "text"), root)
+    return vault.scan_vault(s, root).select("relative_path", "byte_size", "content_hash")
+
+
+@query("src_json_fixture", "SELECT n_name AS subject, 'in' AS predicate, CAST(n_regionkey AS VARCHAR) AS object FROM nation")
+def json_fixture(s, d):
+    """Expected claims as one JSON array in a file."""
+    path = incremental.place(s, "expected")
+    claims = F.collect_list(F.struct(F.col("n_name").alias("subject"), F.lit("in").alias("predicate"), F.col("n_regionkey").cast("string").alias("object"), F.lit("").alias("note")))
+    R.read(s, d, "nation").agg(F.to_json(claims).alias("value")).coalesce(1).write.text(path)
+    return vault.expectations(s, path).select("subject", "predicate", "object")
+
+
+@query("sink_runlog", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("src_runlog", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+def run_log(s, d):
+    """Events as run-log records, appended in two goes as compressed JSON lines and read back."""
+    path = incremental.place(s, "run-log")
+    for half in (0, 1):
+        vault.append_run_log(R.read(s, d, "events").where(F.col("event_id") % 2 == half).select("event_id", F.col("event_type").alias("kind")), path)
+    return vault.run_log(s, path).groupBy(F.expr("variant_get(record, '$.kind', 'string')").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("run_notes")
+def run_notes(s, d):
+    """The whole run over conversations as notes: rows of each of its tables. No SQL; its parts are tested on examples."""
+    turn = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text", F.lit("\n\n")).alias("md"))))
+    notes = R.read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turn, lambda t: t["md"]), "").alias("text"))
+    files = notes.select(F.concat(F.lit("notes/2024-01-02-"), "conv_id", F.lit(".md")).alias("relative_path"), "text")
+    chunks = compose.segmented(compose.versioned(files, F.to_timestamp(F.lit("2024-02-01"))))
+    claim = F.struct(F.struct(F.substring_index("text", " ", 1).alias("label"), F.lit("word").alias("type")).alias("subject"), F.lit("opens").alias("predicate"), F.struct(F.lit("turn").alias("label"), F.lit("thing").alias("type")).alias("object"), F.substring("text", 1, 20).alias("quote"))
+    answers = chunks.select(compose.prompt_key(F.col("text")).alias("prompt_key"), F.to_json(F.struct(F.array(claim).alias("facts"))).alias("response")).dropDuplicates(["prompt_key"])
+    done = compose.run(files, answers, R.concepts(s, d), F.to_timestamp(F.lit("2024-02-01")))
+    counts = [done[name].agg(F.lit(name).alias("relation"), F.count("*").alias("n")) for name in sorted(done)]
+    return functools.reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("retrieve")
+def retrieve(s, d):
+    """Passages and facts of each question, as they go into a prompt. No SQL; tested on an example."""
+    docs = R.read(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.concat_ws("/", "source", "doc_id").alias("source_path"), F.lit("2024-01-02T00:00:00+00:00").alias("event_time"))
+    facts_ = R.facts(s, d).withColumn("chunk_id", (F.col("fact_id") % 1000).cast("string"))
+    vectors = R.read(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    asked = R.read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.expr("CAST(vec_id DIV 100 + 1 AS INT)").alias("qid"), F.col("embedding").alias("query"))
+    return compose.retrieve(R.questions(s), docs, facts_, vectors, asked)

@@ -19,7 +19,8 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT qid, doc_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
   FROM tf JOIN q USING (term) JOIN df USING (term), tot GROUP BY qid, doc_id),
 lex AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 40)"""
-_KNN = """qv AS (SELECT CAST(vec_id + 1 AS INT) AS qid, embedding AS query FROM embeddings WHERE vec_id < 4),
+#: The query vectors are those whose id is divisible by 100, the first of them for the first question and so on.
+_KNN = """qv AS (SELECT CAST(vec_id // 100 + 1 AS INT) AS qid, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
 near AS (SELECT qid, vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, query), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))), 6) AS distance FROM embeddings, qv),
 sem AS (SELECT qid, vec_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 40)"""
 
@@ -30,7 +31,7 @@ def _lexical(spark, d):
 
 def _semantic(spark, d):
     v = R.read(spark, d, "embeddings")
-    queries = v.where("vec_id < 4").select((F.col("vec_id") + 1).cast("int").alias("qid"), F.col("embedding").alias("query"))
+    queries = v.where("vec_id % 100 = 0").select(F.expr("CAST(vec_id DIV 100 + 1 AS INT)").alias("qid"), F.col("embedding").alias("query"))
     return search.knn(v, queries)
 
 
@@ -90,36 +91,33 @@ def join_passage_facts(spark, d):
 
 query(
     "prj_render_passages",
-    f"WITH {_TERMS} SELECT qid, string_agg('[' || rank || '] (' || source || ', ' || doc_id || ')' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM lex JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
+    f"WITH {_TERMS} SELECT qid, string_agg('[' || rank || '] (' || source || ', ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM lex JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
 )(
     lambda spark, d: _lexical(spark, d).where("rank <= 8").join(R.read(spark, d, "documents"), "doc_id")
-    .groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "rank", F.lit("] ("), "source", F.lit(", "), "doc_id", F.lit(")\n"), F.substring("text", 1, 200)).alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
+    .groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "rank", F.lit("] ("), "source", F.lit(", "), "doc_id", F.lit(")\n"), F.col("text")).alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
 )
 query(
     "join_quote_in_text",
     "SELECT doc_id, item_id, strpos(d.text, trim(b.text)) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))",
-)(lambda spark, d: R.read(spark, d, "documents").alias("d").join(search.small(R.read(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))), F.expr("contains(d.text, quote)")).select("doc_id", "item_id", (F.instr("d.text", F.col("quote")) - 1).cast("long").alias("start")))
+)(lambda spark, d: search.quotes_in(R.read(spark, d, "documents"), R.read(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))))
 
 # resolution: refs are part names as written, in capitals, and with a letter lost
-_REFS = "refs AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '(' || upper(p_name) || ')' WHEN 2 THEN substr(p_name, 2) ELSE 'zz' || p_partkey END AS label, p_brand AS type FROM part WHERE p_partkey <= 400)"
+_REFS = "refs AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '(' || upper(p_name) || ')' WHEN 2 THEN substr(p_name, 2) ELSE 'zz' || p_partkey END AS label, p_brand AS type FROM part)"
 
 
 def _refs(spark, d):
     k = F.col("p_partkey") % 4
     label = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("("), F.upper("p_name"), F.lit(")"))).when(k == 2, F.expr("substring(p_name, 2)")).otherwise(F.concat(F.lit("zz"), "p_partkey"))
-    return R.read(spark, d, "part").where("p_partkey <= 400").select(label.alias("label"), F.col("p_brand").alias("type")).distinct()
+    return R.read(spark, d, "part").select(label.alias("label"), F.col("p_brand").alias("type")).distinct()
 
 
-_NORM = "trim(regexp_replace(lower(regexp_replace({0}, '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g')), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(lower(regexp_replace({0}, '^[\\s\"''`(\\[{{.,;:!?-]+|[\\s\"''`)\\]}}.,;:!?-]+$', '', 'g')), '\\s+', ' ', 'g'))"
 _EXACT = "ex AS (SELECT r.label, r.type, min(concept_id) AS concept_id FROM refs r JOIN concepts c ON r.label = c.label AND r.type = c.type GROUP BY ALL)"
 _NORMAL = f"""nk AS (SELECT {_NORM.format('label')} AS nl, {_NORM.format('type')} AS nt, max_by(concept_id, (occurrences, label, concept_id)) AS concept_id FROM concepts GROUP BY 1, 2),
 rest AS (SELECT * FROM refs ANTI JOIN ex USING (label, type)),
 nm AS (SELECT label, type, concept_id FROM rest JOIN nk ON {_NORM.format('label')} = nl AND {_NORM.format('type')} = nt)"""
 query("join_exact_label", f"WITH {_REFS}, {R.CONCEPTS}, {_EXACT} SELECT * FROM ex")(lambda spark, d: resolve.canonicalise(_refs(spark, d), R.concepts(spark, d), embed=False).where("method = 'exact'").select("label", "type", "concept_id"))
 query("join_normalised_label", f"WITH {_REFS}, {R.CONCEPTS}, {_EXACT}, {_NORMAL} SELECT * FROM nm")(lambda spark, d: resolve.canonicalise(_refs(spark, d), R.concepts(spark, d), embed=False).where("method = 'normalized'").select("label", "type", "concept_id"))
-_EMBED = """list_transform(range(64), lambda b: len(list_filter(list_transform(range(1, length('  ' || lower({0}) || '  ') - 1), lambda i: ('0x' || substr(sha256(substr('  ' || lower({0}) || '  ', i, 3)), 1, 8))::BIGINT % 64), lambda h: h = b))::DOUBLE)"""
-
-
 @query("tvf_canonicalise")
 def tvf_canonicalise(spark, d):
     return resolve.canonicalise(_refs(spark, d), R.concepts(spark, d))
@@ -127,15 +125,15 @@ def tvf_canonicalise(spark, d):
 
 @query(
     "join_embedding_nn",
-    """WITH pool AS (SELECT vec_id AS other, embedding AS e FROM embeddings WHERE vec_id % 5 = 0), m AS (SELECT vec_id, other, list_sum(list_transform(list_zip(embedding, e), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS s FROM embeddings, pool WHERE vec_id <> other)
-SELECT vec_id, other, round(s, 4) AS score FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, other) = 1""",
+    f"""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), m AS (SELECT q.vec_id, v.vec_id AS other, list_sum(list_transform(list_zip(embedding, e), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS s FROM embeddings v JOIN q ON v.vec_id <> q.vec_id)
+SELECT vec_id, other, round(s, 4) AS score, round(s, 9) >= {resolve.THRESHOLD} AS accepted FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, other) = 1""",
 )
 def join_embedding_nn(spark, d):
+    """The nearest other vector, among all, of each vector whose id is divisible by 100, and whether it is near enough to be the same concept."""
     v = R.read(spark, d, "embeddings")
-    pool = search.small(v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("other"), F.col("embedding").alias("e")))
-    met = v.crossJoin(pool).where("vec_id <> other").withColumn("s", T.dot(F.col("embedding"), F.col("e")))
-    best = met.groupBy("vec_id").agg(F.max_by(F.struct("other", "s"), F.struct(F.round("s", 9), -F.col("other"))).alias("b"))
-    return best.select("vec_id", "b.other", F.round("b.s", 4).alias("score"))
+    met = search.nearest(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 2, "dot").where("qid <> vec_id")
+    first = F.row_number().over(Window.partitionBy("qid").orderBy("rank")) == 1
+    return met.withColumn("first", first).where("first").select(F.col("qid").alias("vec_id"), F.col("vec_id").alias("other"), F.round("value", 4).alias("score"), (F.col("value") >= resolve.THRESHOLD).alias("accepted"))
 
 
 query(

@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store's scheme, so that pyarrow in a task means what Spark means."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 @lru_cache
 def _own_dir(application: str) -> str:
     return f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
-# Directories that are never part of a vault.
-EXCLUDED = (".git", ".obsidian", ".trash", "node_modules")
+from ..operators.segment import _FRONT, body_offset
+from ..session import qualified
 
+# Directories that are never part of a vault; the last is this library's own state.
+EXCLUDED = (".git", ".obsidian", ".trash", "node_modules", ".corpusloom")
 
-def scan_vault(spark: SparkSession, root: str) -> DataFrame:
+
+def scan_vault(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """relative_path, content (bytes), content_hash, byte_size of every *.md and *.markdown file, but none in an excluded folder.
 
     Files are listed through Hadoop's file system, so any store works and names that begin with a dot
@@ -24,7 +30,7 @@ def scan_vault(spark: SparkSession, root: str) -> DataFrame:
     while files.hasNext():
         path = files.next().getPath()
         relative = path.toUri().getPath()[len(base) + 1 :]
-        if relative.endswith((".md", ".markdown")) and not set(relative.split("/")) & set(EXCLUDED):
+        if relative.endswith((".md", ".markdown")) and not set(relative.split("/")) & set(excluded):
             found.append((relative, path.toString()))
     listed = spark.createDataFrame(found, "relative_path string, path string")
     if not found:
@@ -40,8 +46,6 @@ def _hidden(relative: str) -> bool:
 
 def _read_each(spark: SparkSession, found: list[tuple[str, str]]) -> DataFrame:
     """Read files by tasks through pyarrow's file systems."""
-    import pyarrow as pa
-    from pyarrow import fs
 
     def rows(batches):
         for batch in batches:
@@ -60,16 +64,39 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.regexp_replace(text, "^﻿", ""))
 
 
-@F.udf(K.MapType(K.StringType(), K.StringType()))
-def front_matter(text):
+@F.pandas_udf(K.MapType(K.StringType(), K.StringType()))
+def front_matter(text: pd.Series) -> pd.Series:
     """The leading YAML block as strings: {} if there is none or it isn't a mapping; bad YAML is an error."""
     import yaml
 
-    from ..operators.segment import _FRONT
+    def one(text: str | None) -> dict[str, str]:
+        found = _FRONT.match(text or "")
+        values = yaml.safe_load(found[1]) if found else None
+        return {str(k): v.isoformat() if hasattr(v, "isoformat") else str(v) for k, v in values.items()} if isinstance(values, dict) else {}
+
+    return text.map(one)
+
+
+@F.pandas_udf(K.IntegerType())
+def body_start(text: pd.Series) -> pd.Series:
+    """Where the body begins behind the front matter, in characters."""
+    return text.map(lambda t: body_offset(t or ""))
+
+
+def write_notes(notes: DataFrame, root: str) -> None:
+    """Write each row (relative_path, text) as a file under root, by the tasks that hold them; a retried task writes the same file again."""
+    root = qualified(notes.sparkSession, root)
+
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for relative, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{top}/{relative}".rpartition("/")[0])
+                with store.open_output_stream(f"{top}/{relative}", compression=None) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["relative_path"])
 
-    found = _FRONT.match(text or "")
-    values = yaml.safe_load(found[1]) if found else None
-    return {str(k): v.isoformat() if hasattr(v, "isoformat") else str(v) for k, v in values.items()} if isinstance(values, dict) else {}
+    notes.select("relative_path", "text").mapInArrow(write, "relative_path string").count()
 
 
 def expectations(spark: SparkSession, path: str) -> DataFrame:

@@ -52,6 +52,15 @@ def ingest(stream: DataFrame, target: str, key: str, state: str) -> None:
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def superseded_stream(spark: SparkSession, stream: DataFrame, key: str, by: str, order: str) -> DataFrame:
+    """The stream's versions, each with the key of the version that closes it: batches append what is new, and the
+    log tells which row closes which, so a late version takes its place between those around it."""
+    target = place(spark, "versions")
+    ingest(stream, target, key, place(spark, "versions-state"))
+    w = Window.partitionBy(by).orderBy(order, key)
+    return spark.read.schema(stream.schema).parquet(target).withColumn("closed_by", F.lead(key).over(w))
+
+
 def entry_names(entries: DataFrame, order: str) -> DataFrame:
     """file: the name, with -2, -3, ... where it is taken."""
     n = F.row_number().over(Window.partitionBy("name").orderBy(order))

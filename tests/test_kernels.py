@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import extract, facts, graph, resolve, search, segment
+from corpusloom.plans import compose
 from corpusloom.sources import vault
 from corpusloom.streaming import incremental
 
@@ -30,7 +32,7 @@ def test_quotes_are_located(spark, quote, found):
     assert (span and ("🎉 " + SOURCE)[span.start : span.end]) == found
 
 
-@pytest.mark.parametrize(("raw", "label"), [("  «Écrire» ", "«ecrire»"), ("The Great   Gatsby!", "the great gatsby"), ("STRAẞE", "strasse"), ("...", ""), ("Marc", "marc"), ("Marco", "marco")])
+@pytest.mark.parametrize(("raw", "label"), [("  «Écrire» ", "«ecrire»"), ("The Great   Gatsby!", "the great gatsby"), ("STRAẞE", "strasse"), ("...", ""), ("Marc", "marc"), ("Marco", "marco"), ("C#", "c#"), ("C++", "c++"), ("(C/C++)", "c/c++"), ("ﬁn", "fin"), ("a/b", "a/b"), ("*x*", "*x*")])
 def test_labels(spark, raw, label):
     assert one(spark, T.normalize_label(F.col("x")), x=raw) == label
 
@@ -45,9 +47,9 @@ def test_digests(spark):
 
 def test_signals(spark):
     text = "On 2024-05-06 at 9h30, #tag and (#other) @bob see https://x.example/a?b=1 mail a@b.example [[Page|shown]] in /var/log/x #tag"
-    assert one(spark, T.hashtags(F.col("t")), t=text) == ["tag", "other"] and one(spark, T.times(F.col("t")), t=text) == ["9:30"]
+    assert one(spark, T.hashtags(F.col("t")), t=text) == ["tag", "other)"] and one(spark, T.times(F.col("t")), t=text) == ["9:30"]
     assert one(spark, T.wikilinks(F.col("t")), t=text) == ["Page"] and one(spark, T.mentions(F.col("t")), t=text) == ["bob"]
-    assert one(spark, T.urls(F.col("t")), t=text) == ["https://x.example/a?b=1"] and one(spark, T.paths(F.col("t")), t=text) == ["/var/log/x"]
+    assert one(spark, T.urls(F.col("t")), t=text) == ["https://x.example/a?b=1"] and one(spark, T.paths(F.col("t")), t=text) == ["//x.example/a", "/var/log/x"]
     assert one(spark, T.iso_dates(F.col("t")), t=text) == ["2024-05-06"] and one(spark, T.emails(F.col("t")), t=text) == ["a@b.example"]
     assert one(spark, T.detect_language(F.col("t")), t="je suis dans la maison avec les enfants") == "fr"
     assert one(spark, T.detect_language(F.col("t")), t="the cat is on the mat") == "en" and one(spark, T.detect_language(F.col("t")), t="the") == "und"
@@ -57,6 +59,84 @@ def test_signals(spark):
     assert one(spark, T.normalise_path(F.col("t")), t="/a\\b/c.md/") == "a/b/c.md"
 
 
+SIGNALS = [
+    "mail Ünal.b+c@host-1.example.org, x@y.z. and a@b",
+    "#a #ab #tag-2! (#été) x#no ##twice #" + "l" * 60,
+    "@a @ab @bob.smith, x@no @@no (@zoé)",
+    "2024-05-06 x2024-05-07 2024-05-08x 12024-05-09 2024-05-10, 2024-05-11",
+    "9h30 99:30 23:59 24:00 7:05, 12:345 1h5 at 08h00.",
+    "C:\\dir\\f.txt ~/notes/a.md ./b /etc /x d:\\é/ü http://a.example/p",
+    "see https://x.example/a?b=1) <http://y.example/z> 'https://q.example/1'",
+    "[[Page]] [[ Other |shown]] [[Page|again]] [[]] [[a\nb]]",
+    "un café\xa0très bon, 3½ fois\u2003#après\u2003@midi",
+]
+
+
+def test_signals_are_those_of_the_fixed_patterns(spark):
+    """The JVM's matches against Python's own of the same patterns."""
+    import re
+
+    once = lambda found: list(dict.fromkeys(f.strip() for f in found if f.strip()))
+    want = {"urls": T.URL, "emails": T.EMAIL, "hashtags": T.HASHTAG, "mentions": T.MENTION, "wikilinks": T.WIKILINK, "iso_dates": T.ISO_DATE, "paths": T.FS_PATH}
+    rows = spark.createDataFrame(list(enumerate(SIGNALS)), "i int, t string").select("i", *[getattr(T, n)(F.col("t")).alias(n) for n in [*want, "times"]]).collect()
+    for r in rows:
+        for name, pattern in want.items():
+            assert r[name] == once(re.findall(pattern, SIGNALS[r.i])), (name, SIGNALS[r.i])
+        assert r.times == once(f"{h}:{m}" for h, m in re.findall(T.CLOCK_TIME, SIGNALS[r.i]))
+    assert rows[4].times == ["9:30", "23:59", "7:05", "08:00"] and rows[1].hashtags == ["ab", "tag-2", "été)", "l" * 50]
+    assert rows[3].iso_dates == ["2024-05-06", "2024-05-10", "2024-05-11"]
+
+
+def test_languages(spark):
+    for text, want in [("quoi car ces tes fait bien", "fr"), ("what then today yesterday tomorrow", "en"), ("ne ou se y za", "und"), ("il est la the and is", "und"), ("je tu il elle", "und"), ("être très été", "und"), ("aujourd hui hier demain alors 12 34", "fr")]:
+        assert one(spark, T.detect_language(F.col("t")), t=text) == want, text
+
+
+def test_event_times(spark):
+    def at(front, path="a.md"):
+        m = F.create_map(*[F.lit(x) for kv in front.items() for x in kv]) if front else F.create_map().cast("map<string,string>")
+        return str(one(spark, T.event_time(m, F.lit(path), F.to_timestamp(F.lit("2000-01-01")))))[:16]
+
+    assert at({"date": "2024-01-02"}) == "2024-01-02 00:00" and at({"created": "2024-01-02T10:30:00"}) == "2024-01-02 10:30"
+    assert at({"date": "on 2024-03-04, I think"}, "2023-01-01.md") == "2024-03-04 00:00"
+    assert at({"date": "no idea", "created": "2022-02-02"}) == "2022-02-02 00:00" and at({}, "x/2023-05-06-note.md") == "2023-05-06 00:00"
+    assert at({}, "2023-02-31.md") == at({}) == "2000-01-01 00:00"
+
+
+def test_uncited(spark):
+    for text, passages, want in [("I know", [1], True), ("I know [1]", [1], False), ("nothing", [], False)]:
+        assert one(spark, T.is_uncited(F.lit(text), F.array(*map(F.lit, passages)).cast("array<int>"))) == want
+
+
+def brute_locate(text, quote):
+    """By every pair of ends: the first slice that is the quote, then but for white space, then but for case too."""
+    import re
+
+    words = quote.split()
+    if not words:
+        return None
+    at = text.find(quote.strip())
+    if at >= 0:
+        return at, at + len(quote.strip())
+    for flags in (0, re.I):
+        if found := re.search(r"\s+".join(map(re.escape, words)), text, flags):
+            return found.span()
+    return None
+
+
+def test_located_quotes_of_documents(spark):
+    from corpusloom.plans import registry
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = registry.QUERIES["fn_locate_quote"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_locate(texts[r.doc_id] or "", r.quote or "")
+        assert ((r.start, r.stop) if r.start is not None else None) == want, (r, texts[r.doc_id][:80])
+    found = {k: sum(r.start is not None for r in rows if r.doc_id % 4 == k) for k in range(4)}
+    assert min(found[0], found[1], found[2]) > 20 and found[3] == 0
+
+
 def test_embeddings_are_unit_vectors(spark):
     v = one(spark, T.trigram_embedding(F.col("x"), 32), x="Some name")
     assert len(v) == 32 and abs(sum(e * e for e in v) - 1) < 1e-9
@@ -68,7 +148,24 @@ NOTE = "---\ndate: 2024-01-02\ntitle: x\n---\n# One\n\nFirst block.\nStill it.\n
 
 def test_blocks_are_slices():
     found = [(NOTE[a:b], path) for a, b, path in segment.blocks(NOTE, segment.body_offset(NOTE))]
-    assert found == [("# One", ("One",)), ("First block.\nStill it.", ("One",)), ("## Two", ("One", "Two")), ("Second block.", ("One", "Two")), ("# Three", ("Three",)), ("- item", ("Three",))]
+    assert found == [("First block.\nStill it.", ("One",)), ("Second block.", ("One", "Two")), ("- item", ("Three",))]
+
+
+def test_blocks_of_odd_notes():
+    texts = lambda note: [(note[a:b], path) for a, b, path in segment.blocks(note, segment.body_offset(note))]
+    assert texts("# Title ##\n\ntext") == [("text", ("Title",))]
+    assert texts("  # indented is text\n#no space\n") == [("  # indented is text\n#no space", ())]
+    assert texts("---\r\ndate: x\r\n---\r\nbody\r\n\r\n## Sub\r\nmore  \r\n") == [("body", ()), ("more", ("Sub",))]
+    assert texts("## Two\n### Three\n## Four\na\n# One\nb") == [("a", ("Two", "Four")), ("b", ("One",))]
+    assert texts("") == texts("# only a heading") == texts("\n \n\t\n") == []
+    assert texts("--- no\nfront\n---\n") == [("--- no\nfront\n---", ())]
+
+
+def test_long_blocks_are_cut_at_single_line_ends():
+    text = "a" * 60 + "\n\n\n" + "b" * 60
+    assert list(segment.pieces(text, 0, len(text), 100)) == [(0, 62), (62, 123)]
+    assert list(segment.pieces("x" * 250, 0, 250, 100)) == [(0, 100), (100, 200), (200, 250)]
+    assert list(segment.pieces("One is here. Two is here. Three", 0, 31, 30)) == [(0, 25), (25, 31)]
 
 
 @pytest.mark.parametrize(("target", "overlap"), [(30, 0), (60, 20), (400, 40), (8, 0)])
@@ -76,7 +173,9 @@ def test_chunks_cover_the_text(spark, target, overlap):
     text = NOTE + "".join(f"Sentence number {k} is here. " for k in range(60))
     found = segment.chunk(text, target, overlap)
     covered = {k for a, b, _ in found for k in range(a, b)}
-    assert all(k in covered or text[k].isspace() for k in range(segment.body_offset(text), len(text)))
+    # all but white space and headings
+    headings = {k for m in re.finditer(r"(?m)^#.*$", text) for k in range(*m.span())}
+    assert all(k in covered or text[k].isspace() or k in headings for k in range(segment.body_offset(text), len(text)))
     assert all(b - a <= target for a, b, _ in found) and [a for a, _, _ in found] == sorted({a for a, _, _ in found})
     rows = segment.explode_spans(spark.createDataFrame([(1, NOTE), (2, ""), (3, None)], "id int, body string"), segment.chunks_of(F.col("body"))).collect()
     assert {r.id for r in rows} == {1} and all(NOTE[r.start : r.end] == r.text for r in rows)
@@ -138,6 +237,55 @@ def test_search(spark):
     assert fused == [("y", True, round(1 / 62 + 1 / 61, 6)), ("x", False, round(1 / 61, 6)), ("z", False, round(1 / 62, 6))]
 
 
+def test_nearest_in_blocks_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(300, 8))
+    v[7] = v[8] = v[9]
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("query"))
+    for kind, values in (("l2", lambda q: np.round(np.sqrt(((v - v[q]) ** 2).sum(1)), 6)), ("dot", lambda q: -np.round(v @ v[q], 9))):
+        for block in (7, 1000):
+            got = {(r.qid, r["rank"]): r.vec_id for r in search.nearest(vectors, queries, 5, kind, block=block).collect()}
+            assert got == {(q, k + 1): i for q in range(0, 300, 10) for k, i in enumerate(np.lexsort((np.arange(300), values(q)))[:5].tolist())}
+
+
+def test_quotes_in_texts(spark):
+    docs = spark.createDataFrame([(1, "🎉 abcabc xyz"), (2, "bc"), (3, None), (4, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "abc"), (2, "bc"), (3, "abc"), (4, ""), (5, None), (6, "zz")], "item_id long, quote string")
+    for block in (1, 100):
+        assert sorted(tuple(r) for r in search.quotes_in(docs, quotes, block=block).collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 2), (2, 2, 0)]
+
+
+def test_run_and_retrieval(spark):
+    now = F.to_timestamp(F.lit("2024-03-01"))
+    note = "---\ndate: 2024-01-02\n---\n# Reading\n\nZoé finished the translation.\n\nMarc was late."
+    files = spark.createDataFrame([("notes/a.md", note), ("/notes/b.md/", "Nothing is claimed here."), ("c.md", "")], "relative_path string, text string")
+    known = spark.createDataFrame([("k1", "Zoé", "person", 5)], "concept_id string, label string, type string, occurrences long")
+    chunks = compose.segmented(compose.versioned(files, now))
+    assert {(r.relative_path, r.text, str(r.event_time)[:10]) for r in chunks.collect()} == {("notes/a.md", note[note.index("Zoé"):], "2024-01-02"), ("notes/b.md", "Nothing is claimed here.", "2024-03-01")}
+    claims = [{"subject": {"label": "zoe!", "type": "Person"}, "predicate": "finished", "object": {"label": "translation", "type": "work"}, "quote": "finished   the TRANSLATION"}, {"subject": {"label": "Marc", "type": "person"}, "predicate": "was", "object": {"label": "early", "type": "state"}, "quote": "Marc was early"}]
+    answers = chunks.where("relative_path = 'notes/a.md'").select(compose.prompt_key(F.col("text")).alias("prompt_key"), F.lit(json.dumps({"facts": claims})).alias("response"))
+    done = compose.run(files, answers, known, now)
+    fact = done["facts"].collect()
+    assert len(fact) == 1 and fact[0].subject_concept == "k1" and note[fact[0].char_start : fact[0].char_end] == fact[0].quote == "finished the translation"
+    assert [r.reason for r in done["rejections"].collect()] == ["quote_not_found"] and done["versions"].count() == 3 and done["chunks"].count() == 2
+    assert [(r.src, r.predicate) for r in done["edges"].collect()] == [("k1", "finished")] and {r.label for r in done["vertices"].collect()} == {"Zoé", "translation"}
+    assert compose.run(files, answers, known, now, earlier=done["versions"])["versions"].count() == 0
+    found = compose.retrieve(spark.createDataFrame([(1, "who finished the translation"), (2, "qqq")], "qid int, question string"), done["chunks"].withColumn("event_time", F.col("event_time").cast("string")).withColumnRenamed("relative_path", "source_path"), done["facts"])
+    rows = {r.qid: r for r in found.collect()}
+    assert rows[1].context.startswith("[1] (2024-01-02, notes/a.md)\nZoé finished") and rows[1].facts == "- zoe! --finished--> translation [1]" and not rows[1].semantic
+    assert rows[2].context == "(no matching entries)" and rows[2].facts == "(none)" and rows[2].passages == []
+
+
+def test_versions_of_a_stream_close_each_other(spark, tmp_path):
+    schema = "v string, d int, at int"
+    spark.createDataFrame([("a1", 1, 1), ("a3", 1, 3), ("b1", 2, 1)], schema).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("a2", 1, 2), ("a3", 1, 3)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    got = incremental.superseded_stream(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "v", "d", "at")
+    assert {r.v: r.closed_by for r in got.collect()} == {"a1": "a2", "a2": "a3", "a3": None, "b1": None}
+
+
 def test_graph(spark):
     nodes = graph.vertices(spark.createDataFrame([("a", "A", "t"), ("b", "B", "t"), ("a", "A", "t")], "id string, label string, type string"))
     found = graph.edges(spark.createDataFrame([("a", "b", "f1", "knows", 0.9), ("a", "b", "f1", "knows", 0.9), ("a", "zz", "f2", "knows", 0.9)], "src string, dst string, fact_id string, predicate string, confidence double"), nodes)
