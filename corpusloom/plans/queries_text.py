@@ -141,11 +141,9 @@ query("fn_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::D
 query("fn_l2_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")(
     lambda s, d: R.read(s, d, "embeddings").select("vec_id", T.l2_normalise(F.col("embedding")).alias("u")).select("vec_id", F.round(T.dot(F.col("u"), F.col("u")), 6).alias("norm"))
 )
-_TRI = "('0x' || substr(sha256(substr('  ' || lower({0}) || '  ', i, 3)), 1, 8))::BIGINT % 64"
-
-
 def _trigram_sql(key, text, table):
-    return f"""WITH g AS (SELECT {key}, {text}, unnest(range(1, length({text}) + 3)) AS i FROM {table}), c AS (SELECT {key}, {_TRI.format(text)} AS bucket, count(*) AS n FROM g GROUP BY ALL)
+    return f"""WITH p AS (SELECT {key}, '  ' || replace(lower({text}), 'ß', 'ss') || '  ' AS padded FROM {table}), g AS (SELECT {key}, padded, unnest(range(1, length(padded) - 1)) AS i FROM p),
+c AS (SELECT {key}, ('0x' || substr(sha256(substr(padded, i, 3)), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM g GROUP BY ALL)
 SELECT {key}, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY {key})), 6) AS weight FROM c"""
 
 
