@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import in_batches, pairs, table, texts
 
 BYTES = [bytes((i,)) for i in range(256)]
-STATES, WORDS = 300_000, 300_000
+STATES, WORDS = 220_000, 180_000
+#: Seconds after which an idle Python worker lets its encoder go.
+IDLE = 4.0
 NEITHER = -1, False
 #: A space between white space or the text's ends.
 LONE_SPACE = re.compile(r"(?:^|\s) (?=\s|$)").search
@@ -231,16 +234,20 @@ class Encoder:
         return found
 
     def plain(self, text: str) -> list[int]:
+        """A list to read only: that of a single match is the memory's own."""
+        pieces = self.find(text)
+        if len(pieces) == 1:
+            return self.match(pieces[0])
         ids: list[int] = []
-        for piece in self.find(text):
+        for piece in pieces:
             ids += self.match(piece)
         return ids
 
     def encode(self, text: str) -> list[int]:
         if LONE_SPACE(text):
-            return self.plain(text)
+            return list(self.plain(text))
         first, *rest = text.split(" ")
-        ids, words = self.plain(first), self.words
+        ids, words = list(self.plain(first)), self.words
         for word in rest:
             found = words[word]
             if found is None:
@@ -285,16 +292,28 @@ def decode(ids: Iterable[int], tokens: list[bytes], piece: int = 4096) -> Iterat
     yield state.end()
 
 
-#: The encoder that this Python worker used last, by name.
+#: The encoder that this Python worker used last, by name, and the timer that lets it go.
 _LAST: dict[tuple[str, str], Encoder] = {}
+_TIMERS: list[threading.Timer] = []
 
 
 def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
     """An encoder that tasks of one Python worker share, since only the first of them finds its caches empty."""
-    if (name, pattern) not in _LAST:
+    while _TIMERS:
+        _TIMERS.pop().cancel()
+    encoder = _LAST.get((name, pattern))
+    if encoder is None:
         _LAST.clear()
-        _LAST[name, pattern] = Encoder(ranks, pattern)
-    return _LAST[name, pattern]
+        encoder = _LAST[name, pattern] = Encoder(ranks, pattern)
+    return encoder
+
+
+def release(after: float = IDLE) -> None:
+    """Let the worker's encoder go unless its next task comes soon: other work of this process needs the memory."""
+    timer = threading.Timer(after, _LAST.clear)
+    timer.daemon = True
+    timer.start()
+    _TIMERS.append(timer)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -319,6 +338,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
             for part in decode(ids, tokens):
                 digest.update(part)
             yield (doc_id, len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), digest.hexdigest()) + ((ids,) if with_ids else ())
+        release()
 
     weigh = (lambda row: 200 + 4 * row[1]) if with_ids else (lambda row: 200)
     return texts(docs).mapInArrow(lambda b: in_batches(rows(b), schema, weigh), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import json
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,6 +263,13 @@ def test_a_worker_keeps_its_encoder():
     ranks = {bytes((i,)): i for i in range(256)}
     one = bpe.worker_encoder("x", ranks, ".")
     assert bpe.worker_encoder("x", ranks, ".") is one and bpe.worker_encoder("y", ranks, ".") is not one
+    bpe.release(0.05)
+    two = bpe.worker_encoder("y", ranks, ".")  # in time: the timer is off
+    time.sleep(0.2)
+    assert bpe.worker_encoder("y", ranks, ".") is two
+    bpe.release(0.05)
+    time.sleep(0.2)
+    assert bpe.worker_encoder("y", ranks, ".") is not two
 
 
 def test_small_caches_change_nothing(encoders):
