@@ -7,8 +7,8 @@ an encoding if each two neighbours are the encoding of their joined bytes. So af
 the transducer knows the last token of the encoding of the prefix; a start position stays alive
 while some token begins with the bytes since then and is longer, and tokens before the point where the
 back-pointers of all live positions meet are final and emitted. Lookahead is bounded by
-the longest token. A state is the shape of the live positions and the pending tokens; its moves
-are computed on first use and cached within a bound (an overfull cache is emptied, which costs
+the longest token. A state is the shape of the live positions and the pending tokens, so pieces whose
+bytes differ only where nothing can ask for them share it; its moves are computed on first use and cached within a bound (an overfull cache is emptied, which costs
 time, never results). A Python worker keeps its transducer for its next tasks.
 
 Decoding concatenates token bytes in pieces; a UTF-8 state machine holds back the bytes of an
@@ -39,7 +39,7 @@ STATES, WORDS = 220_000, 180_000
 IDLE = 4.0
 NEITHER = -1, False
 #: A space between white space or the text's ends.
-LONE_SPACE = re.compile(r"(?:^|\s) (?=\s|$)").search
+LONE_SPACE = re.compile(r" (?!\S)(?<!\S )").search
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,6 +65,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.most = ranks, states
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         # of each token and each prefix of one: the token or -1, and whether a longer token begins with it
         self.known = {token[:k]: (-1, True) for token in ranks for k in range(1, len(token))}
         for token, rank in ranks.items():
@@ -72,22 +73,40 @@ class Transducer:
         self.proper: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.splits: dict[int, tuple[int, int]] = {}
+        # the trie of the tokens with its ways back, as far as it has been asked for
+        self.nodes: dict[bytes, int] = {b"": 0}
+        self.names = [b""]
+        self.arcs: dict[int, tuple[tuple[tuple[int, int], ...], tuple[int, ...], int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.shapes: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        # pending bytes; for each position in them the last token of the prefix and where it begins; live starts.
-        # A last token of -1 stands for the beginning, or where nothing can ask for it.
-        self.number((b"", (-1,), (0,), (0,)))
-
-    def number(self, shape: tuple) -> int:
+        self.shapes: list[tuple[int, tuple[int, ...]]] = []
+        self.numbers: dict[tuple[int, tuple[int, ...]], int] = {}
+        if len(self.arcs) > self.most:
+            self.nodes, self.names, self.arcs = {b"": 0}, [b""], {}
+        # The node of the bytes since the first live start, and for each position since the last final token the last
+        # token of the prefix: -1 stands for the beginning, or where no live start can ask for it.
+        self.number((0, (-1,)))
+
+    def number(self, shape: tuple[int, tuple[int, ...]]) -> int:
         if (n := self.numbers.get(shape)) is None:
             n = self.numbers[shape] = len(self.shapes)
             self.shapes.append(shape)
         return n
 
+    def arc(self, node: int, byte: int) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...], int]:
+        """Tokens that end with this byte and their lengths, lengths since the starts that stay alive (both longest first), and the next node."""
+        text = self.names[node] + BYTES[byte]
+        found = [(k, *self.known.get(text[len(text) - k :], NEITHER)) for k in range(len(text), 0, -1)]
+        lives = (*[k for k, _, longer in found if longer], 0)
+        rest = text[len(text) - lives[0] :]
+        if (next_ := self.nodes.get(rest)) is None:
+            next_ = self.nodes[rest] = len(self.names)
+            self.names.append(rest)
+        known = self.arcs[node << 8 | byte] = tuple((token, k) for k, token, _ in found if token >= 0), lives, next_
+        return known
+
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; of a single byte, itself twice."""
         if (known := self.splits.get(token)) is None:
@@ -134,47 +153,52 @@ class Transducer:
             known = self.proper[token] = merge(self.tokens[token], self.ranks) == (token,)
         return known
 
-    def step(self, shape: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+    def step(self, shape: tuple[int, tuple[int, ...]], byte: int) -> tuple[tuple[int, tuple[int, ...]], tuple[int, ...]]:
         """The next shape, and the tokens that have become final."""
-        pending, lasts, backs, live = shape
-        pending += BYTES[byte]
-        end, known, fits, alive, last = len(pending), self.known, self.fits, [], -1
-        for start in live:  # the longest first: exactly one candidate fits
-            token, longer = known.get(pending[start:], NEITHER)
-            if last < 0 and token >= 0:
-                before = lasts[start]
-                fit = fits.get((before, token)) if before >= 0 else self.whole(token)
-                if fit is None:
-                    fit = self.joined(before, token)
-                if fit:
-                    last, back = token, start
-            if longer:
-                alive.append(start)
-        assert last >= 0, "single bytes must be tokens"
-        lasts += (last,)
-        backs += (back,)
-        alive.append(end)
+        node, lasts = shape
+        ends, lives, node = self.arcs.get(node << 8 | byte) or self.arc(node, byte)
+        fits, size, end = self.fits, self.size, len(lasts)
+        for token, length in ends:  # the longest first: exactly one candidate fits
+            before = lasts[-length]
+            fit = fits.get((before, token)) if before >= 0 else self.whole(token)
+            if fit is None:
+                fit = self.joined(before, token)
+            if fit:
+                break
+        else:
+            raise ValueError("single bytes must be tokens")
+        lasts += (token,)
         # go back from the live starts until their ways meet: what lies before is final
         final = end
-        for start in alive:
+        for length in lives:
+            start = end - length
             while start != final:
                 if start > final:
-                    start = backs[start]
+                    start -= size[lasts[start]]
                 else:
-                    final = backs[final]
-        if not final:
-            return (pending, lasts, backs, tuple(alive)), ()
-        out, at = [], final
+                    final -= size[lasts[final]]
+        # positions on no live start's way are forgotten, and the last final token unless something may begin right behind it
+        kept = [-1] * (end - final + 1)
+        for length in lives:
+            start = end - length
+            while start > final and kept[start - final] < 0:
+                kept[start - final] = last = lasts[start]
+                start -= size[last]
+        if lives[0] == end - final:
+            kept[0] = lasts[final]
+        return (node, tuple(kept)), self.back(lasts, final) if final else ()
+
+    def back(self, lasts: tuple[int, ...], at: int) -> tuple[int, ...]:
+        """The tokens up to a position."""
+        out = []
         while at:
             out.append(lasts[at])
-            at = backs[at]
-        # the last final token matters to what may still begin right behind it
-        keep = lasts[final] if alive[0] == final else -1
-        return (pending[final:], (keep, *lasts[final + 1 :]), (0, *[max(0, k - final) for k in backs[final + 1 :]]), tuple([s - final for s in alive])), tuple(out[::-1])
+            at -= self.size[lasts[at]]
+        return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece, byte by byte through the cached moves."""
-        if len(self.shapes) > self.most:
+        if len(self.shapes) > self.most or len(self.moves) > 2 * self.most:
             self.clear()
         state, ids, moves = 0, [], self.moves
         for byte in piece:
@@ -185,12 +209,9 @@ class Transducer:
             state, out = move
             if out:
                 ids += out
-        pending, lasts, backs, _ = self.shapes[state]
-        rest, at = [], len(pending)
-        while at:
-            rest.append(lasts[at])
-            at = backs[at]
-        return ids + rest[::-1]
+        lasts = self.shapes[state][1]
+        ids += self.back(lasts, len(lasts) - 1)
+        return ids
 
 
 class Memory(dict):
