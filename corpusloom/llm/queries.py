@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, line_dedup, mixing, quality, resharding, simhash, suffix_dedup, warc
+from . import audio, bpe, chat, collocations, exact_dedup, line_dedup, mixing, quality, resharding, simhash, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_audio": audio.query,
     "op10_mixing": mixing.query,
+    "op11_collocations": collocations.query,
+    "op12_chat": chat.query,
+    "op13_vector_codes": vector_codes.query,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.oracle(),
+    "op11_collocations": collocations.SQL,
+    "op12_chat": chat.SQL,
 }
