@@ -21,8 +21,10 @@ Defined results: a null text is the empty text, a null language is `und`; repeat
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
@@ -62,12 +64,35 @@ class Miner:
     memory: str = "200MB"
 
 
+#: A-Z to a-z, tabs to spaces, ends of pieces to line feeds.
+_PLAIN = bytes(10 if re.match(ENDS, chr(i)) else 32 if i == 9 else i + 32 if chr(i) in ascii_uppercase else i for i in range(128)) + bytes(range(128, 256))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece (its words, joined by a space), times: a row for each distinct piece of each language."""
-    body = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
-    cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(body, ENDS)).alias("piece"))
-    bare = cut.select("lang", F.trim(F.regexp_replace("piece", "[ \t]+", " ")).alias("piece")).where("piece <> ''")
-    return bare.groupBy("lang", "piece").agg(F.count("*").alias("times"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = Counter(), 0
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                plain = text.translate(_PLAIN)
+                while b"  " in plain:
+                    plain = plain.replace(b"  ", b" ")
+                found.update((lang, piece) for part in plain.split(b"\n") if (piece := part.strip(b" ")))
+                size += len(text)
+                if size >= 4 << 20:
+                    yield _summed(found)
+                    found, size = Counter(), 0
+            if found:
+                yield _summed(found)
+
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return rows.mapInArrow(cut, "lang string, piece string, times long").groupBy("lang", "piece").agg(F.sum("times").alias("times"))
+
+
+def _summed(found: Counter) -> pa.RecordBatch:
+    langs, texts = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "piece", "times"])
 
 
 def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
@@ -98,21 +123,40 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+class Words:
+    """The words of pieces (lang, piece, times), one after the other: the row of each, and the number of the word of its language."""
+
+    def __init__(self, rows: pa.Table):
+        lang, piece = (rows.column(k).combine_chunks() for k in range(2))
+        split = pc.split_pattern(piece, " ")
+        length = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, langs = split.flatten().dictionary_encode(), lang.dictionary_encode()
+        self.times, self.row, n = rows.column(2).to_numpy(), np.repeat(np.arange(len(length)), length), max(1, len(found.dictionary))
+        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row] * n + found.indices.to_numpy(zero_copy_only=False)
+        if n * len(langs.dictionary) <= 8 * CHUNK:  # numbers of a small range are put in order without sorting
+            there = np.zeros(n * len(langs.dictionary), bool)
+            there[pair] = True
+            pair, self.word = np.flatnonzero(there), (np.cumsum(there) - 1)[pair]
+        else:
+            pair, self.word = np.unique(pair, return_inverse=True)
+        self.texts, self.langs = found.dictionary.take(pa.array(pair % n)), langs.dictionary.take(pa.array(pair // n))
+
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.langs.to_pylist(), self.texts.to_pylist())[self.word]
+
+    def within(self, m: int) -> np.ndarray:
+        """Where m words of one piece begin."""
+        return np.flatnonzero(self.row[: len(self.row) - m + 1] == self.row[m - 1 :]) if len(self.row) >= m else np.empty(0, np.int64)
+
+
 def phrases(rows: pa.Table, m: int, marked: np.ndarray | None, bits: int) -> pa.RecordBatch:
     """The weighted phrases of m words of pieces (lang, piece, times), equal ones added up; of those whose shorter phrases are marked."""
-    rows = rows.combine_chunks()
-    lang, piece = (rows.column(k).combine_chunks() for k in range(2))
-    split = pc.split_pattern(piece, " ")
-    length = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    found = split.flatten().dictionary_encode()
-    names, langs = found.dictionary, lang.dictionary_encode()
-    row = np.repeat(np.arange(len(length)), length)
-    # a word of a language: its number among those of these rows
-    pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] << 32 | found.indices.to_numpy(zero_copy_only=False)
-    pair, word = np.unique(pair, return_inverse=True)
-    texts, of = names.take(pa.array(pair & 0xFFFFFFFF)), langs.dictionary.take(pa.array(pair >> 32))
-    own = word_hashes(of.to_pylist(), texts.to_pylist())[word]
-    at = np.flatnonzero(row[: len(row) - m + 1] == row[m - 1 :]) if len(row) >= m else np.empty(0, np.int64)
+    w = Words(rows)
+    if m == 1:
+        total = np.zeros(len(w.texts), np.int64)
+        np.add.at(total, w.word, w.times[w.row])
+        return pa.RecordBatch.from_arrays([w.langs, w.texts, pa.array(total)], schema=COUNTED)
+    own, at, word = w.hashes(), w.within(m), w.word
     hashes = own
     for j in range(1, m):
         if j == m - 1:  # hashes are those of m - 1 words
@@ -124,10 +168,26 @@ def phrases(rows: pa.Table, m: int, marked: np.ndarray | None, bits: int) -> pa.
         _, first, same = np.unique(np.stack([word[at + j] for j in range(m)]), axis=1, return_index=True, return_inverse=True)
         same = same.ravel()
     total = np.zeros(len(first), np.int64)
-    np.add.at(total, same, rows.column(2).to_numpy()[row[at]])
+    np.add.at(total, same, w.times[w.row[at]])
     spots = at[first]
-    text = pc.binary_join_element_wise(*[texts.take(pa.array(word[spots + j])) for j in range(m)], " ") if m > 1 else texts.take(pa.array(word[spots]))
-    return pa.RecordBatch.from_arrays([of.take(pa.array(word[spots])), text, pa.array(total)], schema=COUNTED)
+    text = pc.binary_join_element_wise(*[w.texts.take(pa.array(word[spots + j])) for j in range(m)], " ")
+    return pa.RecordBatch.from_arrays([w.langs.take(pa.array(word[spots])), text, pa.array(total)], schema=COUNTED)
+
+
+def fragments(rows: pa.Table, marked: np.ndarray, bits: int) -> pa.RecordBatch:
+    """What can hold frequent phrases of three words or more: the longest runs of words of a piece whose pairs are all marked."""
+    w = Words(rows)
+    own = w.hashes()
+    pair = np.zeros(len(w.row) + 1, bool)  # whether a marked pair begins at a word
+    at = w.within(2)
+    pair[at] = is_marked(marked, longer(own[at], own[at + 1]) if len(at) else own[:0], bits)
+    start, end = np.flatnonzero(pair & ~np.append(False, pair[:-1])), np.flatnonzero(pair[:-1] & ~pair[1:])
+    long = end > start
+    start, size = start[long], end[long] - start[long] + 2
+    offsets = np.append(0, np.cumsum(size))
+    spots = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), w.texts.take(pa.array(w.word[spots]))), " ")
+    return pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.word[start])), text, pa.array(w.times[w.row[start]])], ["lang", "piece", "times"])
 
 
 def is_marked(marked: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -225,6 +285,15 @@ def frequent_phrases(docs: DataFrame, miner: Miner) -> tuple[DataFrame, DataFram
         out = level if out is None else out.unionByName(level)
         if m < miner.longest:
             marked = bitmap(level, bits)
+        if m == 2 < miner.longest:
+            side = spark.sparkContext.broadcast(marked)
+
+            def kept(batches, side=side):
+                for rows in chunks(batches):
+                    yield fragments(rows, side.value, bits)
+
+            rest = bare.mapInArrow(kept, "lang string, piece string, times long")
+            bare = materialise(rest.groupBy("lang", "piece").agg(F.sum("times").alias("times")), "fragments")
     return out, totals
 
 

@@ -67,6 +67,17 @@ def test_a_full_bitmap_and_equal_hashes_change_nothing(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 5
 
 
+def test_fragments_are_runs_of_marked_pairs():
+    rows = pa.table({"lang": ["en", "de", "en", "en"], "piece": ["a b c x a b", "a b c", "x", "c a b c a"], "times": pa.array([3, 2, 1, 5], pa.int64())})
+    marked = np.zeros(1 << 13, np.uint8)
+    for pair in ("a b", "b c", "c a"):
+        h = collocations.word_hashes(["en"] * 2, pair.split())
+        slot = int(collocations.longer(h[:1], h[1:])[0]) >> 48
+        marked[slot >> 3] |= 1 << (slot & 7)
+    got = sorted((r["lang"], r["piece"], r["times"]) for r in collocations.fragments(rows, marked, 16).to_pylist())
+    assert got == [("en", "a b c", 3), ("en", "c a b c a", 5)]
+
+
 def test_pieces_are_taken_in_chunks(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 10)
     rows = [("en", " ".join("w" * n), 1) for n in (3, 4, 5, 30, 2, 2, 11)]
