@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import small
+from .search import small, stored
+from .similar import cosine_join
 
 THRESHOLD, CANDIDATES = 0.86, 2000
 
 
-def canonicalise(refs: DataFrame, known: DataFrame, threshold: float = THRESHOLD, pool: int = CANDIDATES, embed: bool = True) -> DataFrame:
+def canonicalise(refs: DataFrame, known: DataFrame, threshold: float = THRESHOLD, pool: int | None = CANDIDATES, embed: bool = True) -> DataFrame:
     """label, type, concept_id, method, score of the distinct refs (label, type) against known (concept_id, label, type, occurrences).
 
-    Each pass sees only what the one before left. The similarity pass compares with the `pool` most frequent
-    concepts, a bound of the method, and so with a side that may be sent to every task.
+    Each pass sees only what the one before left. The similarity pass compares with the `pool` most frequent concepts, a
+    bound of the method, or with all (None); of equally similar ones it takes the most frequent.
     """
     refs = refs.select("label", "type").distinct()
     exact = refs.join(known.groupBy("label", "type").agg(F.min("concept_id").alias("concept_id")), ["label", "type"]).select("label", "type", "concept_id", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
@@ -31,11 +28,13 @@ def canonicalise(refs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     out = exact.unionByName(normal)
     surface = F.concat(F.col("type"), F.lit(": "), F.col("label"))
     if embed:
-        ranked = known.orderBy(F.desc("occurrences"), "label", "concept_id").limit(pool)
-        side = [(r.concept_id, r.theirs) for r in ranked.select("concept_id", T.trigram_embedding(surface).alias("theirs")).collect()]  # at most `pool` rows
-        shared = refs.sparkSession.sparkContext.broadcast(([i for i, _ in side], np.array([v for _, v in side])))
-        kind = known.schema["concept_id"].dataType.simpleString()
-        best = rest.select("label", "type", T.trigram_embedding(surface).alias("ours")).mapInPandas(lambda parts: _closest(parts, *shared.value), f"label string, type string, concept_id {kind}, score double")
+        order = [F.desc("occurrences"), F.col("label"), F.col("concept_id")]
+        theirs = known if pool is None else known.orderBy(*order).limit(pool)
+        theirs = stored(theirs.select("concept_id", "label", "occurrences", T.trigram_embedding(surface).alias("vector")), "known-vectors")
+        ours = rest.select(F.struct("label", "type").alias("id"), T.trigram_embedding(surface).alias("vector"))
+        met = cosine_join(ours, theirs.select(F.struct("concept_id", "label", "occurrences").alias("id"), "vector"), threshold)
+        first = F.min_by("b", F.struct(-F.col("score"), -F.col("b.occurrences"), "b.label", "b.concept_id"))
+        best = met.groupBy("a").agg(first.alias("b"), F.max("score").alias("score")).select("a.label", "a.type", "b.concept_id", "score")
         near = best.where(F.col("score") >= threshold).select("label", "type", "concept_id", F.lit("embedding").alias("method"), F.round("score", 4).alias("score"))
         rest = rest.join(near, ["label", "type"], "left_anti")
         out = out.unionByName(near)
@@ -43,15 +42,6 @@ def canonicalise(refs: DataFrame, known: DataFrame, threshold: float = THRESHOLD
     return out.unionByName(minted)
 
 
-def _closest(parts: Iterator[pd.DataFrame], ids: list, theirs: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Each ref's concept of the greatest dot product, of equal ones the most frequent; theirs come in that order."""
-    for pdf in parts:
-        if len(pdf) and ids:
-            scores = np.stack(pdf["ours"].tolist()) @ theirs.T
-            at = np.round(scores, 9).argmax(1)
-            yield pd.DataFrame({"label": pdf["label"], "type": pdf["type"], "concept_id": [ids[k] for k in at], "score": scores[np.arange(len(at)), at]})
-
-
 def find_concept(names: DataFrame, concepts: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, concept_id: by label, else by alias; only A-Z fold; the smallest id of equals."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,6 +25,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def held(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, computed once: on the driver and sent to every task if it has at most `most` rows (no more are looked at), else as a stored table."""
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else stored(df, name)
+
+
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lexical index: key, tokens, length."""
     return docs.select(key, T.fold_terms(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))

@@ -11,9 +11,10 @@ from ..sources import vault
 
 
 def versioned(files: DataFrame, now: Column) -> DataFrame:
-    """document_id, version_id, relative_path, text, content_hash, event_time, ingested_at of files (relative_path, text)."""
+    """document_id, version_id, relative_path, text, content_hash, event_time, ingested_at of files (relative_path, text; and the content_hash of their bytes, if it is there)."""
     path = T.normalise_path(F.col("relative_path"))
-    rows = files.withColumns({"relative_path": path, "content_hash": F.sha2("text", 256), "front": vault.front_matter("text")})
+    of_bytes = F.col("content_hash") if "content_hash" in files.columns else F.sha2("text", 256)
+    rows = files.withColumns({"relative_path": path, "content_hash": of_bytes, "front": vault.front_matter("text")})
     rows = rows.withColumn("document_id", T.digest(F.lit("document"), F.col("relative_path")))
     return rows.select("document_id", T.digest(F.lit("version"), F.col("document_id"), F.col("content_hash")).alias("version_id"), "relative_path", "text", "content_hash", T.event_time(F.col("front"), F.col("relative_path"), now).alias("event_time"), now.alias("ingested_at"))
 
@@ -30,6 +31,19 @@ def prompt_key(text: Column) -> Column:
     return T.digest(F.lit("prompt"), text)
 
 
+def resolved(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims with subject_concept and object_concept, and the decisions (label, type, concept_id, method, score; stored) they rest on."""
+    refs = found.select(F.explode(F.array(F.struct(F.col("subject").alias("label"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("label"), F.col("object_type").alias("type")))).alias("r")).select("r.*")
+    decided = search.stored(resolve.canonicalise(refs, known), "run-aliases")
+    named = lambda side: decided.select(F.col("label").alias(side), F.col("type").alias(f"{side}_type"), F.col("concept_id").alias(f"{side}_concept"))
+    return found.join(named("subject"), ["subject", "subject_type"]).join(named("object"), ["object", "object_type"]), decided
+
+
+def minted(decided: DataFrame) -> DataFrame:
+    """concept_id, label, type of the new concepts among decisions."""
+    return decided.where("method = 'new'").groupBy("concept_id").agg(F.min("label").alias("label"), F.min("type").alias("type"))
+
+
 def run(files: DataFrame, answers: DataFrame, known: DataFrame, now: Column, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
     """versions, chunks, facts, rejections, aliases, concepts, vertices, edges of a run over files.
 
@@ -45,13 +59,9 @@ def run(files: DataFrame, answers: DataFrame, known: DataFrame, now: Column, ear
     asked = chunks.withColumn("prompt_key", prompt_key(F.col("text"))).join(answers, "prompt_key")
     found, rejections = extract.extract(asked.select("chunk_id", "text", "char_start", "response"))
     found = search.stored(found, "run-claims")
-    refs = found.select(F.explode(F.array(F.struct(F.col("subject").alias("label"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("label"), F.col("object_type").alias("type")))).alias("r")).select("r.*")
-    decided = search.stored(resolve.canonicalise(refs, known), "run-aliases")
-    named = lambda side: decided.select(F.col("label").alias(side), F.col("type").alias(f"{side}_type"), F.col("concept_id").alias(f"{side}_concept"))
-    linked = found.join(named("subject"), ["subject", "subject_type"]).join(named("object"), ["object", "object_type"])
+    linked, decided = resolved(found, known)
     linked = linked.join(chunks.select("chunk_id", "event_time"), "chunk_id").withColumns({"knowledge_time": now, "superseded_by": F.lit(None).cast("string")})
-    minted = decided.where("method = 'new'").groupBy("concept_id").agg(F.min("label").alias("label"), F.min("type").alias("type"))
-    concepts = known.select("concept_id", "label", "type").unionByName(minted)
+    concepts = known.select("concept_id", "label", "type").unionByName(minted(decided))
     edges = linked.select(F.col("subject_concept").alias("src"), F.col("object_concept").alias("dst"), "fact_id", "predicate", "confidence")
     used = edges.select(F.explode(F.array("src", "dst")).alias("concept_id")).distinct()
     nodes = graph.vertices(concepts.join(used, "concept_id", "left_semi").withColumnRenamed("concept_id", "id"))

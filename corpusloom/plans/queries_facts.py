@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import facts as L
-from ..operators import search
 from . import relations as R
 from .registry import query
 
@@ -70,12 +69,6 @@ def _judged(s, d):
 query("dml_rejections", f"{FA} SELECT run_id, chunk_id, {_REASON} AS reason, 'fact ' || fact_id AS detail FROM facts WHERE {_REASON} IS NOT NULL")(
     lambda s, d: _judged(s, d).where("reason IS NOT NULL").select("run_id", "chunk_id", "reason", F.concat(F.lit("fact "), "fact_id").alias("detail"))
 )
-query("sink_vectors", "SELECT vec_id, label, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS written FROM embeddings")(
-    lambda s, d: (lambda v: v.join(v.where("vec_id % 4 = 0").select("vec_id"), "vec_id", "left_anti").withColumn("written", F.lit(0)).unionByName(v.where("vec_id % 4 = 0").withColumn("written", F.lit(1))))(R.read(s, d, "embeddings").select("vec_id", "label"))
-)
-query("sink_vector_ddl", "SELECT min(len(embedding)) AS dimensions, min(len(embedding)) = max(len(embedding)) AS uniform, count(*) AS n FROM embeddings")(
-    lambda s, d: R.read(s, d, "embeddings").agg(F.min(F.size("embedding")).cast("long").alias("dimensions"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).alias("uniform"), F.count("*").alias("n"))
-)
 query("sink_eval_report", "SELECT source, '{\"found\":' || count(*) FILTER (quality = 1) || ',\"of\":' || count(*) || '}' AS report FROM labels JOIN documents USING (doc_id) GROUP BY source")(
     lambda s, d: R.read(s, d, "labels").join(R.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.to_json(F.struct(F.count(F.when(F.col("quality") == 1, 1)).alias("found"), F.count("*").alias("of"))).alias("report"))
 )
@@ -111,9 +104,6 @@ query("join_chunk_sources", f"{C} SELECT chunk_id, 'conversations/' || document_
 query("join_prev_version", f"{V} SELECT a.version_id, b.version_id AS previous FROM versions a LEFT JOIN versions b ON a.document_id = b.document_id AND b.ingested_at = a.ingested_at - 1")(
     lambda s, d: R.versions(s, d).select("version_id", "document_id", "ingested_at").join(R.versions(s, d).select("document_id", (F.col("ingested_at") + 1).alias("ingested_at"), F.col("version_id").alias("previous")), ["document_id", "ingested_at"], "left").select("version_id", "previous")
 )
-query("join_contains_eval", "SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(trim(b.text))))")(
-    lambda s, d: search.quotes_in(R.read(s, d, "documents").select("doc_id", F.lower("text").alias("text")), R.read(s, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("quote"))).select("item_id").distinct()
-)
 query("asof_facts", f"{RU} SELECT fact_id FROM facts f LEFT JOIN runs r ON f.superseded_by = r.run_id, (SELECT max(first_day) AS m FROM runs) WHERE knowledge_time <= m AND (started_at IS NULL OR started_at > m)")(
     lambda s, d: (lambda m: L.as_of(R.facts(s, d).crossJoin(F.broadcast(m)), R.runs(s, d), F.col("m")))(R.runs(s, d).agg(F.max("first_day").alias("m"))).select("fact_id")  # m is one row
 )

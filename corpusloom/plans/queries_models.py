@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import functools
+import json
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract, facts
-from ..sources import vault
-from ..streaming import incremental
-from . import compose
+from ..operators import extract, facts, provider
+from ..sources import vault, vault_format
+from ..streaming import incremental, versions
+from . import compose, journal
 from . import relations as R
 from .registry import query
 
@@ -39,13 +39,24 @@ query("fn_json_validate", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE doc_
 )
 
 
-@query("udf_llm", "SELECT doc_id, lang AS answer FROM documents")
+class Spelling:
+    """A provider without a model: the answer is what stands behind the prompt's last colon."""
+
+    model = "spelling"
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return [p.rpartition(": ")[2] for p in prompts]
+
+
+@query("udf_llm", "SELECT doc_id, coalesce(lang, '') AS answer, (SELECT count(DISTINCT coalesce(lang, '') || coalesce(source, '')) FROM documents) AS asked FROM documents")
 def recorded_answers(s, d):
-    """Each document's answer, found in a table of recorded answers by the digest of its prompt."""
-    docs = R.read(s, d, "documents")
-    key = T.digest(F.lit("prompt"), F.concat(F.lit("Which language is document "), "doc_id", F.lit("?")))
-    recorded = docs.select(key.alias("k"), F.col("lang").alias("answer"))
-    return docs.select("doc_id", key.alias("k")).join(recorded, "k").select("doc_id", "answer")
+    """Each document's answer by the digest of its prompt; a prompt that many documents share is asked once, and a second call asks nothing."""
+    prompt = F.concat(F.lit("In which language does "), F.coalesce("source", F.lit("")), F.lit(" write? Copy it: "), F.coalesce("lang", F.lit("")))
+    docs, answers = R.read(s, d, "documents").select("doc_id", prompt.alias("prompt")), provider.Answers(s, incremental.place(s, "answers"))
+    for run in ("first", "second"):
+        answers.ask(docs, Spelling(), run)
+    said = answers.read()
+    return docs.select("doc_id", provider.prompt_key(F.col("prompt"), Spelling.model).alias("prompt_key")).join(said, "prompt_key").crossJoin(F.broadcast(said.agg(F.count("*").alias("asked")))).select("doc_id", F.col("response").alias("answer"), "asked")  # one row
 
 
 query("fn_format_signals", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'language: ' || lang || chr(10) || 'tags: t' || (doc_id % 5) ELSE 'language: ' || lang END AS value FROM documents")(
@@ -71,9 +82,13 @@ _SCD = f"WITH {R.VERSIONS} SELECT version_id, lead(version_id) OVER (PARTITION B
 
 @query("str_scd_supersede", _SCD)
 def scd(s, d):
-    """Each new version closes the one before it; versions come as a stream."""
-    stream = incremental.files(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("version_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("ingested_at"))
-    return incremental.superseded_stream(s, stream, "version_id", "document_id", "ingested_at").select("version_id", "closed_by")
+    """Each new version closes the one before it: versions as keyed state, over three micro-batches that hold early and late ones alike."""
+    rows = R.read(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("version_id"), F.col("conv_id").alias("document_id"), F.timestamp_seconds(F.col("turn") + 946684800).alias("ingested_at"))
+    source = incremental.place(s, "version-files")
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("version_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(source)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return versions.closed_versions(stream, "version_id", "document_id", "ingested_at").select(F.col("version").alias("version_id"), "closed_by")
 
 
 # sources and sinks over files that the query writes first
@@ -85,7 +100,7 @@ def vault_scan(s, d):
     notes = R.read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turn, lambda t: t["text"]), "\n\n").alias("text"))
     folder = F.when(F.col("conv_id") % 5 == 0, "notes/.trash/").otherwise("notes/")
     vault.write_notes(notes.select(F.concat(folder, "conv_id", F.lit(".md")).alias("relative_path"), "text"), root)
-    return vault.scan_vault(s, root).select("relative_path", "byte_size", "content_hash")
+    return vault_format.notes(s, root).select("relative_path", "byte_size", "content_hash")
 
 
 @query("src_json_fixture", "SELECT n_name AS subject, 'in' AS predicate, CAST(n_regionkey AS VARCHAR) AS object FROM nation")
@@ -107,18 +122,29 @@ def run_log(s, d):
     return vault.run_log(s, path).groupBy(F.expr("variant_get(record, '$.kind', 'string')").alias("kind")).agg(F.count("*").alias("n"))
 
 
+class Opening:
+    """A provider without a model: the text opens with its first word, and its last one is never said."""
+
+    model = "opening"
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        claim = lambda word, quote: {"subject": {"label": word[:200], "type": "word"}, "predicate": "opens", "object": {"label": "turn", "type": "thing"}, "quote": quote}
+        return [json.dumps({"facts": [claim(w[0], p[:20]), claim(w[-1], "that is never said 0123456789")]}) if (w := p.split()) else "{}" for p in prompts]
+
+
 @query("run_notes")
 def run_notes(s, d):
-    """The whole run over conversations as notes: rows of each of its tables. No SQL; its parts are tested on examples."""
-    turn = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text", F.lit("\n\n")).alias("md"))))
-    notes = R.read(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turn, lambda t: t["md"]), "").alias("text"))
-    files = notes.select(F.concat(F.lit("notes/2024-01-02-"), "conv_id", F.lit(".md")).alias("relative_path"), "text")
-    chunks = compose.segmented(compose.versioned(files, F.to_timestamp(F.lit("2024-02-01"))))
-    claim = F.struct(F.struct(F.substring_index("text", " ", 1).alias("label"), F.lit("word").alias("type")).alias("subject"), F.lit("opens").alias("predicate"), F.struct(F.lit("turn").alias("label"), F.lit("thing").alias("type")).alias("object"), F.substring("text", 1, 20).alias("quote"))
-    answers = chunks.select(compose.prompt_key(F.col("text")).alias("prompt_key"), F.to_json(F.struct(F.array(claim).alias("facts"))).alias("response")).dropDuplicates(["prompt_key"])
-    done = compose.run(files, answers, R.concepts(s, d), F.to_timestamp(F.lit("2024-02-01")))
-    counts = [done[name].agg(F.lit(name).alias("relation"), F.count("*").alias("n")) for name in sorted(done)]
-    return functools.reduce(lambda a, b: a.unionByName(b), counts)
+    """The whole run, twice, over conversations as notes in a vault: their first two turns, then all. What the fact log holds; no SQL, tests compare its rows with a plain run."""
+    turn = lambda upto: F.array_sort(F.collect_list(F.when(F.col("turn") < upto, F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text", F.lit("\n\n")).alias("md")))))
+    note = lambda upto: F.array_join(F.transform(turn(upto), lambda t: t["md"]), "")
+    notes = R.read(s, d, "conversations").groupBy("conv_id").agg(note(2).alias("first"), note(1 << 40).alias("all"))
+    kept, root = journal.Journal(s, incremental.place(s, "journal")), incremental.place(s, "vault")
+    for day, column in enumerate(("first", "all"), 1):
+        vault.write_notes(notes.select(F.concat(F.lit("notes/2024-01-02-"), "conv_id", F.lit(".md")).alias("relative_path"), F.col(column).alias("text")), root)
+        kept.ingest(vault_format.notes(s, root), F.to_timestamp(F.lit(f"2024-02-0{day}")), f"ingest{day}")
+        kept.process(Opening(), F.to_timestamp(F.lit(f"2024-02-0{day} 12:00:00")), f"process{day}")
+    of = kept.chunks().select("chunk_id", "relative_path", "ordinal")
+    return kept.facts().join(of, "chunk_id").select("relative_path", "ordinal", "subject", "char_start", "char_end", "quote", "run_id", "superseded_by")
 
 
 @query("retrieve")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, resolve, search
+from ..operators import graph, lexical, quotes, resolve, search, vectors
+from ..streaming import incremental
 from . import relations as R
 from .registry import query
 
@@ -25,14 +26,19 @@ near AS (SELECT qid, vec_id, round(sqrt(list_sum(list_transform(list_zip(embeddi
 sem AS (SELECT qid, vec_id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 40)"""
 
 
+def _index(spark, d):
+    """The stored index of documents; it is built once for the same files."""
+    return lexical.of_table(spark, f"{d}/documents.parquet", R.read(spark, d, "documents"))
+
+
 def _lexical(spark, d):
-    return search.bm25(search.index(R.read(spark, d, "documents")), R.questions(spark))
+    return _index(spark, d).search(R.questions(spark))
 
 
 def _semantic(spark, d):
     v = R.read(spark, d, "embeddings")
     queries = v.where("vec_id % 100 = 0").select(F.expr("CAST(vec_id DIV 100 + 1 AS INT)").alias("qid"), F.col("embedding").alias("query"))
-    return search.knn(v, queries)
+    return vectors.of_table(spark, f"{d}/embeddings.parquet", v).nearest(queries).withColumnRenamed("value", "distance")
 
 
 @query("top_bm25", f"WITH {_TERMS} SELECT qid, doc_id, score, rank, substr(trim(text), 1, 400) AS preview FROM lex JOIN documents USING (doc_id)")
@@ -71,7 +77,7 @@ query("set_union_ranks", f"WITH {_TERMS}, {_KNN} SELECT qid, id, round(sum(1 / (
 )
 query("win_rank_list", f"WITH {_TERMS} SELECT qid, doc_id, rank FROM lex")(lambda spark, d: _lexical(spark, d).select("qid", "doc_id", "rank"))
 query("sink_fts", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL")(
-    lambda spark, d: search.index(R.read(spark, d, "documents")).select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    lambda spark, d: _index(spark, d).postings()
 )
 
 
@@ -96,10 +102,21 @@ query(
     lambda spark, d: _lexical(spark, d).where("rank <= 8").join(R.read(spark, d, "documents"), "doc_id")
     .groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "rank", F.lit("] ("), "source", F.lit(", "), "doc_id", F.lit(")\n"), F.col("text")).alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
 )
-query(
+@query(
     "join_quote_in_text",
-    "SELECT doc_id, item_id, strpos(d.text, trim(b.text)) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))",
-)(lambda spark, d: search.quotes_in(R.read(spark, d, "documents"), R.read(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))))
+    r"""WITH b AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN upper(replace(text, 'ß', 'ss')) WHEN 3 THEN text || ' never said' ELSE ' ' || text END AS quote FROM benchmark),
+q AS (SELECT item_id, trim(quote) AS q, regexp_replace(trim(quote), '\s+', ' ', 'g') AS s FROM b), d AS (SELECT doc_id, text, regexp_replace(text, '\s+', ' ', 'g') AS s FROM documents),
+m AS (SELECT doc_id, item_id, CASE WHEN contains(d.text, q) THEN 'exact' WHEN contains(d.s, q.s) THEN 'space' ELSE 'case' END AS pass, strpos(d.text, q) - 1 AS start
+  FROM d JOIN q ON contains(replace(lower(d.s), 'ß', 'ss'), replace(lower(q.s), 'ß', 'ss')))
+SELECT doc_id, item_id, pass, CASE pass WHEN 'exact' THEN start ELSE -1 END AS start FROM m""",
+)
+def quote_in_text(spark, d):
+    """Passages as they stand, with other white space, in capitals, or with more behind; where the last passes found one is tested against brute force."""
+    k = F.col("item_id") % 4
+    said = F.when(k == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(k == 2, F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))).when(k == 3, F.concat("text", F.lit(" never said"))).otherwise(F.concat(F.lit(" "), "text"))
+    met = quotes.quotes_in(R.read(spark, d, "documents"), R.read(spark, d, "benchmark").select("item_id", said.alias("quote")))
+    return met.select("doc_id", "item_id", "pass", F.when(F.col("pass") == "exact", F.col("start")).otherwise(-1).alias("start"))
+
 
 # resolution: refs are part names as written, in capitals, and with a letter lost
 _REFS = "refs AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '(' || upper(p_name) || ')' WHEN 2 THEN substr(p_name, 2) ELSE 'zz' || p_partkey END AS label, p_brand AS type FROM part)"
@@ -118,9 +135,23 @@ rest AS (SELECT * FROM refs ANTI JOIN ex USING (label, type)),
 nm AS (SELECT label, type, concept_id FROM rest JOIN nk ON {_NORM.format('label')} = nl AND {_NORM.format('type')} = nt)"""
 query("join_exact_label", f"WITH {_REFS}, {R.CONCEPTS}, {_EXACT} SELECT * FROM ex")(lambda spark, d: resolve.canonicalise(_refs(spark, d), R.concepts(spark, d), embed=False).where("method = 'exact'").select("label", "type", "concept_id"))
 query("join_normalised_label", f"WITH {_REFS}, {R.CONCEPTS}, {_EXACT}, {_NORMAL} SELECT * FROM nm")(lambda spark, d: resolve.canonicalise(_refs(spark, d), R.concepts(spark, d), embed=False).where("method = 'normalized'").select("label", "type", "concept_id"))
-@query("tvf_canonicalise")
+_SURFACE = """v_{0} AS (SELECT {1}, list_transform(range(0, 64), lambda b: coalesce(element_at(m, b)[1], 0) / norm) AS v FROM (
+  SELECT {1}, map_from_entries(list((bucket, n))) AS m, sqrt(sum(n * n)) AS norm FROM (
+    SELECT {1}, ('0x' || substr(sha256(substr(padded, i, 3)), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM (
+      SELECT {1}, padded, unnest(range(1, length(padded) - 1)) AS i FROM (SELECT {1}, '  ' || lower(type || ': ' || label) || '  ' AS padded FROM {0})) GROUP BY ALL) GROUP BY {1}))"""
+
+
+@query(
+    "tvf_canonicalise",
+    f"""WITH {_REFS}, {R.CONCEPTS}, {_EXACT}, {_NORMAL}, open_refs AS (SELECT * FROM rest ANTI JOIN nm USING (label, type)), {_SURFACE.format('open_refs', 'label, type')}, {_SURFACE.format('concepts', 'concept_id, label, type, occurrences')},
+met AS (SELECT o.label, o.type, c.concept_id, round(list_dot_product(o.v, c.v), 9) AS s, c.occurrences, c.label AS theirs FROM v_open_refs o, v_concepts c),
+best AS (SELECT label, type, concept_id, s FROM met WHERE s >= {resolve.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY label, type ORDER BY s DESC, occurrences DESC, theirs, concept_id) = 1)
+SELECT label, type, concept_id, 'exact' AS method, 1.0::DOUBLE AS score FROM ex UNION ALL SELECT label, type, concept_id, 'normalized', 1.0 FROM nm UNION ALL SELECT label, type, concept_id, 'embedding', round(s, 4) FROM best
+UNION ALL SELECT label, type, substring(sha256('concept' || chr(0) || {_NORM.format('type')} || chr(0) || {_NORM.format('label')}), 1, 32), 'new', 0.0 FROM open_refs ANTI JOIN best USING (label, type)""",
+)
 def tvf_canonicalise(spark, d):
-    return resolve.canonicalise(_refs(spark, d), R.concepts(spark, d))
+    """All names against all concepts, without a pool."""
+    return resolve.canonicalise(_refs(spark, d), R.concepts(spark, d), pool=None)
 
 
 @query(
@@ -131,7 +162,8 @@ SELECT vec_id, other, round(s, 4) AS score, round(s, 9) >= {resolve.THRESHOLD} A
 def join_embedding_nn(spark, d):
     """The nearest other vector, among all, of each vector whose id is divisible by 100, and whether it is near enough to be the same concept."""
     v = R.read(spark, d, "embeddings")
-    met = search.nearest(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 2, "dot").where("qid <> vec_id")
+    table = vectors.of_table(spark, f"{d}/embeddings.parquet", v)
+    met = table.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 2, "dot").where("qid <> vec_id")
     first = F.row_number().over(Window.partitionBy("qid").orderBy("rank")) == 1
     return met.withColumn("first", first).where("first").select(F.col("qid").alias("vec_id"), F.col("vec_id").alias("other"), F.round("value", 4).alias("score"), (F.col("value") >= resolve.THRESHOLD).alias("accepted"))
 
@@ -150,6 +182,57 @@ query("set_union_all_lookup", "SELECT n_name AS name, 'nation' AS kind FROM nati
     lambda spark, d: R.read(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionAll(R.read(spark, d, "region").select("r_name", F.lit("region")))
 )
 
+
+
+@query(
+    "sink_vectors",
+    "SELECT vec_id, round((CASE WHEN vec_id % 4 = 0 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE, 6) AS first, len(embedding) AS dimensions, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS written FROM embeddings",
+)
+def sink_vectors(spark, d):
+    """All vectors written, then every fourth again, turned around: what the table holds of each, and in which write it was."""
+    v, table = R.read(spark, d, "embeddings"), vectors.VectorTable(spark, incremental.place(spark, "vectors"))
+    table.write(v, "given")
+    table.write(v.where("vec_id % 4 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)), "given")
+    second = table.table.read("keys", "key long", [table.table.committed()[-1].generation]).select(F.col("key").alias("vec_id"), F.lit(2).alias("written"))
+    return table.vectors().join(second, "vec_id", "left").select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dimensions"), F.coalesce("written", F.lit(1)).alias("written"))
+
+
+@query(
+    "sink_vector_ddl",
+    """SELECT min(len(embedding)) AS dimensions, 'given' AS model, count(*) AS n, 'this table holds ' || min(len(embedding)) || '-dimensional vectors of given, not ' || (min(len(embedding)) - 1) || '-dimensional ones of given' AS other_dimension,
+ 'this table holds ' || min(len(embedding)) || '-dimensional vectors of given, not ' || min(len(embedding)) || '-dimensional ones of another' AS other_model FROM embeddings""",
+)
+def sink_vector_ddl(spark, d):
+    """What the stored metadata says, and the errors of writing vectors of another dimension or model."""
+    v, told = R.read(spark, d, "embeddings"), []
+    table = vectors.of_table(spark, f"{d}/embeddings.parquet", v)
+    for rows, model in ((v.withColumn("embedding", F.slice("embedding", 2, F.size("embedding"))), "given"), (v, "another")):
+        try:
+            table.write(rows, model)
+        except vectors.Mismatch as e:
+            told.append(str(e).split(":")[0])
+    meta = table.metadata()
+    return table.vectors().agg(F.lit(meta["dimensions"]).cast("long").alias("dimensions"), F.lit(meta["model"]).alias("model"), F.count("*").alias("n"), *[F.lit(t).alias(c) for t, c in zip(told, ("other_dimension", "other_model"), strict=True)])
+
+
+@query(
+    "join_contains_eval",
+    f"""WITH {R.FACTS}, e AS (SELECT event_id AS item_id, CASE event_id % 4 WHEN 3 THEN 'nobody' ELSE '"USER ' || user_id || '" ' END AS subject, CASE WHEN event_id % 3 = 0 THEN '' ELSE upper(event_type) END AS predicate,
+  CASE WHEN event_id % 2 = 0 THEN '(Item)' ELSE 'item ' || (props::JSON->>'k') || '!' END AS object FROM events WHERE event_id % 100 = 0 OR event_id % 100 = 7),
+w AS (SELECT item_id, {_NORM.format('subject')} AS s, {_NORM.format('predicate')} AS p, {_NORM.format('object')} AS o FROM e),
+f AS (SELECT DISTINCT {_NORM.format('subject')} AS s, {_NORM.format('predicate')} AS p, {_NORM.format('object')} AS o FROM facts)
+SELECT item_id FROM w WHERE EXISTS (SELECT 1 FROM f WHERE contains(f.s, w.s) AND contains(f.p, w.p) AND contains(f.o, w.o))""",
+)
+def contains_eval(spark, d):
+    """Expected claims, written otherwise and with parts left open, that some fact meets; the expected ones are a stated set, the facts are all."""
+    e = R.read(spark, d, "events").where("event_id % 100 IN (0, 7)")
+    k, item = F.col("event_id"), F.get_json_object("props", "$.k")
+    subject = F.when(k % 4 == 3, F.lit("nobody")).otherwise(F.concat(F.lit('"USER '), "user_id", F.lit('" ')))
+    object_ = F.when(k % 2 == 0, F.lit("(Item)")).otherwise(F.concat(F.lit("item "), item, F.lit("!")))
+    expected = e.select(k.alias("item_id"), subject.alias("subject"), F.when(k % 3 == 0, F.lit("")).otherwise(F.upper("event_type")).alias("predicate"), object_.alias("object"))
+    return quotes.claims_met(expected, R.facts(spark, d))
+
+
 # graph: users and items are vertices, current facts are edges
 _GRAPH = f"""{R.FACTS}, e AS (SELECT subject AS src, object AS dst, fact_id, predicate, confidence FROM facts WHERE superseded_by IS NULL),
 v AS (SELECT DISTINCT src AS id FROM e UNION SELECT DISTINCT dst FROM e), u AS (SELECT * FROM e UNION ALL SELECT dst, src, fact_id, predicate, confidence FROM e)"""
