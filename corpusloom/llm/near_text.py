@@ -9,8 +9,9 @@ Documents are linked if the Jaccard similarity of their sets of five-word shingl
 
 Within a bucket, pairs whose five-word-shingle fingerprints of 128 bits differ in more than 44 bits are left out: a
 similarity of 0.8 is expected to make 19.4 differ, with a deviation of 4. For all others the shingle sets
-themselves are compared. Of a bucket of more than SMALL nodes the pairs are a tree of least distances, which holds each
-node's nearest, so that pairs grow with a group's size and not with its square.
+themselves are compared, unless the two are known to be in one group already: of a bucket of more than SMALL nodes first the pairs of a tree of least distances are
+compared, which holds each node's nearest and puts most of a group together with as many pairs as nodes; then all pairs of the bucket
+that are not in one group by then.
 
 Equal word sequences are one node.
 
@@ -36,7 +37,7 @@ from .suffix_dedup import in_runs, mix
 WORDS, LEASTS, BANDS, BAND = 5, 3, 16, 4
 #: Differing bits of the 128 up to which shingle sets are compared.
 SHINGLE_BITS = 44
-#: In buckets over SMALL, the nodes that one tree spans.
+#: In buckets over SMALL, the nodes that one tree spans in the first pass.
 BLOCK = 4096
 #: Most candidate nodes that are sent to every task to pick their texts; more are joined by shuffles.
 BROADCAST_NODES = 500_000
@@ -128,7 +129,8 @@ def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes (a < b) of a bucket whose shingle sets are to be compared."""
+    """Pairs of nodes (a < b; part 0) of a bucket whose shingle sets are to be compared: all of a small one, a tree's of a large one. The
+    nodes of large ones go on (a: the key, b: the node, one, two; part 1)."""
     for columns in in_runs(batches):
         key, node = columns[0].to_numpy(), columns[1].to_numpy()
         one, two = (c.to_numpy().view(np.uint64) for c in columns[2:])
@@ -141,12 +143,41 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met.append((at, at + off))
         for start, n in zip(edge[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
             met += ((x + start, y + start) for x, y in closest(one[start : start + n], two[start : start + n], int(key[start])))
-        out = []
-        for x, y in met:
-            near = (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= SHINGLE_BITS) & (node[x] != node[y])
-            out.append(np.stack([np.minimum(node[x], node[y])[near], np.maximum(node[x], node[y])[near]], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        pairs = near_pairs(node, one, two, met)
+        none = np.zeros(len(pairs), np.int64)
+        large = [c.filter(pa.array(~small)) for c in columns]
+        for part, rows in ((0, [pa.array(c) for c in (pairs[:, 0], pairs[:, 1], none, none)]), (1, large)):
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.full(len(rows[0]), part, np.int32))], ["a", "b", "one", "two", "part"])
+
+
+def near_pairs(node: np.ndarray, one: np.ndarray, two: np.ndarray, met) -> np.ndarray:
+    """The distinct pairs (a < b), of pairs of places, whose fingerprints are near."""
+    out = []
+    for x, y in met:
+        near = (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= SHINGLE_BITS) & (node[x] != node[y])
+        out.append(np.stack([np.minimum(node[x], node[y])[near], np.maximum(node[x], node[y])[near]], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of a bucket (key, node, one, two, root; sorted by key and root) with different roots whose shingle sets are to be compared."""
+    for columns in in_runs(batches):
+        key, node, root = (columns[k].to_numpy() for k in (0, 1, 4))
+        one, two = (c.to_numpy().view(np.uint64) for c in columns[2:4])
+        n = len(key)
+        end = np.searchsorted(key, key, "right")  # of the bucket; other roots begin behind a row's own
+        other = np.flatnonzero(np.concatenate([(key[1:] != key[:-1]) | (root[1:] != root[:-1]), [True]])) + 1
+        begin = other[np.searchsorted(other, np.arange(n), "right")] if n else other
+        reach = np.maximum(end - begin, 0)
+        total, start = np.append(0, np.cumsum(reach)), 0
+        while start < n:  # as many rows as meet some millions of others
+            stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 21), "right")) - 1)
+            count = reach[start:stop]
+            x = np.repeat(np.arange(start, stop), count)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[start:stop], count)
+            pairs = near_pairs(node, one, two, [(x, y)])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            start = stop
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +208,14 @@ def shingle_sets(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFra
     return materialise(sets.dropDuplicates(["node"]), "shingle-sets")
 
 
+def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar."""
+    pairs = materialise(pairs, "near-pairs")
+    sets = shingle_sets(docs, found, pairs)
+    both = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
+    return both.mapInArrow(verified, "a long, b long")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the text), node and root (equal for the documents of a group) of every row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -190,11 +229,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = found.select("node", "word", "one", "two", "least", "bands").dropDuplicates(["node"]).repartition(parts)
     dealt = nodes.mapInArrow(deal, "key long, node long, one long, two long")
-    pairs = materialise(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long").distinct(), "near-pairs")
-    sets = shingle_sets(docs, found, pairs)
-    both = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
-    links = both.mapInArrow(verified, "a long, b long")
-    roots = components(links).withColumnRenamed("node", "member")
+    met = materialise(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long, one long, two long, part int"), "near-met")
+    links = linked(docs, found, met.where("part = 0").select("a", "b").distinct())
+    # pairs of large buckets that these links have not put together
+    roots = materialise(components(links), "near-roots")
+    large = met.where("part = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "one", "two").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = materialise(large.select("key", "node", "one", "two", "root"), "near-large")
+    split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    rest = large.join(split, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "root")
+    more = linked(docs, found, rest.mapInArrow(crossing, "a long, b long").distinct())
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("node", "member")
     return found.join(roots, found["node"] == roots["member"], "left").select("doc_id", "mark", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -377,3 +377,19 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     want = true_groups(texts)
     assert max(map(len, want)) >= 100
     assert near_text_groups(spark, texts) == want
+
+
+def test_sparse_groups_close_to_the_threshold(spark):
+    """Copies of a base whose pairs lie between some 0.78 and 0.84: every group that one pair holds together is found, in buckets far over SMALL."""
+    rng = np.random.default_rng(13)
+    words, texts = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8))) for _ in range(3000)], {}
+    for size, length, changed in ((60, 400, 5), (60, 400, 6), (60, 300, 4), (60, 200, 3), (120, 400, 5)):
+        base = [words[k] for k in rng.integers(0, len(words), length)]
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.choice(length, changed + int(rng.integers(2)), replace=False):
+                copy[at] = f"new{rng.integers(10**9)}"
+            texts[len(texts)] = " ".join(copy)
+    want = true_groups(texts)
+    assert len(want) > 60 and sum(len(g) > 1 for g in want) > 10
+    assert near_text_groups(spark, texts) == want
