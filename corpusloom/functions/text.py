@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -79,7 +80,6 @@ def casefold(x: Column) -> Column:
 @F.pandas_udf(StringType())
 def normalize_label(x):
     """Edge punctuation off, accents off, case folded, white space collapsed; labels that a reader keeps apart stay apart."""
-    import re
     import unicodedata
 
     edges = re.compile(LABEL_EDGES)
@@ -172,6 +172,36 @@ def paths(x: Column) -> Column:
     return _every(x, FS_PATH)
 
 
+def format_signals(x: Column) -> Column:
+    """A text's language and signals as lines of a prompt; kinds without values are left out."""
+    kinds = (("urls", urls), ("emails", emails), ("hashtags", hashtags), ("wikilinks", wikilinks), ("mentions", mentions), ("dates", iso_dates), ("times", times), ("paths", paths))
+    line = lambda name: lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f"{name}: "), F.array_join(v, ", ")))
+    lines = F.array_compact(F.array(*[let(find(x), line(name)) for name, find in kinds]))
+    told = let(lines, lambda v: F.when(F.size(v) > 0, F.array_join(v, "\n")).otherwise(F.lit("(no other signals detected)")))
+    return F.concat(F.lit("language: "), detect_language(x), F.lit("\n"), told)
+
+
+def render_vocabulary(types: Column, predicates: Column, limit: int = 60) -> Column:
+    """The known types and predicates (arrays, most frequent first) as lines of a prompt."""
+    listed = lambda a: let(F.slice(a, 1, limit), lambda v: F.when(F.size(v) > 0, F.array_join(v, ", ")).otherwise(F.lit("(none yet)")))
+    both = F.concat(F.lit("types: "), listed(types), F.lit("\npredicates: "), listed(predicates))
+    return F.when((F.size(types) == 0) & (F.size(predicates) == 0), F.lit("(empty -- this is the first pass over this vault)")).otherwise(both)
+
+
+def render_template(template: str, **values: Column) -> Column:
+    """The template with $name and ${name} replaced, $$ as a dollar sign; a name without a value, or a lone $, is an error. Values aren't searched for names; a null one is empty."""
+    out, at = [], 0
+    for found in re.finditer(r"\$(?:(\$)|(?P<bare>[_a-zA-Z][_a-zA-Z0-9]*)|\{(?P<braced>[_a-zA-Z][_a-zA-Z0-9]*)\}|)", template):
+        name = found["bare"] or found["braced"]
+        if not found[1] and not name:
+            raise ValueError(f"a lone $ at place {found.start()} of the template")
+        if name and name not in values:
+            raise KeyError(name)
+        out += [F.lit(template[at : found.start()]), F.lit("$") if found[1] else F.coalesce(values[name].cast("string"), F.lit(""))]
+        at = found.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
 def letter_tokens(x: Column) -> Column:
     """Runs of letters and of digits that aren't decimal, case folded."""
     return F.regexp_extract_all(casefold(x), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))

@@ -2,56 +2,70 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as K
 
 from ..functions import text as T
 
 _FIELDS = ["subject", "subject_type", "predicate", "object", "object_type", "quote"]
-CLAIM = K.StructType([*[K.StructField(n, K.StringType()) for n in _FIELDS], K.StructField("object_is_literal", K.BooleanType()), K.StructField("confidence", K.DoubleType())])
-PARSED = K.StructType([K.StructField("reason", K.StringType()), K.StructField("claims", K.ArrayType(CLAIM))])
+CLAIM = "struct<" + ",".join(f"{n}:string" for n in _FIELDS) + ",object_is_literal:boolean,confidence:double>"
 MOST_LABEL, MOST_QUOTE, CONFIDENCE = 200, 600, 0.7
 
 
-def _concept(value: object) -> tuple[str, str]:
-    if not isinstance(value, dict) or set(value) - {"label", "type"} or not all(isinstance(value.get(k), str) and 0 < len(value[k]) <= MOST_LABEL for k in ("label", "type")):
-        raise ValueError
-    return value["label"], value["type"]
-
-
-def parse(response: str | None) -> tuple[str | None, list[tuple]]:
-    """A reason why the response as a whole is rejected, or its claims: one bad claim rejects all."""
-    try:
-        value = json.loads(response or "")
-    except ValueError:
-        return "unparseable_response", []
-    try:
-        if not isinstance(value, dict) or set(value) - {"facts"} or not isinstance(value.get("facts", []), list):
-            raise ValueError
-        claims = []
-        for fact in value.get("facts", []):
-            if not isinstance(fact, dict) or set(fact) - {"subject", "predicate", "object", "object_is_literal", "confidence", "quote"}:
-                raise ValueError
-            (subject, kind), (object_, object_kind) = _concept(fact.get("subject")), _concept(fact.get("object"))
-            predicate, quote, literal, sure = fact.get("predicate"), fact.get("quote"), fact.get("object_is_literal", False), fact.get("confidence", CONFIDENCE)
-            if not (isinstance(predicate, str) and 0 < len(predicate) <= MOST_LABEL and isinstance(quote, str) and 0 < len(quote) <= MOST_QUOTE and isinstance(literal, bool)):
-                raise ValueError
-            if isinstance(sure, bool) or not isinstance(sure, int | float) or not 0 <= sure <= 1:
-                raise ValueError
-            claims.append((subject, kind, predicate, object_, object_kind, quote, literal, float(sure)))
-    except ValueError:
-        return "schema_violation", []
-    return None, claims
-
-
-@F.pandas_udf(PARSED)
-def parsed(response: pd.Series) -> pd.DataFrame:
-    rows = [parse(r) for r in response]
-    return pd.DataFrame({"reason": [r for r, _ in rows], "claims": [c for _, c in rows]})
+def _kind(v: Column, path: str | None = None) -> Column:
+    """The type of a JSON value, or of what is at a path in it: OBJECT<...>, ARRAY<...>, STRING, BOOLEAN, VOID, or a number's; null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant") if path else v)
+
+
+def _object(v: Column, fields: list[str], path: str | None = None) -> Column:
+    """Whether it is an object that has no other fields."""
+    inner = F.try_variant_get(v, path, "variant") if path else v
+    return F.coalesce(_kind(v, path).startswith("OBJECT<") & F.forall(F.map_keys(inner.try_cast("map<string,variant>")), lambda k: k.isin(fields)), F.lit(False))
+
+
+def _text(v: Column, path: str, most: int) -> Column:
+    """Whether a text of 1 to `most` characters is there."""
+    return F.coalesce((_kind(v, path) == "STRING") & F.length(F.try_variant_get(v, path, "string")).between(1, most), F.lit(False))
+
+
+def _claim_holds(v: Column) -> Column:
+    concept = lambda side: _object(v, ["label", "type"], f"$.{side}") & _text(v, f"$.{side}.label", MOST_LABEL) & _text(v, f"$.{side}.type", MOST_LABEL)
+    literal, sure = _kind(v, "$.object_is_literal"), _kind(v, "$.confidence")
+    number = (sure.isin("BIGINT", "DOUBLE", "FLOAT") | sure.startswith("DECIMAL")) & F.try_variant_get(v, "$.confidence", "double").between(0, 1)
+    return (
+        _object(v, ["subject", "predicate", "object", "object_is_literal", "confidence", "quote"]) & concept("subject") & concept("object")
+        & _text(v, "$.predicate", MOST_LABEL) & _text(v, "$.quote", MOST_QUOTE)
+        & (literal.isNull() | (literal == "BOOLEAN")) & (sure.isNull() | F.coalesce(number, F.lit(False)))
+    )
+
+
+def _claim(v: Column) -> Column:
+    at = lambda path: F.try_variant_get(v, path, "string")
+    names = {"subject": "$.subject.label", "subject_type": "$.subject.type", "predicate": "$.predicate", "object": "$.object.label", "object_type": "$.object.type", "quote": "$.quote"}
+    return F.struct(
+        *[at(path).alias(name) for name, path in names.items()],
+        F.coalesce(F.try_variant_get(v, "$.object_is_literal", "boolean"), F.lit(False)).alias("object_is_literal"),
+        F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(CONFIDENCE)).alias("confidence"),
+    )
+
+
+def _whole_json(x: Column) -> Column:
+    """The JSON value that a text is, or null. The parser stops behind a value, so the text is put into a list and into an object: no rest fits both."""
+    inside = F.try_parse_json(F.concat(F.lit('{"r":'), x, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.r", "variant"))
+
+
+def parsed(response: Column) -> Column:
+    """struct(reason, claims): why the response as a whole is rejected, or its claims; one bad claim rejects all. It stays in the JVM.
+
+    A response is an object with `facts`, a list (or without it: no claims). Repeated keys, and what else the JSON parser of Spark doesn't take, are unparseable.
+    """
+    claims = lambda v: F.try_variant_get(v, "$.facts", "array<variant>")
+    listed = lambda v: F.coalesce(_kind(v, "$.facts").startswith("ARRAY<"), _kind(v, "$.facts").isNull())
+    good = lambda v: _object(v, ["facts"]) & listed(v) & F.coalesce(F.forall(claims(v), _claim_holds), F.lit(True))
+    reason = lambda v: F.when(v.isNull(), "unparseable_response").when(~good(v), "schema_violation")
+    found = lambda v: F.coalesce(F.transform(claims(v), _claim), F.array().cast(f"array<{CLAIM}>"))
+    return T.let(_whole_json(F.coalesce(response, F.lit(""))), lambda v: T.let(reason(v), lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), found(v)).alias("claims"))))
 
 
 def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +74,7 @@ def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     A fact's span is where its quote stands in the document and its quote is what stands there; a quote that isn't found
     rejects the claim. The first of equal fact ids of a chunk stays.
     """
-    read = chunks.withColumn("p", parsed("response"))
+    read = chunks.withColumn("p", parsed(F.col("response")))
     whole = read.where("p.reason IS NOT NULL").select("chunk_id", F.col("p.reason").alias("reason"), F.substring("response", 1, 200).alias("detail"))
     claims = read.where("p.reason IS NULL").select("chunk_id", "text", "char_start", F.posexplode("p.claims").alias("place", "c")).select("chunk_id", "text", "char_start", "place", "c.*")
     located = claims.withColumn("span", T.locate_quote(F.col("text"), F.col("quote")))

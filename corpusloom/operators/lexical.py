@@ -139,7 +139,7 @@ class LexicalIndex:
         sums = self._opened(heads).groupBy("qid", "key").agg(F.sum(score).alias("score"))
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))
         least = sums.withColumn("place", place).where(F.col("place") == limit).select("qid", F.col("score").alias("least"))
-        asked = held(weights.join(least, "qid", "left"), "lexical-asked")
+        asked = weights.join(least, "qid", "left")
         kept = blocks.join(asked, "term").where(F.col("weight") * bound + F.col("rest") >= F.coalesce(F.col("least"), F.lit(0.0)) - 1e-5)
         found = self._opened(kept.select("qid", "weight", "keys", "tfs", "lengths")).groupBy("qid", "key").agg(F.round(F.sum(score), 6).alias("score"))
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))

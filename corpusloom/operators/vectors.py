@@ -1,6 +1,6 @@
 """A stored vector table: blocks of vectors by pivot cell, exact nearest vectors by the triangle inequality.
 
-The first write picks pivots among its vectors; each vector lies in the cell of its nearest pivot, and cells are cut by the distance to
+The first write picks pivots among its vectors (one for each block's worth of them, up to a bound); each vector lies in the cell of its nearest pivot, and cells are cut by the distance to
 the pivot into blocks of bounded size that carry their least and greatest distance. For a query at distance d of a pivot no
 vector of a block is nearer than d - greatest or least - d, so blocks beyond the query's bound are not read. The bound comes from the cells' counts, then
 from the vectors of the query's own cell.
@@ -49,7 +49,7 @@ class VectorTable:
 
     def __init__(self, spark: SparkSession, root: str, key: str = "vec_id", kind: str = "bigint", block: int = VECTORS, pivots: int = PIVOTS):
         self.spark, self.key, self.kind, self.block, self.most_pivots = spark, key, kind, block, pivots
-        self.table = Generations(spark, root)
+        self.table, self._chosen = Generations(spark, root), {}
         self.shape = f"cell int, part long, n long, least double, greatest double, keys array<{kind}>, vectors array<float>"
 
     # -- metadata
@@ -69,8 +69,10 @@ class VectorTable:
         return self._pivots(self.table.committed()[0].what["pivots"])
 
     def _pivots(self, home: str) -> np.ndarray:
-        rows = self.spark.read.parquet(self.table.path(home, "pivots")).orderBy("cell").collect()
-        return np.array([r.pivot for r in rows], np.float64).reshape(len(rows), -1)
+        if home not in self._chosen:
+            rows = self.spark.read.parquet(self.table.path(home, "pivots")).orderBy("cell").collect()
+            self._chosen = {home: np.array([r.pivot for r in rows], np.float64).reshape(len(rows), -1)}
+        return self._chosen[home]
 
     # -- writes
 
@@ -89,7 +91,8 @@ class VectorTable:
             home = old[0].what["pivots"]
         else:
             home = generation
-            picked = rows.orderBy(F.xxhash64("vector"), "vector").select("vector").limit(self.most_pivots).collect()
+            cells = min(self.most_pivots, max(1, sizes.n // self.block))
+            picked = rows.orderBy(F.xxhash64("vector"), "vector").select("vector").limit(cells).collect()
             chosen = sorted({tuple(r.vector) for r in picked})
             self.spark.createDataFrame([(k, list(v)) for k, v in enumerate(chosen)], "cell int, pivot array<float>").coalesce(1).write.parquet(self.table.path(generation, "pivots"))
         self._write(rows, generation, self._pivots(home))

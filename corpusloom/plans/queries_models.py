@@ -34,8 +34,8 @@ def extract_facts(s, d):
     return extract.extract(_responses(s, d))[0].select("chunk_id", "subject", "object", "char_start", "char_end", "quote")
 
 
-query("fn_json_validate", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE doc_id % 4 WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'unparseable_response' ELSE 'schema_violation' END AS reason FROM documents WHERE doc_id % 4 <> 0")(
-    lambda s, d: extract.extract(_responses(s, d).where("doc_id % 4 <> 0"))[1].select("chunk_id", "reason")
+query("fn_json_validate", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE doc_id % 4 WHEN 2 THEN 'unparseable_response' WHEN 3 THEN 'schema_violation' ELSE 'quote_not_found' END AS reason FROM documents WHERE doc_id % 4 <> 0 OR trim(substr(text, 3, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''")(
+    lambda s, d: extract.extract(_responses(s, d))[1].select("chunk_id", "reason")
 )
 
 
@@ -59,12 +59,21 @@ def recorded_answers(s, d):
     return docs.select("doc_id", provider.prompt_key(F.col("prompt"), Spelling.model).alias("prompt_key")).join(said, "prompt_key").crossJoin(F.broadcast(said.agg(F.count("*").alias("asked")))).select("doc_id", F.col("response").alias("answer"), "asked")  # one row
 
 
-query("fn_format_signals", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'language: ' || lang || chr(10) || 'tags: t' || (doc_id % 5) ELSE 'language: ' || lang END AS value FROM documents")(
-    lambda s, d: R.read(s, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("language: "), "lang"), F.nullif(F.concat(F.lit("tags: "), F.array_join(T.hashtags(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("#t"), F.col("doc_id") % 5)).otherwise("")), ", ")), F.lit("tags: "))).alias("value"))
-)
-query("fn_render_vocab", f"WITH {R.FACTS} SELECT string_agg(term, ', ' ORDER BY n DESC, term) AS terms FROM (SELECT object AS term, count(*) AS n FROM facts WHERE superseded_by IS NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 60)")(
-    lambda s, d: facts.vocabulary(R.facts(s, d), "object").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), lambda r: r["term"]), ", ").alias("terms"))
-)
+query(
+    "fn_render_vocab",
+    f"""WITH {R.FACTS}, {R.CONCEPTS}, t AS (SELECT type AS term, sum(occurrences) AS n FROM concepts GROUP BY type ORDER BY n DESC, term LIMIT 60), p AS (SELECT predicate AS term, count(*) AS n FROM facts WHERE superseded_by IS NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 60),
+a AS (SELECT string_agg(term, ', ' ORDER BY n DESC, term) AS v FROM t), b AS (SELECT string_agg(term, ', ' ORDER BY n DESC, term) AS v FROM p)
+SELECT unnest(['types: ' || a.v || chr(10) || 'predicates: ' || b.v, 'types: ' || a.v || chr(10) || 'predicates: (none yet)', '(empty -- this is the first pass over this vault)']) AS terms FROM a, b""",
+)(lambda s, d: _vocabularies(s, d))
+
+
+def _vocabularies(s, d):
+    """The vocabulary block of a prompt: of all, of types alone, and of none."""
+    listed = lambda df: df.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), lambda r: r["term"]).alias("v"))  # noqa: E731  at most 60 rows
+    kinds = R.concepts(s, d).groupBy(F.col("type").alias("term")).agg(F.sum("occurrences").alias("n")).orderBy(F.desc("n"), "term").limit(60)
+    both = listed(kinds).withColumnRenamed("v", "t").crossJoin(F.broadcast(listed(facts.vocabulary(R.facts(s, d), "predicate")).withColumnRenamed("v", "p")))  # one row each
+    none = F.array().cast("array<string>")
+    return both.select(F.explode(F.array(T.render_vocabulary(F.col("t"), F.col("p")), T.render_vocabulary(F.col("t"), none), T.render_vocabulary(none, none))).alias("terms"))
 
 
 @query("str_work_queue", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")

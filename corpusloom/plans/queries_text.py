@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as T
 from ..operators import segment
 from ..sources import vault
@@ -41,8 +42,11 @@ def _signals(df):
     return df.withColumn("text", F.concat("text", more))
 
 
+_BODIES = {}
+
+
 def _signal(name, fn, pattern, transform="x", group=1):
-    body = f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text{_EXTRA}, '{pattern}', {group}), lambda x: length(trim(x)) > 0), lambda x: {transform})))"
+    _BODIES[name] = body = f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text{_EXTRA}, '{pattern}', {group}), lambda x: length(trim(x)) > 0), lambda x: {transform})))"
     query(name, f"SELECT doc_id, {body} AS value FROM documents")(lambda s, d: _signals(R.read(s, d, D)).select("doc_id", F.array_sort(fn(F.col("text"))).alias("value")))
 
 
@@ -64,6 +68,23 @@ query("agg_stopword_score", f"SELECT doc_id, {_COUNT['fr']} AS fr, {_COUNT['en']
     lambda s, d: R.read(s, d, D).select("doc_id", T.language_scores(F.col("text")).alias("m")).select("doc_id", F.col("m.fr").cast("long").alias("fr"), F.col("m.en").cast("long").alias("en"))
 )
 _doc("fn_detect_language", lambda: T.detect_language(_X()), f"CASE WHEN len({_TOKENS}) < 5 OR {_COUNT['fr']} = {_COUNT['en']} THEN 'und' WHEN {_COUNT['fr']} > {_COUNT['en']} THEN 'fr' ELSE 'en' END")
+_LANGUAGE = f"CASE WHEN len({_TOKENS}) < 5 OR {_COUNT['fr']} = {_COUNT['en']} THEN 'und' WHEN {_COUNT['fr']} > {_COUNT['en']} THEN 'fr' ELSE 'en' END"
+_KINDS = {"urls": "fn_urls", "emails": "fn_emails", "hashtags": "fn_hashtags", "wikilinks": "fn_wikilinks", "mentions": "fn_mentions", "dates": "fn_iso_dates", "times": "fn_times", "paths": "fn_paths"}
+
+
+@query(
+    "fn_format_signals",
+    "SELECT doc_id, language, " + ", ".join(f"list_sort(str_split({kind}, ', ')) AS {kind}" for kind in _KINDS)
+    + f" FROM (SELECT doc_id, {_LANGUAGE.replace('text', f'(text{_EXTRA})') } AS language, " + ", ".join(f"array_to_string({_BODIES[name]}, ', ') AS {kind}" for kind, name in _KINDS.items()) + " FROM documents)",
+)
+def format_signals(s, d):
+    """The prompt's block of signals, taken apart again, as SQL knows no first places."""
+    told = _signals(R.read(s, d, D)).select("doc_id", T.format_signals(F.col("text")).alias("block"))
+    lines = told.select("doc_id", F.split("block", "\n").alias("lines"))
+    of = lambda kind: F.get(F.transform(F.filter("lines", lambda x: x.startswith(f"{kind}: ")), lambda x: F.substring_index(x, ": ", -1) if kind == "language" else x.substr(F.lit(len(kind) + 3), F.length(x))), F.lit(0))
+    return lines.select("doc_id", of("language").alias("language"), *[F.array_sort(F.split(F.coalesce(of(kind), F.lit("")), ", ")).alias(kind) for kind in _KINDS])
+
+
 # first-seen order; the oracle finds each word's first place
 _doc("agg_distinct_ordered", lambda: F.array_join(F.array_distinct(F.filter(F.split("text", " "), lambda t: F.length(t) > 12)), "|"), "array_to_string(list_filter(list_transform(range(1, len(string_split(text, ' ')) + 1), lambda i: CASE WHEN length(string_split(text, ' ')[i]) > 12 AND list_position(string_split(text, ' '), string_split(text, ' ')[i]) = i THEN string_split(text, ' ')[i] END), lambda w: w IS NOT NULL), '|')")
 _CITE = "text || ' [' || (doc_id % 5) || '] and [12] [' || (doc_id % 5) || ']'"
@@ -77,7 +98,7 @@ query("join_cited_passages", "SELECT d.doc_id, b.item_id FROM documents d JOIN b
     )
 )
 _doc("fn_surface", lambda: F.concat(F.col("lang"), F.lit(": "), F.col("source")), "lang || ': ' || source")
-_doc("fn_template", lambda: F.replace(F.replace(F.lit("In $lang from $source"), F.lit("$lang"), F.col("lang")), F.lit("$source"), F.col("source")), "replace(replace('In $lang from $source', '$lang', lang), '$source', source)")
+_doc("fn_template", lambda: T.render_template("In $lang from ${source} for $$5: {$lang}", lang=F.col("lang"), source=F.col("source")), "'In ' || coalesce(lang, '') || ' from ' || coalesce(source, '') || ' for $5: {' || coalesce(lang, '') || '}'")
 _doc("fn_heading_path", lambda: F.coalesce(F.nullif(F.array_join(F.filter(F.array("lang", "source"), lambda x: ~x.startswith("src0")), " > "), F.lit("")), F.lit("(top level)")), "coalesce(nullif(array_to_string(list_filter([lang, source], lambda x: NOT starts_with(x, 'src0')), ' > '), ''), '(top level)')")
 _doc("fn_date_in_name", lambda: F.regexp_extract(F.concat(F.lit("n/2024-05-1"), F.col("doc_id") % 10, F.lit("-x.md")), r"(\d{4}-\d{2}-\d{2})", 1), "regexp_extract('n/2024-05-1' || (doc_id % 10) || '-x.md', '(\\d{4}-\\d{2}-\\d{2})', 1)")
 _doc("fn_sanitise_ext", lambda: T.sanitise_extension(F.concat(F.lit(".W-"), F.col("lang"))), "coalesce(nullif(regexp_replace(lower('.W-' || lang), '[^a-z0-9]', '', 'g'), ''), 'bin')")
@@ -94,7 +115,7 @@ query("flt_excluded_path", "SELECT doc_id FROM documents WHERE NOT list_has_any(
     lambda s, d: R.read(s, d, D).where(~F.arrays_overlap(F.split(F.concat_ws("/", "lang", "source"), "/"), F.array(F.lit(".git"), F.lit("node_modules"), F.lit("src3")))).select("doc_id")
 )
 query("src_file_decode", "SELECT doc_id, sha256(text) AS content_hash, strlen(text) AS byte_size FROM documents")(
-    lambda s, d: R.read(s, d, D).withColumn("content", F.col("text").cast("binary")).where(F.is_valid_utf8("content")).select("doc_id", F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("byte_size"))
+    lambda s, d: vault.decoded(R.read(s, d, D).select("doc_id", F.concat(F.lit("notes/"), "doc_id").alias("relative_path"), F.col("text").cast("binary").alias("content"))).select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("byte_size"))
 )
 
 
@@ -164,8 +185,21 @@ def locate_quote(s, d):
     return docs.withColumn("quote", quote).withColumn("q", T.locate_quote(F.col("text"), F.col("quote"))).select("doc_id", "quote", F.col("q.start").alias("start"), F.col("q.end").alias("stop"))
 
 
-# segmentation: rows that no SQL oracle covers are tested against slices and examples
-query("tvf_split_oversized")(lambda s, d: segment.explode_spans(R.read(s, d, D).select("doc_id", "text"), segment.pieces_of(F.col("text"))).select("doc_id", "ordinal", "start", "end"))
+# segmentation by table functions; what SQL can't express is tested against slices and examples
+@query(
+    "tvf_split_oversized",
+    r"""WITH RECURSIVE t AS (SELECT doc_id, text, length(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS stop FROM documents),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS start, stop FROM t UNION ALL
+  SELECT doc_id, start + CASE WHEN greatest(a, b) > 600 THEN greatest(a, b) ELSE 1200 END, stop FROM (
+    SELECT doc_id, start, stop, length(regexp_extract(part, '(?s)^(.*[.!?…])\s', 1)) AS a, length(regexp_extract(part, '(?s)^(.*[^\s.!?…]\s*)\n', 1)) AS b
+    FROM (SELECT r.doc_id, r.start, r.stop, substr(text, r.start + 1, 1200) AS part FROM r JOIN t USING (doc_id) WHERE r.stop - r.start > 1200))),
+s AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), stop) AS stop FROM r),
+k AS (SELECT doc_id, s.start, s.stop FROM s JOIN t USING (doc_id) WHERE regexp_matches(substr(text, s.start + 1, s.stop - s.start), '\S'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS ordinal, start, stop AS "end" FROM k""",
+)
+def split_oversized(s, d):
+    tables.register(s)
+    return s.sql("SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(start AS BIGINT) AS start, CAST(`end` AS BIGINT) AS `end` FROM {docs}, LATERAL split_oversized(text)", docs=R.read(s, d, D).select("doc_id", "text"))
 
 
 def _notes(s, d):
@@ -175,7 +209,23 @@ def _notes(s, d):
 
 
 query("src_blocks")(lambda s, d: segment.explode_spans(_notes(s, d), segment.blocks_of(F.col("text"))).select("conv_id", "ordinal", "start", "end", F.array_join("heading_path", " > ").alias("path")))
-query("tvf_chunk_pack")(lambda s, d: segment.explode_spans(_notes(s, d).withColumnRenamed("text", "body"), segment.chunks_of(F.col("body"))).select("conv_id", "ordinal", "start", "end", "text"))
+
+
+def _lateral(s, d, columns, function):
+    tables.register(s)
+    return s.sql(f"SELECT conv_id, ordinal, start, `end`, {columns} FROM {{notes}}, LATERAL {function}", notes=_notes(s, d).withColumnRenamed("text", "body"))
+
+
+query("tvf_split_blocks")(lambda s, d: _lateral(s, d, "array_join(heading_path, ' > ') AS path, text", "split_blocks(body)"))
+query("tvf_chunk_pack")(lambda s, d: _lateral(s, d, "text", "chunk_text(body)"))
+
+
+@query("tvf_chunk_overlap")
+def chunk_overlap(s, d):
+    """Each chunk with the characters that it shares with the one before it."""
+    return _lateral(s, d, "greatest(0, lag(`end`, 1, 0) OVER (PARTITION BY conv_id ORDER BY ordinal) - start) AS shared", "chunk_text(body, 600, 200)")
+
+
 query("udf_embed", _trigram_sql("doc_id", "text", "documents"))(lambda s, d: _trigrams(R.read(s, d, D), "doc_id", "text"))
 
 # streams, run to their end over the files that are there

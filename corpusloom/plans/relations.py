@@ -70,7 +70,7 @@ QUESTIONS = [(1, "the that with which from"), (2, "der die und nicht mit mit"),
 
 
 def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "qid int, question string")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({q}, '{t}')" for q, t in QUESTIONS) + " AS t(qid, question)")
 
 
 QUESTIONS_SQL = "questions(qid, question) AS (VALUES " + ", ".join(f"({q}, '{t}')" for q, t in QUESTIONS) + ")"
