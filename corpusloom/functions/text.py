@@ -113,7 +113,10 @@ def locate_quote(text: Column, quote: Column) -> Column:
 
 
 def slug(x: Column, most: int = 48) -> Column:
-    dashed = F.trim(F.regexp_replace(F.lower(F.regexp_replace(strip_accents(x), r"[^\x00-\x7F]", "")), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """Decomposed to ASCII, lower case, other runs as dashes; texts beyond Latin letters are decomposed in a Python worker only where there are any."""
+    latin = strip_accents(x)
+    ascii_ = F.when(latin.rlike(r"[^\x00-\x7F]"), strip_accents_any(x)).otherwise(latin)
+    dashed = F.trim(F.regexp_replace(F.lower(F.regexp_replace(ascii_, r"[^\x00-\x7F]", "")), r"[^a-z0-9]+", "-"), F.lit("-"))
     return F.trim(F.substring(dashed, 1, most), F.lit("-"))
 
 
@@ -236,6 +239,12 @@ def date_within(x: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.regexp_extract(x, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")))
 
 
+def parse_user_date(x: Column, now: Column) -> Column:
+    """The moment that a user typed: blank means now, and what is no date is an error of the query."""
+    bad = F.raise_error(F.concat(F.lit("not a date: "), x)).cast("timestamp")
+    return F.when(F.length(F.trim(F.coalesce(x, F.lit("")))) == 0, now).otherwise(F.coalesce(F.try_to_timestamp(F.trim(x)), bad))
+
+
 def event_time(front: Column, path: Column, fallback: Column) -> Column:
     """The first date key of a front matter map that holds a date, alone or within text, else the first real date in the path, else the fallback."""
     keys = [F.coalesce(F.try_to_timestamp(front[k]), date_within(front[k])) for k in ("date", "datetime", "created", "created_at", "timestamp")]

@@ -14,15 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import qualified
-from .search import stored
+from .search import each_file, in_files
 
 #: Quotes, or expected claims, of a file; characters of text that a task holds while it goes through the files.
 BLOCK, HELD = 4096, 8 << 20
@@ -66,21 +63,6 @@ def locate(text: str, quote: str, known: tuple | None = None) -> tuple[int, int,
     return None
 
 
-def in_files(rows: DataFrame, name: str, block: int) -> str:
-    """Write rows as files of at most some `block` rows each; the folder as tasks open it."""
-    files = max(1, -(-rows.count() // block))
-    dealt = stored(rows.repartition(files), name)
-    return qualified(rows.sparkSession, dealt.inputFiles()[0].rpartition("/")[0])
-
-
-def each_file(folder: str) -> Iterator[list[dict]]:
-    store, path = fs.FileSystem.from_uri(folder)
-    for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
-        if info.path.endswith(".parquet"):
-            with store.open_input_file(info.path) as file:
-                yield pq.read_table(file).to_pylist()
-
-
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     rows, size = [], 0
     for batch in batches:

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import shared_dir
+from ..session import qualified, shared_dir
 
 K1, B, RRF_K, POOL = 1.2, 0.75, 60, 40
 #: Most rows of a query side that is sent to every task; larger ones are joined by shuffles.
 BROADCAST_ROWS = 10_000
-#: Query vectors, or quotes, that are sent to every task at once.
-BLOCK = 4096
+#: Query vectors of a file that tasks read; vectors that a task holds meanwhile.
+BLOCK, HELD_VECTORS = 4096, 65_536
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,44 +67,55 @@ def bm25(indexed: DataFrame, questions: DataFrame, limit: int = POOL, key: str =
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def in_files(rows: DataFrame, name: str, block: int) -> str:
+    """Write rows as files of some `block` rows each; the folder as tasks open it."""
+    dealt = stored(rows.repartition(max(1, -(-rows.count() // block))), name)
+    return qualified(rows.sparkSession, dealt.inputFiles()[0].rpartition("/")[0])
+
+
+def each_file(folder: str) -> Iterator[list[dict]]:
+    """The rows of each file, in a task."""
+    store, path = fs.FileSystem.from_uri(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                yield pq.read_table(file).to_pylist()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int, kind: str = "l2", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """qid, key, value: for each query vector (qid, query) the `limit` vectors of least L2 distance, or of greatest dot product, exactly.
 
-    Queries go out in blocks of about `block` (a bound of what is sent, whatever their number); tasks multiply whole
-    batches and keep the best of each query, so what is shuffled is `limit` rows a query and task.
+    For vectors that no table holds: they are read once, and each task takes the queries from files of some `block` each, multiplies
+    whole batches and keeps the best of each query, so what is shuffled is `limit` rows a query and task.
     """
-    blocks = max(1, -(-queries.count() // block))
-    numbered = queries.withColumn("block_", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    folder = in_files(queries.select("qid", F.col("query").cast("array<double>").alias("query")), "nearest-queries", block)
     fields = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
     kinds = [to_arrow_type(fields["qid"]), to_arrow_type(fields[key])]
-    found = None
-    for number in range(blocks):
-        rows = numbered.where(F.col("block_") == number).select("qid", "query").collect()
-        if rows or number == 0:
-            side = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.query for r in rows], np.float64)))
-            part = vectors.select(key, "embedding").mapInArrow(lambda b, s=side: _best(b, *s.value, limit, kind, key, kinds), f"qid {fields['qid'].simpleString()}, {key} {fields[key].simpleString()}, value double")
-            found = part if found is None else found.unionByName(part)
+    found = vectors.select(key, "embedding").mapInArrow(lambda b: _best(b, folder, limit, kind, key, kinds), f"qid {fields['qid'].simpleString()}, {key} {fields[key].simpleString()}, value double")
     first = F.row_number().over(Window.partitionBy("qid").orderBy("value" if kind == "l2" else F.desc("value"), key))
     return found.withColumn("rank", first).where(F.col("rank") <= limit)
 
 
-def _best(batches, qids: list, wanted: np.ndarray, limit: int, kind: str, key: str, kinds: list[pa.DataType]):
-    keys, values = [np.empty(0, object)] * len(qids), [np.empty(0)] * len(qids)
-    for batch in batches:
-        ids = np.array(batch.column(0).to_pylist(), object)
-        if not len(ids) or not len(qids):
+def _best(batches, folder: str, limit: int, kind: str, key: str, kinds: list[pa.DataType]):
+    held: list[pa.RecordBatch] = []
+    for batch in _with_end(batches):
+        if batch is not None:
+            held.append(batch)
+        if not held or batch is not None and sum(map(len, held)) < HELD_VECTORS:
             continue
-        v = np.array(batch.column(1).to_pylist(), np.float64)
-        for q, near in enumerate(_values(v, wanted, kind)):
-            both, k = np.concatenate([values[q], near]), np.concatenate([keys[q], ids])
-            if len(both) > limit:
-                sign = both if kind == "l2" else -both
-                stay = sign <= np.partition(sign, limit - 1)[limit - 1]  # ties stay for the ranking
-                both, k = both[stay], k[stay]
-            keys[q], values[q] = k, both
-    for q, qid in enumerate(qids):
-        if len(keys[q]):
-            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(keys[q]), kinds[0]), pa.array(keys[q].tolist(), kinds[1]), pa.array(values[q])], ["qid", key, "value"])
+        ids = np.array([k for b in held for k in b.column(0).to_pylist()], object)
+        v = np.array([x for b in held for x in b.column(1).to_pylist()], np.float64)
+        held = []
+        for rows in each_file(folder) if len(ids) else ():
+            for q, near in enumerate(_values(v, np.array([r["query"] for r in rows], np.float64), kind)):
+                sign = near if kind == "l2" else -near
+                stay = sign <= np.partition(sign, limit - 1)[limit - 1] if len(sign) > limit else np.ones(len(sign), bool)  # ties stay for the ranking
+                yield pa.RecordBatch.from_arrays([pa.array([rows[q]["qid"]] * int(stay.sum()), kinds[0]), pa.array(ids[stay].tolist(), kinds[1]), pa.array(near[stay])], ["qid", key, "value"])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def _values(v: np.ndarray, wanted: np.ndarray, kind: str):
@@ -118,45 +132,6 @@ def knn(vectors: DataFrame, queries: DataFrame, limit: int = POOL, key: str = "v
     return nearest(vectors, queries, limit, "l2", key).withColumnRenamed("value", "distance")
 
 
-def quotes_in(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", name: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """key, name, start: where each quote (name, quote) first stands in each text, in characters; empty quotes stand nowhere.
-
-    Each text is read once for a block of quotes by an automaton of them all, whatever their number.
-    """
-    blocks = max(1, -(-quotes.count() // block))
-    numbered = quotes.withColumn("block_", F.pmod(F.xxhash64(name), F.lit(blocks)))
-    fields = {f.name: f.dataType for f in [*docs.schema, *quotes.schema]}
-    schema = pa.schema([(key, to_arrow_type(fields[key])), (name, to_arrow_type(fields[name])), ("start", pa.int64())])
-    found = None
-    for number in range(blocks):
-        rows = [(r[0], r[1]) for r in numbered.where(F.col("block_") == number).select(name, "quote").collect() if r[1]]
-        side = docs.sparkSession.sparkContext.broadcast(rows)
-        part = docs.select(key, "text").mapInArrow(lambda b, s=side: _quoted(b, s.value, schema), f"{key} {fields[key].simpleString()}, {name} {fields[name].simpleString()}, start long")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _quoted(batches, quotes: list[tuple], schema: pa.Schema):
-    import ahocorasick
-
-    named: dict[str, list] = {}
-    for item, quote in quotes:
-        named.setdefault(quote, []).append(item)
-    automaton = ahocorasick.Automaton()
-    for quote, items in named.items():
-        automaton.add_word(quote, (len(quote), items))
-    automaton.make_automaton()
-    for batch in batches:
-        out = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            first: dict = {}
-            for end, (n, items) in automaton.iter(text or "") if named else ():
-                for item in items:
-                    first.setdefault(item, end + 1 - n)
-            out += ((doc, item, start) for item, start in first.items())
-        yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], field.type) for k, field in enumerate(schema)], schema=schema)
-
-
 def rrf(lexical: DataFrame, semantic: DataFrame, limit: int = 10, key: str = "id") -> DataFrame:
     """qid, key, score, lexical_rank, semantic_rank, by_both, rank; both sides have qid, key, rank."""
     a = lexical.select("qid", key, F.col("rank").alias("lexical_rank"))

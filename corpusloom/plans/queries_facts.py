@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import facts as L
+from ..operators.ranks import ranked
 from . import relations as R
 from .registry import query
 
@@ -141,7 +142,7 @@ query("win_chunk_ordinal", "SELECT conv_id, turn, row_number() OVER (PARTITION B
     lambda s, d: R.read(s, d, "conversations").select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("ordinal"))
 )
 query("win_passage_index", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS idx FROM documents")(
-    lambda s, d: R.read(s, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("idx"))
+    lambda s, d: ranked(R.read(s, d, "documents").select("doc_id", "source", (-F.col("n_chars")).alias("longest")), ["source"], ["longest", "doc_id"], "idx").select("doc_id", "idx")
 )
 query("win_argmax", f"{FA} SELECT subject, fact_id, confidence FROM facts QUALIFY row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, fact_id) = 1")(
     lambda s, d: R.facts(s, d).groupBy("subject").agg(F.min_by(F.struct("fact_id", "confidence"), F.struct(-F.col("confidence"), "fact_id")).alias("b")).select("subject", "b.*")

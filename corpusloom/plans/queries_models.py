@@ -160,7 +160,7 @@ def run_notes(s, d):
 def retrieve(s, d):
     """Passages and facts of each question, as they go into a prompt. No SQL; tested on an example."""
     docs = R.read(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.concat_ws("/", "source", "doc_id").alias("source_path"), F.lit("2024-01-02T00:00:00+00:00").alias("event_time"))
-    facts_ = R.facts(s, d).withColumn("chunk_id", (F.col("fact_id") % 1000).cast("string"))
+    facts_ = R.facts(s, d).withColumn("chunk_id", (F.col("fact_id") % docs.count()).cast("string"))
     vectors = R.read(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     asked = R.read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.expr("CAST(vec_id DIV 100 + 1 AS INT)").alias("qid"), F.col("embedding").alias("query"))
     return compose.retrieve(R.questions(s), docs, facts_, vectors, asked)

@@ -84,11 +84,11 @@ query("sink_fts", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unne
 @query(
     "join_passage_facts",
     f"""WITH {_TERMS}, {_KNN}, {_RRF}, {R.FACTS},
-f AS (SELECT qid, h.rank AS passage, fact_id, '- ' || subject || ' --' || predicate || '--> ' || object || ' [' || h.rank || ']' AS line FROM hits h JOIN facts ON facts.fact_id % 1000 = h.id AND superseded_by IS NULL WHERE h.rank <= 8)
+f AS (SELECT qid, h.rank AS passage, fact_id, '- ' || subject || ' --' || predicate || '--> ' || object || ' [' || h.rank || ']' AS line FROM hits h JOIN facts ON facts.fact_id % (SELECT count(*) FROM documents) = h.id AND superseded_by IS NULL WHERE h.rank <= 8)
 SELECT qid, passage, fact_id, line FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY passage, fact_id) <= 20""",
 )
 def join_passage_facts(spark, d):
-    f = R.facts(spark, d).where("superseded_by IS NULL").withColumn("id", F.col("fact_id") % 1000)
+    f = R.facts(spark, d).where("superseded_by IS NULL").withColumn("id", F.col("fact_id") % R.read(spark, d, "documents").count())
     hits = _hits(spark, d).where("rank <= 8").select("qid", "id", F.col("rank").alias("passage"))
     line = F.concat(F.lit("- "), "subject", F.lit(" --"), "predicate", F.lit("--> "), "object", F.lit(" ["), "passage", F.lit("]"))
     rn = F.row_number().over(Window.partitionBy("qid").orderBy("passage", "fact_id"))
@@ -178,9 +178,18 @@ query(
         R.read(spark, d, "region").select(F.col("r_name").alias("raw_label"), (F.col("r_regionkey") + 100).alias("concept_id")),
     )
 )
-query("set_union_all_lookup", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region")(
-    lambda spark, d: R.read(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionAll(R.read(spark, d, "region").select("r_name", F.lit("region")))
+@query(
+    "set_union_all_lookup",
+    "WITH every AS (SELECT n_name AS name, n_nationkey AS concept_id, 0 AS prio FROM nation UNION ALL SELECT r_name, 100 + r_regionkey, 1 FROM region UNION ALL SELECT lower(substr(n_name, 1, 3)), n_nationkey, 1 FROM nation) SELECT lower(name) AS name, count(*) AS found, arg_min(concept_id, (prio, concept_id)) AS concept_id FROM every GROUP BY lower(name)",
 )
+def union_all_lookup(spark, d):
+    """Labels and aliases under one name: how many there are, and the one that is taken, labels before aliases."""
+    n, r = R.read(spark, d, "nation"), R.read(spark, d, "region")
+    labels = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("concept_id"), F.lit(0).alias("prio"))
+    aliases = r.select(F.col("r_name").alias("name"), (F.col("r_regionkey") + 100).alias("concept_id"), F.lit(1).alias("prio")).unionAll(n.select(F.lower(F.substring("n_name", 1, 3)), "n_nationkey", F.lit(1)))
+    return labels.unionAll(aliases).groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("found"), F.min_by("concept_id", F.struct("prio", "concept_id")).alias("concept_id"))
+
+
 
 
 
@@ -273,8 +282,23 @@ query("agg_projection_stats", f"WITH {_GRAPH} SELECT (SELECT count(*) FROM v) AS
 _PROJ = "SELECT l_orderkey, l_linenumber, c.n_name AS customer_nation, s.n_name AS supplier_nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey"
 
 
-@query("join_projection", _PROJ)
-def join_projection(spark, d):
+@query(
+    "join_projection",
+    f"""WITH {R.FACTS}, c AS (SELECT label, substring(sha256('concept' || chr(0) || label), 1, 32) AS id FROM (SELECT subject AS label FROM facts UNION SELECT object FROM facts))
+SELECT fact_id, s.id AS src, s.label AS src_label, o.id AS dst, o.label AS dst_label, predicate, confidence, event_time, chunk_id FROM facts JOIN c s ON subject = s.label JOIN c o ON object = o.label WHERE superseded_by IS NULL""",
+)
+def fact_projection(spark, d):
+    """Current facts with the concepts of both their ends."""
+    f = R.facts(spark, d)
+    c = f.select(F.explode(F.array("subject", "object")).alias("label")).distinct().withColumn("id", T.digest(F.lit("concept"), F.col("label")))
+    c = search.stored(c, "projection-concepts")
+    end = lambda side, name: c.select(F.col("label").alias(side), F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    met = f.where("superseded_by IS NULL").join(end("subject", "src"), "subject").join(end("object", "dst"), "object")
+    return met.select("fact_id", "src", "src_label", "dst", "dst_label", "predicate", "confidence", "event_time", "chunk_id")
+
+
+@query("join_star", _PROJ)
+def join_star(spark, d):
     n = R.read(spark, d, "nation").select("n_nationkey", "n_name")
     lines = R.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     orders = R.read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")

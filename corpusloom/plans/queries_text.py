@@ -139,21 +139,21 @@ query("sink_entry", "SELECT event_id, name || CASE WHEN n > 1 THEN '-' || n ELSE
     lambda s, d: incremental.entry_names(R.read(s, d, "events").select("event_id", F.concat_ws("-", F.date_format("ts", "yyyy-MM-dd"), "event_type").alias("name")), "event_id")
 )
 query("fn_utc", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS utc FROM events")(lambda s, d: R.read(s, d, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("utc")))
-query("fn_parse_user_date", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")(
-    lambda s, d: R.read(s, d, "events").select("event_id", F.date_format(F.try_to_timestamp(F.when(F.col("event_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd"))), "yyyy-MM-dd").alias("day"))
+query("fn_parse_user_date", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '2000-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")(
+    lambda s, d: R.read(s, d, "events").select("event_id", F.date_format(T.parse_user_date(F.when(F.col("event_id") % 3 == 0, F.lit("  ")).otherwise(F.date_format("ts", " yyyy-MM-dd ")), F.to_timestamp(F.lit("2000-01-01"))), "yyyy-MM-dd").alias("day"))
 )
 
 
 @query(
     "fn_event_time",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' ELSE '2000-01-01' END AS day FROM documents",
+    "SELECT event_id, CASE event_id % 4 WHEN 3 THEN '2000-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events",
 )
 def event_times(s, d):
-    """A date in front matter, one in the path, one within other text of front matter, and none that is possible."""
-    k = F.col("doc_id") % 4
-    front = F.when(k == 0, F.create_map(F.lit("created"), F.lit("2024-01-02"))).when(k == 2, F.create_map(F.lit("date"), F.lit("Friday, 2022-03-04, late")))
-    path = F.when(k == 1, "a/2023-05-06-x.md").otherwise("a/2023-02-31.md")
-    return R.read(s, d, D).select("doc_id", F.date_format(T.event_time(front, path, F.to_timestamp(F.lit("2000-01-01"))), "yyyy-MM-dd").alias("day"))
+    """An event's date as one in front matter, in the path, within other text of front matter, and one that isn't possible."""
+    k, day = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd")
+    front = F.when(k == 0, F.create_map(F.lit("created"), day)).when(k == 2, F.create_map(F.lit("date"), F.concat(F.lit("Friday, "), day, F.lit(", late"))))
+    path = F.when(k == 1, F.concat(F.lit("a/"), day, F.lit("-x.md"))).otherwise("a/2023-02-31.md")
+    return R.read(s, d, "events").select("event_id", F.date_format(T.event_time(front, path, F.to_timestamp(F.lit("2000-01-01"))), "yyyy-MM-dd").alias("day"))
 
 
 query("fn_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = 0")(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
+from ..operators.search import small
 from ..operators.segment import _FRONT, body_offset
 from ..session import qualified
 
@@ -20,7 +21,7 @@ def scan_vault(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLU
     """relative_path, content (bytes), content_hash, byte_size of every *.md and *.markdown file, but none in an excluded folder.
 
     Files are listed through Hadoop's file system, so any store works and names that begin with a dot
-    or an underscore, which Spark's own listing drops, are found too.
+    or an underscore, which Spark's own listing drops, are found too. The list is made on the driver: vault_format lists in tasks.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(root)
@@ -36,7 +37,7 @@ def scan_vault(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLU
     if not found:
         return listed.select("relative_path", F.lit(b"").alias("content"), F.lit("").alias("content_hash"), F.lit(0).cast("long").alias("byte_size"))
     read = spark.read.format("binaryFile").load([p.replace("\\", "\\\\") for _, p in found]) if all(not _hidden(r) for r, _ in found) else _read_each(spark, found)
-    joined = read.join(F.broadcast(listed), "path") if "path" in read.columns else read  # a row a listed file, and the list is on the driver already
+    joined = read.join(small(listed), "path") if "path" in read.columns else read
     return joined.select("relative_path", "content", F.sha2("content", 256).alias("content_hash"), F.length("content").cast("long").alias("byte_size"))
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..session import shared_dir
 
 
@@ -25,7 +26,9 @@ def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_out(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there; its last result as a table. Complete and update results are rewritten by batch."""
+    """Run a stream over what is there; its last result as a table. A complete result is rewritten by each batch; an update's batches hold changes alone, so they aren't for this."""
+    if mode == "update":
+        raise ValueError("an update's batches have to be merged by key")
     spark, out, state = stream.sparkSession, place(stream.sparkSession, name), place(stream.sparkSession, f"{name}-state")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -35,19 +38,20 @@ def run_out(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def ingest(stream: DataFrame, target: str, key: str, state: str) -> None:
+def ingest(stream: DataFrame, target: str, key: str | list[str], state: str) -> None:
     """Append the rows whose key the target lacks; a repeated batch changes nothing."""
+    keys = [key] if isinstance(key, str) else key
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        new = df.dropDuplicates([key])
+        new = df.dropDuplicates(keys)
         try:
             there = spark.read.schema(df.schema).parquet(target)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             there = spark.createDataFrame([], df.schema)
-        new.join(there.select(key), key, "left_anti").write.mode("append").parquet(target)
+        new.join(there.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
@@ -63,8 +67,8 @@ def superseded_stream(spark: SparkSession, stream: DataFrame, key: str, by: str,
 
 def entry_names(entries: DataFrame, order: str) -> DataFrame:
     """file: the name, with -2, -3, ... where it is taken."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy(order))
-    return entries.withColumn("n", n).select(order, F.concat("name", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md")).alias("file"))
+    n = ranked(entries, ["name"], [order], "n")
+    return n.select(order, F.concat("name", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(""), F.lit(".md")).alias("file"))
 
 
 def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,12 @@ def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_out(files(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "distinct")
+    """Distinct user and type: repeats within a day of the watermark are dropped by bounded state, later ones by what the target holds."""
+    keys = ["user_id", "event_type"]
+    events = files(spark, sf_dir, "events").select(*keys, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(keys)
+    stream, target = events.select(*keys), place(spark, "distinct")
+    ingest(stream, target, keys, place(spark, "distinct-state"))
+    return spark.read.schema(stream.schema).parquet(target).select(*keys)
 
 
 def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

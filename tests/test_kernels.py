@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import extract, facts, graph, resolve, search, segment
+from corpusloom.operators import extract, facts, graph, quotes, resolve, search, segment
 from corpusloom.plans import compose
 from corpusloom.sources import vault
 from corpusloom.streaming import incremental
@@ -252,9 +252,9 @@ def test_nearest_in_blocks_are_those_of_all_pairs(spark):
 
 def test_quotes_in_texts(spark):
     docs = spark.createDataFrame([(1, "🎉 abcabc xyz"), (2, "bc"), (3, None), (4, "")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, "abc"), (2, "bc"), (3, "abc"), (4, ""), (5, None), (6, "zz")], "item_id long, quote string")
+    asked = spark.createDataFrame([(1, "abc"), (2, "bc"), (3, "abc"), (4, ""), (5, None), (6, "zz")], "item_id long, quote string")
     for block in (1, 100):
-        assert sorted(tuple(r) for r in search.quotes_in(docs, quotes, block=block).collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 2), (2, 2, 0)]
+        assert sorted((r.doc_id, r.item_id, r.start) for r in quotes.quotes_in(docs, asked, block=block).collect()) == [(1, 1, 2), (1, 2, 3), (1, 3, 2), (2, 2, 0)]
 
 
 def test_run_and_retrieval(spark):

@@ -76,3 +76,29 @@ def test_table_functions_in_sql(spark):
         assert sorted(tuple(r) for r in got.collect()) == [(1, k, a, b, note[a:b], list(p)) for k, (a, b, p) in enumerate(plain_spans)]
     got = spark.sql("SELECT id, start, `end` FROM {docs}, LATERAL split_oversized(text, 500)", docs=docs)
     assert sorted(tuple(r) for r in got.collect()) == [(1, a, b) for a, b in segment.pieces(note, 0, len(note), 500)]
+
+
+@pytest.mark.parametrize("partitions", ["3", "16"])
+def test_ranks_of_a_hot_group(spark, partitions):
+    from corpusloom.operators.ranks import ranked
+
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [("hot", k * 7919 % 1000) for k in range(1000)] + [(None, 5), (None, 3), ("one", 1), ("two", None), ("two", 2)]
+        got = sorted((str(r.g), -1 if r.v is None else r.v, r["rank"]) for r in ranked(spark.createDataFrame(rows, "g string, v int").repartition(4), ["g"], ["v"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by = {}
+    for g, v in rows:
+        by.setdefault(str(g), []).append(-1 if v is None else v)
+    assert got == sorted((g, v, k) for g, each in by.items() for k, v in enumerate(sorted(each), 1))
+
+
+def test_user_dates_and_slugs(spark):
+    now = F.to_timestamp(F.lit("2001-02-03"))
+    day = lambda *texts: [str(r[0])[:10] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.parse_user_date(F.col("t"), now)).collect()]
+    assert day("", None, "  ", "2024-05-06", " 2024-05-06 07:08 ") == ["2001-02-03"] * 3 + ["2024-05-06"] * 2
+    with pytest.raises(Exception, match="not a date: tomorrow"):
+        day("tomorrow")
+    slugs = spark.createDataFrame([("Été ﬁn",), ("Žižek №5",), ("日本",), ("Crème brûlée!",)], "t string").select(T.slug(F.col("t")))
+    assert [r[0] for r in slugs.collect()] == ["ete-fin", "zizek-no5", "", "creme-brulee"]
