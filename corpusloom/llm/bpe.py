@@ -242,8 +242,8 @@ class Encoder:
     space, and what lies between two spaces can be looked up as a whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = WORDS):
-        self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = WORDS, states: int = STATES):
+        self.fst, self.find = Transducer(ranks, states), regex.compile(pattern).findall
         self.matches, self.words = Memory(words), Memory(words)
 
     def match(self, piece: str) -> list[int]:
@@ -318,14 +318,14 @@ _LAST: dict[tuple[str, str], Encoder] = {}
 _TIMERS: list[threading.Timer] = []
 
 
-def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str, words: int = WORDS, states: int = STATES) -> Encoder:
     """An encoder that tasks of one Python worker share, since only the first of them finds its caches empty."""
     while _TIMERS:
         _TIMERS.pop().cancel()
     encoder = _LAST.get((name, pattern))
     if encoder is None:
         _LAST.clear()
-        encoder = _LAST[name, pattern] = Encoder(ranks, pattern)
+        encoder = _LAST[name, pattern] = Encoder(ranks, pattern, words, states)
     return encoder
 
 
@@ -337,10 +337,10 @@ def release(after: float = IDLE) -> None:
     _TIMERS.append(timer)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, words: int = WORDS, states: int = STATES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and its ids where asked for.
 
-    The ranks (a fixed, small vocabulary) go to the executors as a broadcast.
+    The ranks (a fixed, small vocabulary) go to the executors as a broadcast; words and states bound a worker's memory.
     """
     spark = docs.sparkSession
     shared, name = spark.sparkContext.broadcast(load_ranks(ranks_path)), uuid.uuid4().hex
@@ -348,18 +348,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def rows(batches):
-        encoder = worker_encoder(name, shared.value, pattern)
-        tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
-        for token, rank in shared.value.items():
-            tokens[rank] = token
-        names = [str(i) for i in range(len(tokens))]
-        for doc_id, text in pairs(batches):
-            ids = encoder.encode(text.decode("utf-8", "replace"))
-            digest = hashlib.sha256()
-            for part in decode(ids, tokens):
-                digest.update(part)
-            yield (doc_id, len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), digest.hexdigest()) + ((ids,) if with_ids else ())
-        release()
+        encoder = worker_encoder(name, shared.value, pattern, words, states)
+        try:
+            tokens = [b""] * (max(shared.value.values(), default=-1) + 1)
+            for token, rank in shared.value.items():
+                tokens[rank] = token
+            names = [str(i) for i in range(len(tokens))]
+            for doc_id, text in pairs(batches):
+                ids = encoder.encode(text.decode("utf-8", "replace"))
+                digest = hashlib.sha256()
+                for part in decode(ids, tokens):
+                    digest.update(part)
+                yield (doc_id, len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), digest.hexdigest()) + ((ids,) if with_ids else ())
+        finally:  # a task that fails or is cut short lets it go as well
+            release()
 
     weigh = (lambda row: 200 + 4 * row[1]) if with_ids else (lambda row: 200)
     return texts(docs).mapInArrow(lambda b: in_batches(rows(b), schema, weigh), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
