@@ -1,6 +1,9 @@
 """A training corpus from `documents`: good documents, no repeated lines, one of each near-copy group, mixed to weights, encoded.
 
 Each stage reads all that the one before kept; run() writes each stage's rows to the shared folder and reads them again.
+
+Defined results: a null text is the empty one, a null doc_id comes last where the first of equals stays, null languages and sources are labels of their own;
+repeated rows are one document that is returned as often as it is there; an empty table gives no rows; other columns go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from corpusloom.llm.common import materialise, table
 #: The mixing stage keeps most tokens: its budget is 0.8 of them, over at most two epochs of a source.
 MIXTURE = mixing.Mixture(share=0.8, epochs=2)
 
+#: The encoder's memories beside what workers still hold of the stages before: smaller than where it runs alone.
+WORDS, STATES = 60_000, 80_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, doesn't reject."""
@@ -21,7 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand elsewhere before, exactly or within an edit."""
+    """Documents without lines that stand elsewhere before, exactly or within two edits."""
     return line_dedup.deduped_rows(docs)
 
 
@@ -37,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every document."""
-    return bpe.encode_documents(docs, *bpe.production(), with_ids=True)
+    return bpe.encode_documents(docs, *bpe.production(), with_ids=True, words=WORDS, states=STATES)
 
 
 STAGES = [
