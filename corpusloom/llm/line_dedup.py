@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, materialise, table
+from .components import components
 
 EDITS, LEAST = 2, 20
 #: Lines that may share a segment before they get finer keys; for each step, pieces a segment that these are made of, and lines that may
@@ -370,10 +371,16 @@ def links(reps: DataFrame, docs: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(verified, PAIR)
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
-    """rest_ (the other columns of docs), doc_id, did, tie, text (what is left, bytes), n_lines, n_removed, links of every row.
+def line_links(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
+    """PAIR of every two linked lines, a before b: a row a link, which are many where many lines are alike."""
+    return links(materialise(representatives(docs, least, edits), "lines"), docs, edits)
 
-    links: (line, other_doc, other_line) of each link of a line that first occurs in this document.
+
+def line_dedup(docs: DataFrame, least: int = LEAST, edits: int = EDITS, classes: bool = False) -> DataFrame:
+    """rest_ (the other columns of docs), doc_id, did, tie, text (what is left, bytes), n_lines, n_removed, n_links, linked of every row.
+
+    linked: (line, links) of each line that first occurs in this document and is linked, with the number of its links. classes: class_id as well, the
+    smallest doc_id that links between lines lead to, its own included (null: only rows without one).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = packed(docs).repartition(parts, "did", "tie")
@@ -381,8 +388,12 @@ def line_dedup(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataF
     found = materialise(links(reps, docs, edits), "line-links")
     gone = found.select(*[F.col(f"b_{c}").alias(c) for c in SPOT]).distinct()
     kept = reps.select(*SPOT).join(gone, list(SPOT), "left_anti").groupBy("did", "tie").agg(F.collect_list("line").alias("kept"))
-    ends = [found.select(*[F.col(f"{s}_{c}").alias(c) for c in SPOT], F.struct(F.col(f"{s}_line").alias("line"), F.nullif(F.col(f"{o}_did"), F.lit(LAST)).alias("other_doc"), F.col(f"{o}_line").alias("other_line")).alias("link")) for s, o in ("ab", "ba")]
-    linked = ends[0].unionByName(ends[1]).groupBy("did", "tie").agg(F.array_sort(F.collect_list("link")).alias("links"))
+    ends = [found.select(*[F.col(f"{s}_{c}").alias(c) for c in SPOT]) for s in "ab"]
+    counts = ends[0].unionByName(ends[1]).groupBy(*SPOT).agg(F.count("*").alias("links"))
+    linked = counts.groupBy("did", "tie").agg(F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.struct("line", "links"))).alias("linked"))
+    if classes:
+        roots = components(found.select(F.col("a_did").alias("a"), F.col("b_did").alias("b"))).withColumnsRenamed({"node": "did", "root": "class_"})
+        linked = linked.join(roots, "did", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
@@ -401,7 +412,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataF
     done = texts.join(kept, ["did", "tie"], "left").select("rest_", "doc_id", "did", "tie", "text", "kept")
     kind = done.schema["rest_"].dataType.simpleString()
     left = done.mapInArrow(rows, f"rest_ {kind}, doc_id long, did long, tie int, text binary, n_lines long, n_removed long")
-    return left.join(linked, ["did", "tie"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<line:int,other_doc:bigint,other_line:int>>")))
+    done = left.join(linked, ["did", "tie"], "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0)), "linked": F.coalesce("linked", F.array().cast("array<struct<line:int,links:bigint>>"))})
+    return done.withColumn("class_id", F.nullif(F.coalesce("class_", "did"), F.lit(LAST))).drop("class_") if classes else done
 
 
 def deduped_rows(docs: DataFrame) -> DataFrame:
@@ -415,5 +427,5 @@ def deduped_rows(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.size("links").cast("long").alias("n_links"), F.sha2("text", 256).alias("kept_sha256"), "links")
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), classes=True)
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", "class_id", F.sha2("text", 256).alias("kept_sha256"), "linked")

@@ -134,7 +134,23 @@ def test_line_dedup(spark, edge_docs, edge_rows, hot, monkeypatch):
     want, links = brute_lines(edge_rows, line_dedup.LEAST)
     got = line_dedup.line_dedup(edge_docs).collect()
     assert Counter((r.doc_id, bytes(r.text)) for r in got) == want
-    assert links and {tuple(sorted(((r.doc_id or LAST, x.line), (x.other_doc or LAST, x.other_line)))) for r in got for x in r.links} == {((a[0], a[2]), (b[0], b[2])) for a, b in links}
+    pairs = {((r.a_did, r.a_line), (r.b_did, r.b_line)) for r in line_dedup.line_links(edge_docs).collect()}
+    assert links and pairs == {((a[0], a[2]), (b[0], b[2])) for a, b in links}
+    ends = Counter((LAST if r.doc_id is None else r.doc_id, x.line) for r in {(r.did, r.tie): r for r in got}.values() for x in r.linked for _ in range(x.links))
+    assert ends == Counter((x[0], x[2]) for pair in links for x in pair) and all(r.n_links == sum(x.links for x in r.linked) for r in got)
+
+
+def test_documents_of_linked_lines_are_a_class(spark):
+    line = lambda k, word: f"posted on day {k} by {word} of the whole list, read it all"
+    rows = [(k, line(10 + k // 10 * 10 + k % 10, "someone") + f"\nown text number {k} {'abcdefghij'[k % 10] * 25}") for k in range(30)]
+    rows += [(50, None), (51, "unlike everything else here " * 2), (None, "unlike everything else that is here " * 2 + "!"), (40, line(11, "someone")), (40, line(11, "someone"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs, classes=True).collect()}
+    pairs = [(r.a_did, r.b_did) for r in line_dedup.line_links(docs).collect()]
+    classes = {i: min(g) for g in groups_of([*range(30), 40, 50, 51], [p for p in pairs if LAST not in p]) for i in g}
+    assert {k: r.class_id for k, r in got.items() if k is not None} == classes and len(set(classes.values())) < 20
+    # rows follow the lines, not their pairs
+    assert all(len(r.linked) <= r.n_lines for r in got.values()) and sum(r.n_links for r in got.values()) == 2 * len(pairs)
 
 
 @pytest.mark.parametrize("hot", [line_dedup.HOT, 3])
@@ -161,7 +177,7 @@ def test_line_dedup_of_accents_numbers_and_crowds(spark, monkeypatch):
     want, links = brute_lines(rows, line_dedup.LEAST)
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, bytes(r.text)) for r in got) == want and len(links) > 20
-    assert sum(len(r.links) for r in got) == 2 * len(links) and {2, 4, 6} <= {r.doc_id for r in got if r.n_removed}
+    assert sum(r.n_links for r in got) == 2 * len(links) and {2, 4, 6} <= {r.doc_id for r in got if r.n_removed}
 
 
 def test_a_crowded_key_is_passed_through():
