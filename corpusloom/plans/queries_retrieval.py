@@ -43,7 +43,8 @@ def _semantic(spark, d):
 
 @query("top_bm25", f"WITH {_TERMS} SELECT qid, doc_id, score, rank, substr(trim(text), 1, 400) AS preview FROM lex JOIN documents USING (doc_id)")
 def top_bm25(spark, d):
-    return _lexical(spark, d).join(R.read(spark, d, "documents").select("doc_id", F.substring(F.trim("text"), 1, 400).alias("preview")), "doc_id").select("qid", "doc_id", "score", "rank", "preview")
+    hits = search.held(_lexical(spark, d), "bm25-hits")
+    return R.read(spark, d, "documents").join(hits, "doc_id").select("qid", "doc_id", "score", "rank", F.substring(F.trim("text"), 1, 400).alias("preview"))
 
 
 @query("join_knn", f"WITH {_KNN} SELECT * FROM sem")
@@ -92,14 +93,14 @@ def join_passage_facts(spark, d):
     hits = _hits(spark, d).where("rank <= 8").select("qid", "id", F.col("rank").alias("passage"))
     line = F.concat(F.lit("- "), "subject", F.lit(" --"), "predicate", F.lit("--> "), "object", F.lit(" ["), "passage", F.lit("]"))
     rn = F.row_number().over(Window.partitionBy("qid").orderBy("passage", "fact_id"))
-    return f.join(search.small(hits), "id").withColumn("line", line).withColumn("rn", rn).where("rn <= 20").select("qid", "passage", "fact_id", "line")
+    return f.join(search.held(hits, "passages"), "id").withColumn("line", line).withColumn("rn", rn).where("rn <= 20").select("qid", "passage", "fact_id", "line")
 
 
 query(
     "prj_render_passages",
     f"WITH {_TERMS} SELECT qid, string_agg('[' || rank || '] (' || source || ', ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM lex JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
 )(
-    lambda spark, d: _lexical(spark, d).where("rank <= 8").join(R.read(spark, d, "documents"), "doc_id")
+    lambda spark, d: R.read(spark, d, "documents").join(search.held(_lexical(spark, d).where("rank <= 8"), "passages"), "doc_id")
     .groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "rank", F.lit("] ("), "source", F.lit(", "), "doc_id", F.lit(")\n"), F.col("text")).alias("p")))), lambda s: s["p"]), "\n\n").alias("context"))
 )
 @query(

@@ -398,3 +398,24 @@ def test_a_limited_run_leaves_the_rest(spark, tmp_path):
     journal.ingest(written(spark, tmp_path / "vault", NOTES), moment(1))
     assert journal.process(model, moment(2), limit=1)["processed"] == 1 and journal.pending().count() == 2
     assert journal.process(model, moment(3))["processed"] == 2 and journal.pending().count() == 0
+
+
+def test_the_run_over_conversations_is_a_plain_run(spark, tmp_path):
+    from corpusloom.operators import segment
+    from corpusloom.plans import registry
+
+    rng = random.Random(6)
+    turns = {c: [("user" if t % 2 == 0 else "assistant", " ".join(rng.choice(["alpha", "beta.", "gamma", "Delta!"]) for _ in range(rng.randint(3, 260)))) for t in range(n)] for c, n in enumerate((1, 2, 3, 5))}
+    rows = [(c, t, role, text) for c, each in turns.items() for t, (role, text) in enumerate(each)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    want = []
+    for c, each in turns.items():
+        notes = ["".join(f"## {role}\n\n{text}\n\n" for role, text in each[:upto]) for upto in (2, None)]
+        for day, note in enumerate(dict.fromkeys(notes), 1):
+            for k, (a, b, _) in enumerate(segment.chunk(note)):
+                part = note[a:b]
+                quote = part[:20].strip()
+                start = a + part.index(quote)
+                want.append((f"notes/2024-01-02-{c}.md", k, part.split()[0], start, start + len(quote), quote, f"process{day}", "ingest2" if day == 1 and notes[0] != notes[1] else None))
+    got = [tuple(r) for r in registry.QUERIES["run_notes"](spark, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({w[6] for w in want}) == 2
