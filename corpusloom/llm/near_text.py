@@ -11,7 +11,7 @@ Within a bucket, pairs whose five-word-shingle fingerprints of 128 bits differ i
 similarity of 0.8 is expected to make 19.4 differ, with a deviation of 4. For all others the shingle sets
 themselves are compared, unless the two are known to be in one group already: of a bucket of more than SMALL nodes first the pairs of a tree of least distances are
 compared, which holds each node's nearest and puts most of a group together with as many pairs as nodes; then all pairs of the bucket
-that are not in one group by then.
+that are not in one group by then, within tasks that hand on links alone.
 
 Equal word sequences are one node.
 
@@ -39,6 +39,8 @@ WORDS, LEASTS, BANDS, BAND = 5, 3, 16, 4
 SHINGLE_BITS = 44
 #: In buckets over SMALL, the nodes that one tree spans in the first pass.
 BLOCK = 4096
+#: Nodes of a block when large buckets are compared.
+POOLED = 256
 #: Most candidate nodes that are sent to every task to pick their texts; more are joined by shuffles.
 BROADCAST_NODES = 500_000
 _ODD = np.arange(1, 2 * BANDS * BAND, 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -159,25 +161,52 @@ def near_pairs(node: np.ndarray, one: np.ndarray, two: np.ndarray, met) -> np.nd
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
-def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of a bucket (key, node, one, two, root; sorted by key and root) with different roots whose shingle sets are to be compared."""
-    for columns in in_runs(batches):
-        key, node, root = (columns[k].to_numpy() for k in (0, 1, 4))
-        one, two = (c.to_numpy().view(np.uint64) for c in columns[2:4])
-        n = len(key)
-        end = np.searchsorted(key, key, "right")  # of the bucket; other roots begin behind a row's own
-        other = np.flatnonzero(np.concatenate([(key[1:] != key[:-1]) | (root[1:] != root[:-1]), [True]])) + 1
-        begin = other[np.searchsorted(other, np.arange(n), "right")] if n else other
-        reach = np.maximum(end - begin, 0)
-        total, start = np.append(0, np.cumsum(reach)), 0
-        while start < n:  # as many rows as meet some millions of others
-            stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 21), "right")) - 1)
-            count = reach[start:stop]
-            x = np.repeat(np.arange(start, stop), count)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[start:stop], count)
-            pairs = near_pairs(node, one, two, [(x, y)])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-            start = stop
+def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a, b) between the nodes (node, one, two, root, set) of two blocks: enough of them to put together what is alike but has different roots.
+
+    Near fingerprints are compared first; pairs whose roots these links have put together by then are not.
+    """
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        (a, one, two, ra), (b, three, four, rb) = ([t.column(k).to_numpy() for k in ("node", "one", "two", "root")] for t in (left, right))
+        sets = [t.column("set").to_pylist() for t in (left, right)]
+        far = np.bitwise_count((one[:, None] ^ three).view(np.uint64)) + np.bitwise_count((two[:, None] ^ four).view(np.uint64))
+        x, y = np.nonzero((far <= SHINGLE_BITS) & (ra[:, None] != rb))
+        order = np.argsort(far[x, y], kind="stable")
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while (above := up.get(r, r)) != r:
+                up[r] = up.get(above, above)
+                r = above
+            return r
+
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            r, s = top(int(ra[i])), top(int(rb[j]))
+            if r != s and similar(np.frombuffer(sets[0][i], np.uint64), np.frombuffer(sets[1][j], np.uint64)):
+                up[max(r, s)] = min(r, s)
+                out.append((int(a[i]), int(b[j])))
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def crossing(docs: DataFrame, found: DataFrame, large: DataFrame) -> DataFrame:
+    """Links (a, b) that large buckets (key, node, one, two, root) hold beyond those of the roots.
+
+    Buckets that share nodes are one pool, so that a pair which meets in many of them is compared once; a pool is compared block by block, and what a
+    task is given is two blocks, whatever the pool's size.
+    """
+    split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("hub")).where("least <> most").select("key", "hub")
+    rest = materialise(large.join(split, "key"), "near-rest")
+    pools = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "pool")
+    nodes = rest.select("node", "one", "two", "root").dropDuplicates(["node"]).join(pools, "node")
+    sets = shingle_sets(docs, found, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    counts = materialise(nodes.groupBy("pool").agg(F.ceil(F.count("*") / POOLED).cast("int").alias("blocks")), "near-pools")
+    full = materialise(nodes.join(sets, "node").join(counts, "pool").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-pooled")
+    columns = ["pool", "x", "y", "node", "one", "two", "root", "set"]
+    one = full.withColumn("x", F.col("own")).withColumn("y", F.explode(F.expr("sequence(own, blocks - 1)"))).select(*columns)
+    two = full.withColumn("y", F.col("own")).withColumn("x", F.explode(F.expr("sequence(0, own)"))).select(*columns)
+    by = ["pool", "x", "y"]
+    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(crossed, "a long, b long")
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +263,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # pairs of large buckets that these links have not put together
     roots = materialise(components(links), "near-roots")
     large = met.where("part = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "one", "two").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = materialise(large.select("key", "node", "one", "two", "root"), "near-large")
-    split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    rest = large.join(split, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "root")
-    more = linked(docs, found, rest.mapInArrow(crossing, "a long, b long").distinct())
+    more = crossing(docs, found, materialise(large.select("key", "node", "one", "two", "root"), "near-large"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).withColumnRenamed("node", "member")
     return found.join(roots, found["node"] == roots["member"], "left").select("doc_id", "mark", "node", F.coalesce("root", "node").alias("root"))
 

@@ -395,8 +395,9 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert near_text_groups(spark, texts) == want
 
 
-def test_sparse_groups_close_to_the_threshold(spark):
+def test_sparse_groups_close_to_the_threshold(spark, monkeypatch):
     """Copies of a base whose pairs lie between some 0.78 and 0.84: every group that one pair holds together is found, in buckets far over SMALL."""
+    monkeypatch.setattr(near_text, "POOLED", 50)
     rng = np.random.default_rng(13)
     words, texts = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8))) for _ in range(3000)], {}
     for size, length, changed in ((60, 400, 5), (60, 400, 6), (60, 300, 4), (60, 200, 3), (120, 400, 5)):
