@@ -11,7 +11,7 @@ Within a bucket, pairs whose five-word-shingle fingerprints of 128 bits differ i
 similarity of 0.8 is expected to make 19.4 differ, with a deviation of 4. For all others the shingle sets
 themselves are compared, unless the two are known to be in one group already: of a bucket of more than SMALL nodes first the pairs of a tree of least distances are
 compared, which holds each node's nearest and puts most of a group together with as many pairs as nodes; then all pairs of the bucket
-that are not in one group by then, within tasks that hand on links alone.
+that are not in one group by then, within tasks that hand on nodes (those near to another group by fingerprint) and links alone.
 
 Equal word sequences are one node.
 
@@ -39,8 +39,8 @@ WORDS, LEASTS, BANDS, BAND = 5, 3, 16, 4
 SHINGLE_BITS = 44
 #: In buckets over SMALL, the nodes that one tree spans in the first pass.
 BLOCK = 4096
-#: Nodes of a block when large buckets are compared.
-POOLED = 256
+#: Nodes of a block when large buckets are compared by fingerprints, and when pools are by shingle sets.
+BLOCKED, POOLED = 8192, 256
 #: Most candidate nodes that are sent to every task to pick their texts; more are joined by shuffles.
 BROADCAST_NODES = 500_000
 _ODD = np.arange(1, 2 * BANDS * BAND, 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -189,19 +189,72 @@ def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def united(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `count` places the least place of its component under the edges (a, b)."""
+    up = np.arange(count)
+    while (open_ := up[a] != up[b]).any():
+        x, y = up[a[open_]], up[b[open_]]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while ((above := up[up]) != up).any():
+            up = above
+    return up
+
+
+def near_apart(one: np.ndarray, two: np.ndarray, root: np.ndarray, side: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are near, across the sides (bits 1 and 2), to a place of another root; and of all places the least place of their component by such nearness.
+
+    Each pass unites every component with at least one other that it is near to, so passes grow with the logarithm of their number.
+    """
+    some, label = np.zeros(len(one), bool), np.arange(len(one))
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    while True:
+        edges = []
+        for start in range(0, len(left), step):
+            x = left[start : start + step]
+            near = np.bitwise_count(one[x, None] ^ one[right]) + np.bitwise_count(two[x, None] ^ two[right]) <= SHINGLE_BITS
+            near &= (root[x, None] != root[right]) & (label[x, None] != label[right])
+            rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            edges += [(x[rows], right[near[rows].argmax(1)]), (right[columns], x[near[:, columns].argmax(0)])]
+        a, b = (np.concatenate(c) for c in zip(*edges, strict=True)) if edges else (left, left)
+        if not len(a):
+            return np.flatnonzero(some), label
+        some[a] = True
+        label = united(len(one), label[a], label[b])[label]
+        left, right = left[some[left]], right[some[right]]
+
+
+def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs (run, node, one, two, root, side): each node that is near one of another root, and the first of those it hangs together with."""
+    for columns in in_runs(batches):
+        run, node, root, side = (columns[k].to_numpy() for k in (0, 1, 4, 5))
+        one, two = (columns[k].to_numpy().view(np.uint64) for k in (2, 3))
+        edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        for start, end in zip(edge.tolist(), np.append(edge[1:], len(run)).tolist(), strict=True):
+            at, label = near_apart(one[start:end], two[start:end], root[start:end], side[start:end])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[start + at]), pa.array(node[start + label[at]])], ["a", "b"])
+
+
 def crossing(docs: DataFrame, found: DataFrame, large: DataFrame) -> DataFrame:
     """Links (a, b) that large buckets (key, node, one, two, root) hold beyond those of the roots.
 
-    Buckets that share nodes are one pool, so that a pair which meets in many of them is compared once; a pool is compared block by block, and what a
-    task is given is two blocks, whatever the pool's size.
+    First buckets are compared by fingerprints alone, in blocks: what is near to something of another root goes on, as rows of a node, not of a pair. What
+    hangs together by that is one pool, whatever buckets it came from, so that a pair which meets in many of them is compared once; a pool's shingle sets are compared
+    block by block, and what a task is given is two blocks, whatever the size of bucket and pool.
     """
-    split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("hub")).where("least <> most").select("key", "hub")
-    rest = materialise(large.join(split, "key"), "near-rest")
-    pools = components(rest.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "pool")
+    blocks = F.ceil(F.count("*") / BLOCKED).cast("int").alias("blocks")
+    split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), blocks).where("least <> most").select("key", "blocks")
+    rest = materialise(large.join(split, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)")), "near-rest")
+    dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("run"), "node", "one", "two", "root", F.expr("CASE WHEN own = other THEN 3 WHEN own < other THEN 1 ELSE 2 END").alias("side")
+    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = dealt.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(ties, "a long, b long").distinct()
+    pools = materialise(components(tied).withColumnRenamed("root", "pool"), "near-pools")
     nodes = rest.select("node", "one", "two", "root").dropDuplicates(["node"]).join(pools, "node")
     sets = shingle_sets(docs, found, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    counts = materialise(nodes.groupBy("pool").agg(F.ceil(F.count("*") / POOLED).cast("int").alias("blocks")), "near-pools")
-    full = materialise(nodes.join(sets, "node").join(counts, "pool").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-pooled")
+    counts = pools.groupBy("pool").agg(F.ceil(F.count("*") / POOLED).cast("int").alias("blocks"))
+    full = materialise(nodes.join(sets, "node").join(counts, "pool").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)")), "near-pooled")
     columns = ["pool", "x", "y", "node", "one", "two", "root", "set"]
     one = full.withColumn("x", F.col("own")).withColumn("y", F.explode(F.expr("sequence(own, blocks - 1)"))).select(*columns)
     two = full.withColumn("y", F.col("own")).withColumn("x", F.explode(F.expr("sequence(0, own)"))).select(*columns)
