@@ -410,3 +410,24 @@ def test_sparse_groups_close_to_the_threshold(spark, monkeypatch):
     want = true_groups(texts)
     assert len(want) > 60 and sum(len(g) > 1 for g in want) > 5 and max(map(len, want)) > 90
     assert near_text_groups(spark, texts) == want
+
+
+def test_near_apart_is_all_pairs():
+    """Places near to another root, and what hangs together by that, against a loop over all pairs; both sides in one, and two blocks."""
+    rng = np.random.default_rng(14)
+    for n, sides, step in ((0, 1, 4), (1, 1, 4), (90, 1, 7), (90, 2, 7), (60, 2, 64)):
+        base = rng.integers(0, 1 << 62, (6, 2))
+        pick = rng.integers(0, 6, n)
+        prints = [[int(base[p, k]) ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 20), replace=False)) for p in pick] for k in (0, 1)]
+        one, two = (np.array(p, np.uint64) for p in prints)
+        root = rng.integers(0, 8, n) + pick // 3 * 8
+        side = np.full(n, 3) if sides == 1 else rng.integers(1, 3, n)
+        near = [(i, j) for i in range(n) for j in range(n) if side[i] & 1 and side[j] & 2 and root[i] != root[j] and (prints[0][i] ^ prints[0][j]).bit_count() + (prints[1][i] ^ prints[1][j]).bit_count() <= near_text.SHINGLE_BITS]
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in near:
+                want[i] = want[j] = min(want[i], want[j])
+        at, label = near_text.near_apart(one, two, root, side, step)
+        assert at.tolist() == sorted({k for pair in near for k in pair})
+        assert label.tolist() == want
+        assert n < 60 or len(near) > 50
