@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
+#: Manifests as last read, by root: file names are unique, so the same files hold the same rows. The oldest goes when there are more than KEPT.
+_SEEN: dict[str, tuple[tuple, list]] = {}
+KEPT = 64
+
+
 class Generations:
     """The manifest under root/manifest: generation, what (its numbers, by name), replaces, at (its place in the order of commits)."""
 
@@ -23,7 +28,6 @@ class Generations:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._seen: tuple[tuple, list] = ((), [])
 
     def exists(self, path: str) -> bool:
         found = self._path(path)
@@ -40,9 +44,11 @@ class Generations:
         path = self._path(f"{self.root}/manifest")
         store = path.getFileSystem(self._conf)
         files = tuple(sorted(s.getPath().getName() for s in store.listStatus(path))) if store.exists(path) else ()
-        if files != self._seen[0]:
-            self._seen = files, self.spark.read.schema(self.SHAPE).parquet(f"{self.root}/manifest").orderBy("at").collect()
-        return self._seen[1] if files else []
+        if files and _SEEN.get(self.root, ((),))[0] != files:
+            _SEEN[self.root] = files, self.spark.read.schema(self.SHAPE).parquet(f"{self.root}/manifest").orderBy("at").collect()
+            while len(_SEEN) > KEPT:
+                _SEEN.pop(next(iter(_SEEN)))
+        return _SEEN[self.root][1] if files else []
 
     def fresh(self) -> str:
         return f"g{uuid.uuid4().hex}"
