@@ -20,9 +20,13 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    """A table's files as a stream, whether the table is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
 
 
 def run_out(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -39,18 +43,14 @@ def run_out(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def ingest(stream: DataFrame, target: str, key: str | list[str], state: str) -> None:
-    """Append the rows whose key the target lacks; a repeated batch changes nothing."""
+    """Append the rows whose key the target lacks; a repeated batch changes nothing, and a stream without rows leaves an empty target."""
     keys = [key] if isinstance(key, str) else key
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(target)
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         new = df.dropDuplicates(keys)
-        try:
-            there = spark.read.schema(df.schema).parquet(target)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = spark.createDataFrame([], df.schema)
+        there = spark.read.schema(df.schema).parquet(target)
         new.join(there.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

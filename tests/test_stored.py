@@ -419,3 +419,13 @@ def test_the_run_over_conversations_is_a_plain_run(spark, tmp_path):
                 want.append((f"notes/2024-01-02-{c}.md", k, part.split()[0], start, start + len(quote), quote, f"process{day}", "ingest2" if day == 1 and notes[0] != notes[1] else None))
     got = [tuple(r) for r in registry.QUERIES["run_notes"](spark, f"file://{tmp_path}").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len({w[6] for w in want}) == 2
+
+
+def test_streams_of_tables_that_are_folders(spark, tmp_path):
+    from corpusloom.streaming import incremental
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"file://{tmp_path}/many/documents.parquet")
+    docs.where("false").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    rows = {d: sorted(tuple(r) for r in incremental.ingested_stream(spark, f"file://{tmp_path}/{d}").collect()) for d in ("many", "none")}
+    assert [r[0] for r in rows["many"]] == list(range(20)) and rows["none"] == []
