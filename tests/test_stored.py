@@ -429,3 +429,10 @@ def test_streams_of_tables_that_are_folders(spark, tmp_path):
     docs.where("false").write.parquet(f"file://{tmp_path}/none/documents.parquet")
     rows = {d: sorted(tuple(r) for r in incremental.ingested_stream(spark, f"file://{tmp_path}/{d}").collect()) for d in ("many", "none")}
     assert [r[0] for r in rows["many"]] == list(range(20)) and rows["none"] == []
+
+
+def test_work_queue_over_a_folder(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    spark.range(20).withColumnRenamed("id", "doc_id").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert sorted(r[0] for r in registry.QUERIES["str_work_queue"](spark, f"file://{tmp_path}").collect()) == [k for k in range(20) if k % 3]
