@@ -436,3 +436,13 @@ def test_work_queue_over_a_folder(spark, tmp_path):
 
     spark.range(20).withColumnRenamed("id", "doc_id").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert sorted(r[0] for r in registry.QUERIES["str_work_queue"](spark, f"file://{tmp_path}").collect()) == [k for k in range(20) if k % 3]
+
+
+def test_responses_to_short_texts(spark, tmp_path):
+    """A text that is too short to be quoted: its response's quote is blank, which stands nowhere."""
+    from corpusloom.plans import registry
+
+    texts = ["", "ab", "abc", "  \t\n ", "a text that is long enough", "ab", "ab", "ab"]
+    spark.createDataFrame([(k * 4 if k < 5 else k, t, "en", "src1") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.chunk_id: r.reason for r in registry.QUERIES["fn_json_validate"](spark, f"file://{tmp_path}").collect()}
+    assert got == {"0": "quote_not_found", "4": "quote_not_found", "12": "quote_not_found", "5": "quote_not_found", "6": "unparseable_response", "7": "schema_violation"}
