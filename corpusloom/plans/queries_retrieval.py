@@ -32,7 +32,7 @@ def _index(spark, d):
 
 
 def _lexical(spark, d):
-    return _index(spark, d).search(R.questions(spark))
+    return lexical.search_table(spark, f"{d}/documents.parquet", R.read(spark, d, "documents"), R.questions(spark))
 
 
 def _semantic(spark, d):

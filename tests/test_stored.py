@@ -462,3 +462,19 @@ def test_index_counts_within_tasks(spark, tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([["a"] * 5, [], None, ["b"] * 3])], ["key", "tokens"])
     monkeypatch.setattr(lexical, "SORTED", 5)
     assert [len(p) for p in lexical._pieces(iter([batch]), 1)] == [3, 1]
+
+
+def test_table_is_searched_without_building_an_index(spark, tmp_path, monkeypatch):
+    docs = {k: t for k, t in corpus(2, 300).items() if t is not None}
+    table = f"file://{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(table)
+    questions = [(1, "w1 w2 w7"), (2, "w1 w1 w399 w3 w50"), (3, "nothing"), (4, "")]
+    ask, rows = spark.createDataFrame(questions, "qid int, question string"), spark.read.parquet(table)
+    find = lambda: sorted((r.qid, r["rank"], r.doc_id) for r in lexical.search_table(spark, table, rows, ask, 9).collect())
+    with monkeypatch.context() as m:
+        m.setattr(lexical.LexicalIndex, "add", lambda *_: pytest.fail("an index is built"))
+        scanned = find()
+        m.setattr(search, "ASKED", 2)
+        assert find() == scanned
+    lexical.of_table(spark, table, rows)
+    assert find() == scanned == [(q, r, k) for q, k, r, _ in ranked(docs, questions, 9)]
