@@ -10,7 +10,7 @@ Documents are linked if the Jaccard similarity of their sets of five-word shingl
 Within a bucket, pairs whose five-word-shingle fingerprints of 128 bits differ in more than 44 bits are left out: a
 similarity of 0.8 is expected to make 19.4 differ, with a deviation of 4. For all others the shingle sets
 themselves are compared, unless the two are known to be in one group already: of a bucket of more than SMALL nodes first the pairs of a tree of least distances are
-compared, which holds each node's nearest and puts most of a group together with as many pairs as nodes; then all pairs of the bucket
+compared (in one of SPANNED such buckets), which holds each node's nearest and puts most of a group together with as many pairs as nodes; then all pairs of every such bucket
 that are not in one group by then, within tasks that hand on nodes (those near to another group by fingerprint) and links alone.
 
 Equal word sequences are one node.
@@ -39,6 +39,8 @@ WORDS, LEASTS, BANDS, BAND = 5, 3, 16, 4
 SHINGLE_BITS = 44
 #: In buckets over SMALL, the nodes that one tree spans in the first pass.
 BLOCK = 4096
+#: One in so many large buckets gets a tree in the first pass: a group's nodes share many buckets, so a few put most of it together, with a few pairs a node.
+SPANNED = 4
 #: Nodes of a block when large buckets are compared by fingerprints, and when pools are by shingle sets.
 BLOCKED, POOLED = 8192, 256
 #: Most candidate nodes that are sent to every task to pick their texts; more are joined by shuffles.
@@ -131,7 +133,7 @@ def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes (a < b; part 0) of a bucket whose shingle sets are to be compared: all of a small one, a tree's of a large one. The
+    """Pairs of nodes (a < b; part 0) of a bucket whose shingle sets are to be compared: all of a small one, a tree's of some large ones. The
     nodes of large ones go on (a: the key, b: the node, one, two; part 1)."""
     for columns in in_runs(batches):
         key, node = columns[0].to_numpy(), columns[1].to_numpy()
@@ -144,6 +146,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero((key[:-off] == key[off:]) & small[:-off])
             met.append((at, at + off))
         for start, n in zip(edge[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
+            if key[start] % SPANNED:
+                continue
             met += ((x + start, y + start) for x, y in closest(one[start : start + n], two[start : start + n], int(key[start])))
         pairs = near_pairs(node, one, two, met)
         none = np.zeros(len(pairs), np.int64)
@@ -162,13 +166,15 @@ def near_pairs(node: np.ndarray, one: np.ndarray, two: np.ndarray, met) -> np.nd
 
 
 def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links (a, b) between the nodes (node, one, two, root, set) of two blocks: enough of them to put together what is alike but has different roots.
+    """Links (a, b) between the roots of the nodes (node, one, two, root, set) of two blocks: enough of them to put together what is alike but has different roots.
+
+    Roots, not nodes: what many blocks find of the same two roots is one link.
 
     Near fingerprints are compared first; pairs whose roots these links have put together by then are not.
     """
     out: list[tuple[int, int]] = []
     if len(left) and len(right):
-        (a, one, two, ra), (b, three, four, rb) = ([t.column(k).to_numpy() for k in ("node", "one", "two", "root")] for t in (left, right))
+        (one, two, ra), (three, four, rb) = ([t.column(k).to_numpy() for k in ("one", "two", "root")] for t in (left, right))
         sets = [t.column("set").to_pylist() for t in (left, right)]
         far = np.bitwise_count((one[:, None] ^ three).view(np.uint64)) + np.bitwise_count((two[:, None] ^ four).view(np.uint64))
         x, y = np.nonzero((far <= SHINGLE_BITS) & (ra[:, None] != rb))
@@ -185,7 +191,7 @@ def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
             r, s = top(int(ra[i])), top(int(rb[j]))
             if r != s and similar(np.frombuffer(sets[0][i], np.uint64), np.frombuffer(sets[1][j], np.uint64)):
                 up[max(r, s)] = min(r, s)
-                out.append((int(a[i]), int(b[j])))
+                out.append((int(ra[i]), int(rb[j])))
     return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -259,7 +265,7 @@ def crossing(docs: DataFrame, found: DataFrame, large: DataFrame) -> DataFrame:
     one = full.withColumn("x", F.col("own")).withColumn("y", F.explode(F.expr("sequence(own, blocks - 1)"))).select(*columns)
     two = full.withColumn("y", F.col("own")).withColumn("x", F.explode(F.expr("sequence(0, own)"))).select(*columns)
     by = ["pool", "x", "y"]
-    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(crossed, "a long, b long")
+    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(crossed, "a long, b long").distinct()
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

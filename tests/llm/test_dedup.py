@@ -431,3 +431,16 @@ def test_near_apart_is_all_pairs():
         assert at.tolist() == sorted({k for pair in near for k in pair})
         assert label.tolist() == want
         assert n < 60 or len(near) > 50
+
+
+def test_links_of_blocks_are_of_roots(spark):
+    """What many nodes of two groups have in common is one link of their roots; and only some large buckets give pairs."""
+    import pyarrow as pa
+
+    sets = np.arange(50, dtype=np.uint64)
+    side = lambda nodes, root: pa.table({"node": nodes, "one": [0] * len(nodes), "two": [0] * len(nodes), "root": [root] * len(nodes), "set": [sets.tobytes()] * len(nodes)})
+    assert near_text.crossed(side([1, 2, 3], 1), side([7, 8], 7)).to_pylist() == [{"a": 1, "b": 7}] == near_text.crossed(side([4, 5], 1), side([9], 7)).to_pylist()
+    rows = [(k, n, 0, 0) for k in range(8) for n in range(100)]
+    met = pa.concat_tables(pa.Table.from_batches([b]) for b in near_text.candidates(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "node", "one", "two"])])))
+    assert met.filter(pa.array(x == 1 for x in met["part"].to_pylist())).num_rows == len(rows)
+    assert 0 < met.filter(pa.array(x == 0 for x in met["part"].to_pylist())).num_rows <= 2 * 99
