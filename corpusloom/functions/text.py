@@ -65,12 +65,22 @@ def strip_accents(x: Column) -> Column:
     return F.translate(x, ACCENTED, PLAIN)
 
 
-@F.pandas_udf(StringType())
-def strip_accents_any(x):
-    """Any text: compatibility decomposition without combining marks."""
+@lru_cache
+def _marks() -> str:
+    """Combining marks as a Java character class."""
     import unicodedata
 
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    found = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+    return rf"[\x{{{found[0]:x}}}-\x{{10ffff}}&&[{ranges}]]"  # most characters lie before all marks
+
+
+def strip_accents_any(x: Column) -> Column:
+    """Any text: compatibility decomposition without combining marks. Spark's own ICU decomposes it in the JVM, a text at a time, so no worker holds batches of texts."""
+    apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(x, F.lit("")), F.lit(True))
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(apart, _marks(), "")).otherwise(x)
 
 
 def casefold(x: Column) -> Column:

@@ -102,3 +102,14 @@ def test_user_dates_and_slugs(spark):
         day("tomorrow")
     slugs = spark.createDataFrame([("Été ﬁn",), ("Žižek №5",), ("日本",), ("Crème brûlée!",)], "t string").select(T.slug(F.col("t")))
     assert [r[0] for r in slugs.collect()] == ["ete-fin", "zizek-no5", "", "creme-brulee"]
+
+
+def test_accents_go_in_the_jvm(spark):
+    """Each character, and sequences of them, as Python decomposes them; no worker is handed texts."""
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    texts = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")] + ["Été ﬁn", "각나 ＡＢ ½", "ạ́b", "plain", "", "x𝒳é"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.strip_accents_any(F.col("t")).alias("v"))
+    assert [r.t for r in df.collect() if r.v != (None if r.t is None else plain(r.t))] == []
+    assert "Python" not in df._jdf.queryExecution().toString()
