@@ -23,6 +23,8 @@ from .search import each_file, in_files
 
 #: Quotes, or expected claims, of a file; characters of text that a task holds while it goes through the files.
 BLOCK, HELD = 4096, 8 << 20
+#: Values of a side whose expected claims a task remembers for a file.
+KNOWN = 1024
 
 
 def folded(text: str) -> str:
@@ -119,7 +121,7 @@ SIDES = ("subject", "predicate", "object")
 
 def claims_met(expected: DataFrame, facts: DataFrame, name: str = "item_id", block: int = BLOCK, normal: Callable = T.normalize_label) -> DataFrame:
     """The names of the expected claims (name, subject, predicate, object) that a fact (subject, predicate, object) meets: each
-    of its parts, normalised, holds the wanted part or nothing is wanted there."""
+    of its parts, normalised, holds the wanted part or nothing is wanted there. A task looks no further for what it has met, and remembers what frequent values meet."""
     part = lambda c: normal(F.coalesce(F.col(c), F.lit(""))).alias(c)
     folder = in_files(expected.select(F.col(name).alias("name"), *map(part, SIDES)), "expected", block)
     kind = expected.schema[name].dataType
@@ -129,17 +131,24 @@ def claims_met(expected: DataFrame, facts: DataFrame, name: str = "item_id", blo
         done: set = set()
         for held in _held(batches):
             for number, wanted in enumerate(each_file(folder)):
-                free = [{k for k, e in enumerate(wanted) if not e[s]} for s in SIDES]
+                left_open = [k for k in range(len(wanted)) if (number, k) not in done]
+                if not left_open:
+                    continue
+                free = [{k for k in left_open if not wanted[k][s]} for s in SIDES]
                 words = [{} for _ in SIDES]
-                for k, e in enumerate(wanted):
+                for k in left_open:
                     for s, side in enumerate(SIDES):
-                        if e[side]:
-                            words[s].setdefault(e[side], set()).add(k)
+                        if wanted[k][side]:
+                            words[s].setdefault(wanted[k][side], set()).add(k)
                 automata, met = [_automaton(w) if w else None for w in words], set()
+                known: list[dict[str, set]] = [{} for _ in SIDES]
                 for row in held:
                     left = None
                     for s, value in enumerate(row):
-                        here = free[s].union(*(ks for _, ks in automata[s].iter(value))) if automata[s] else free[s]
+                        if (here := known[s].get(value)) is None:
+                            here = free[s].union(*(ks for _, ks in automata[s].iter(value))) if automata[s] else free[s]
+                            if len(known[s]) < KNOWN:
+                                known[s][value] = here
                         left = here if left is None else left & here
                         if not left:
                             break
@@ -148,4 +157,4 @@ def claims_met(expected: DataFrame, facts: DataFrame, name: str = "item_id", blo
                 done.update((number, k) for k in new)
                 yield pa.RecordBatch.from_arrays([pa.array([wanted[k]["name"] for k in new], arrow)], [name])
 
-    return facts.select(*map(part, SIDES)).distinct().mapInArrow(rows, f"{name} {kind.simpleString()}").distinct()
+    return facts.select(*SIDES).distinct().select(*map(part, SIDES)).distinct().mapInArrow(rows, f"{name} {kind.simpleString()}").distinct()

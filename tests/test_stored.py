@@ -478,3 +478,11 @@ def test_table_is_searched_without_building_an_index(spark, tmp_path, monkeypatc
         assert find() == scanned
     lexical.of_table(spark, table, rows)
     assert find() == scanned == [(q, r, k) for q, k, r, _ in ranked(docs, questions, 9)]
+
+
+def test_claims_of_many_equal_facts(spark):
+    """Equal facts are looked at once, and claims that were met are not looked for again; all that are met are told."""
+    facts = spark.createDataFrame([(f"user {k % 5}", "view", f"item {k % 7}") for k in range(500)], "subject string, predicate string, object string")
+    wanted = [(k, f"USER {k % 6}", "" if k % 2 else "View", f"(item {k % 8})") for k in range(48)] + [(99, "nobody", "", "")]
+    met = quotes.claims_met(spark.createDataFrame(wanted, "item_id int, subject string, predicate string, object string"), facts, block=5)
+    assert sorted(r[0] for r in met.collect()) == [k for k in range(48) if k % 6 < 5 and k % 8 < 7]
