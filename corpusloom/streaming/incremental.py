@@ -6,6 +6,8 @@ Query state and results lie under the folder that spark.checkpoint.dir names.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,16 +44,19 @@ def run_out(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def ingest(stream: DataFrame, target: str, key: str | list[str], state: str) -> None:
-    """Append the rows whose key the target lacks; a repeated batch changes nothing, and a stream without rows leaves an empty target."""
+def ingest(stream: DataFrame, target: str, key: str | list[str], state: str, once: bool = True) -> None:
+    """Append the rows whose key the target lacks; a repeated batch changes nothing, and a stream without rows leaves an empty target.
+
+    Of a batch's rows with one key the target gets one, or all if not `once`. A null key is one key.
+    """
     keys = [key] if isinstance(key, str) else key
     stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(target)
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        new = df.dropDuplicates(keys)
-        there = spark.read.schema(df.schema).parquet(target)
-        new.join(there.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
+        new = df.dropDuplicates(keys) if once else df
+        there = spark.read.schema(df.schema).parquet(target).select(*[F.col(k).alias(f"there_{k}") for k in keys])
+        new.join(there, reduce(and_, [F.col(k).eqNullSafe(F.col(f"there_{k}")) for k in keys]), "left_anti").write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
@@ -92,9 +97,9 @@ def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents into a table keyed by id, twice: the second run finds nothing new."""
+    """Documents into a table by id, twice: the second run finds nothing new. Rows that share an id are in one batch, so all of them are taken."""
     stream = files(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
     target = place(spark, "ingested")
     for _ in range(2):
-        ingest(stream, target, "doc_id", place(spark, "ingest-state"))
+        ingest(stream, target, "doc_id", place(spark, "ingest-state"), once=False)
     return spark.read.schema(stream.schema).parquet(target)

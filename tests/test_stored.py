@@ -439,6 +439,17 @@ def test_work_queue_over_a_folder(spark, tmp_path):
     assert sorted(r[0] for r in registry.QUERIES["str_work_queue"](spark, f"file://{tmp_path}").collect()) == [k for k in range(20) if k % 3]
 
 
+def test_streams_of_repeated_and_null_ids(spark, tmp_path):
+    """As in their SQL, a row that shares its id with others, or has none, is a row of its own, and a second run adds nothing."""
+    from corpusloom.plans import registry
+
+    ids = [1, 1, 2, 3, 3, None, None, -1, -2, 4, 4, 4]
+    spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(ids)], "doc_id long, text string").repartition(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    run = lambda name: sorted((r[0] for r in registry.QUERIES[name](spark, f"file://{tmp_path}").collect()), key=str)
+    assert run("str_work_queue") == sorted((k for k in ids if k is not None and k % 3), key=str)
+    assert run("str_incremental_ingest") == sorted(ids, key=str)
+
+
 def test_responses_to_short_texts(spark, tmp_path):
     """A text that is too short to be quoted: its response's quote is blank, which stands nowhere."""
     from corpusloom.plans import registry
