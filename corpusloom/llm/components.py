@@ -1,5 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
+Before these rounds, edges are dealt out in parts of at most CHUNK, and each task leaves of its part an edge from each node to the least that it
+reaches there: that connects the same nodes with no more edges, and with many less where nodes have many edges each. The parts are dealt out anew as long as that pays.
+
 A hub's edges are many rows of one key: the least neighbours are summed up within tasks first and stored, so that the
 join with the edges has shuffles of its own, which a skewed key's rows can be split over.
 
@@ -9,11 +12,61 @@ are no nodes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialise
 
+#: Edges of a part that one task contracts.
+CHUNK = 1 << 15
+
+
+def united(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `count` places the least place of its component under the edges (a, b)."""
+    up = np.arange(count)
+    while (open_ := up[a] != up[b]).any():
+        x, y = up[a[open_]], up[b[open_]]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while ((above := up[up]) != up).any():
+            up = above
+    return up
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges (a, b): an edge from each node to the least that it reaches by them. Over twice CHUNK of them are contracted part by part."""
+
+    def star(edges: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([b.column(k).to_numpy() for b in edges]) for k in (0, 1)]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        least = nodes[united(len(nodes), at[: len(ends[0])], at[len(ends[0]) :])]
+        return pa.RecordBatch.from_arrays([pa.array(c[least != nodes]) for c in (nodes, least)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) > 2 * CHUNK:
+            yield star(held)
+            held = []
+    if held:
+        yield star(held)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a > b, distinct) that connect what the given ones (materialised) connect, no more than these."""
+    left = edges.count()
+    while left:
+        parts, before, were = -(-left // CHUNK), edges, left
+        edges = materialise(before.repartition(parts).mapInArrow(stars, "a long, b long").distinct(), "links")
+        drop_scratch(before.sparkSession, before)
+        left = edges.count()
+        if parts == 1 or 4 * left > 3 * were:
+            break
+    return edges
+
 
 def _to_least(edges: DataFrame, of: str, other: str) -> DataFrame:
     """least: the smallest of each node's neighbours and itself, beside each of its edges."""
@@ -39,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so lost executors cost at most a round; rounds grow with
     the logarithm of the longest way.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = contracted(materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"))
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

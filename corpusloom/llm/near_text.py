@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, materialise
-from .components import components
+from .components import components, united
 from .simhash import LOWER, SEGMENTS, SMALL, Golay, shingle_hashes
 from .suffix_dedup import in_runs, mix
 
@@ -195,17 +195,6 @@ def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def united(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of `count` places the least place of its component under the edges (a, b)."""
-    up = np.arange(count)
-    while (open_ := up[a] != up[b]).any():
-        x, y = up[a[open_]], up[b[open_]]
-        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-        while ((above := up[up]) != up).any():
-            up = above
-    return up
-
-
 def near_apart(one: np.ndarray, two: np.ndarray, root: np.ndarray, side: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Places that are near, across the sides (bits 1 and 2), to a place of another root; and of all places the least place of their component by such nearness.
 

@@ -319,6 +319,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_edges(spark, monkeypatch):
+    """Nodes with many edges each are contracted within tasks: the rounds, which join, get at most an edge a node."""
+    import corpusloom.llm.components as module
+
+    edges = [(base + i, base + j) for base, n in ((0, 50), (1000, 40)) for i in range(n) for j in range(i)] + [(i, i + 1) for i in range(2000, 2060)]
+    seen, large = [], module._large
+    monkeypatch.setattr(module, "_large", lambda e: seen.append(e.count()) or large(e))
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {k: base for base, n in ((0, 50), (1000, 40), (2000, 61)) for k in range(base, base + n)}
+    for chunk, most in ((7, len(edges)), (500, len(want)), (module.CHUNK, len(want))):
+        seen.clear()
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        assert {r.node: r.root for r in components(frame).collect()} == want
+        assert max(seen) <= most
+
+
 def test_simhash(edge_docs, edge_rows, no_docs):
     prints = {body(r[1]): brute_print(r[1]) for r in edge_rows}
     every = sorted(set(prints.values()))
