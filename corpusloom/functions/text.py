@@ -107,19 +107,17 @@ def escape_regex(x: Column) -> Column:
 
 def locate_quote(text: Column, quote: Column) -> Column:
     """struct(start, end), half-open code points in text, or null: exact, then any white space, then any case."""
-    wanted = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
-    exact = F.instr(text, wanted)
-    loose = F.regexp_replace(escape_regex(wanted), r"(?U)\s+", r"\\s+")
-
-    def by(flags: str) -> tuple[Column, Column]:
-        pattern = F.concat(F.lit(flags), loose)
-        found = F.regexp_substr(text, pattern)
-        return F.when(found.isNotNull(), F.length(F.split(text, pattern, 2)[0])), F.length(found)
-
-    (s2, n2), (s3, n3) = by("(?U)"), by("(?Uiu)")
-    start = F.when(exact > 0, exact - 1).otherwise(F.coalesce(s2, s3))
-    size = F.when(exact > 0, F.length(wanted)).otherwise(F.when(s2.isNotNull(), n2).otherwise(n3))
-    return F.when((F.length(wanted) > 0) & start.isNotNull(), F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end")))
+    span = lambda start, size: F.struct(start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
+
+    def by(flags: str, wanted: Column) -> Column:
+        pattern = F.concat(F.lit(flags), F.regexp_replace(escape_regex(wanted), r"(?U)\s+", r"\\s+"))
+        return let(pattern, lambda p: let(F.regexp_substr(text, p), lambda found: F.when(found.isNotNull(), span(F.length(F.split(text, p, 2)[0]), F.length(found)))))
+
+    def place(wanted: Column) -> Column:
+        exact = let(F.instr(text, wanted), lambda at: F.when(at > 0, span(at - 1, F.length(wanted))))
+        return F.when(F.length(wanted) > 0, F.coalesce(exact, by("(?U)", wanted), by("(?Uiu)", wanted)))
+
+    return let(F.regexp_replace(quote, r"(?U)^\s+|\s+$", ""), place)
 
 
 def slug(x: Column, most: int = 48) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import stored
 
 _FIELDS = ["subject", "subject_type", "predicate", "object", "object_type", "quote"]
 CLAIM = "struct<" + ",".join(f"{n}:string" for n in _FIELDS) + ",object_is_literal:boolean,confidence:double>"
@@ -68,21 +69,28 @@ def parsed(response: Column) -> Column:
     return T.let(_whole_json(F.coalesce(response, F.lit(""))), lambda v: T.let(reason(v), lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), found(v)).alias("claims"))))
 
 
+def _located(p: Column, text: Column) -> Column:
+    """parsed(), each claim with where its quote stands in the text (at: start, end, said; null: nowhere)."""
+    said = lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("said")))
+    one = lambda c: F.struct(c.alias("claim"), T.let(T.locate_quote(text, c["quote"]), said).alias("at"))
+    return T.let(p, lambda r: F.struct(r["reason"].alias("reason"), F.transform(r["claims"], one).alias("claims")))
+
+
 def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, rejections) of chunks (chunk_id, text, char_start, response).
 
     A fact's span is where its quote stands in the document and its quote is what stands there; a quote that isn't found
     rejects the claim. The first of equal fact ids of a chunk stays.
     """
-    read = chunks.withColumn("p", parsed(F.col("response")))
-    whole = read.where("p.reason IS NOT NULL").select("chunk_id", F.col("p.reason").alias("reason"), F.substring("response", 1, 200).alias("detail"))
-    claims = read.where("p.reason IS NULL").select("chunk_id", "text", "char_start", F.posexplode("p.claims").alias("place", "c")).select("chunk_id", "text", "char_start", "place", "c.*")
-    located = claims.withColumn("span", T.locate_quote(F.col("text"), F.col("quote")))
-    lost = located.where("span IS NULL").select("chunk_id", F.lit("quote_not_found").alias("reason"), F.substring("quote", 1, 200).alias("detail"))
-    start, end = F.col("char_start") + F.col("span.start"), F.col("char_start") + F.col("span.end")
-    facts = located.where("span IS NOT NULL").select(
+    start, end = F.col("char_start") + F.col("at.start"), F.col("char_start") + F.col("at.end")
+    read = chunks.select("chunk_id", "char_start", _located(parsed(F.col("response")), F.col("text")).alias("p"), F.substring("response", 1, 200).alias("head"))
+    read = stored(read, "claims-read")  # both results are taken from it, so that a response is parsed, and a quote looked for, once
+    whole = read.where("p.reason IS NOT NULL").select("chunk_id", F.col("p.reason").alias("reason"), F.col("head").alias("detail"))
+    located = read.where("p.reason IS NULL").select("chunk_id", "char_start", F.posexplode("p.claims").alias("place", "c")).select("chunk_id", "char_start", "place", "c.claim.*", "c.at")
+    lost = located.where("at IS NULL").select("chunk_id", F.lit("quote_not_found").alias("reason"), F.substring("quote", 1, 200).alias("detail"))
+    facts = located.where("at IS NOT NULL").select(
         T.digest(F.lit("fact"), F.col("chunk_id"), F.col("subject"), F.col("predicate"), F.col("object"), start, end).alias("fact_id"), "chunk_id", "place", *_FIELDS[:-1], "object_is_literal", "confidence",
-        start.alias("char_start"), end.alias("char_end"), F.substr("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("quote"),
+        start.alias("char_start"), end.alias("char_end"), F.col("at.said").alias("quote"),
     )
     first = F.row_number().over(Window.partitionBy("chunk_id", "fact_id").orderBy("place")) == 1
     return facts.withColumn("first", first).where("first").drop("first"), whole.unionByName(lost)

@@ -113,7 +113,8 @@ class Journal:
         def stage(run: str) -> dict[str, DataFrame]:
             self.answers.ask(pending.select(F.col("text").alias("prompt")), model, run)
             asked = pending.withColumn("prompt_key", provider.prompt_key(F.col("text"), model.model)).join(self.answers.read().select("prompt_key", "response"), "prompt_key")
-            asked = search.stored(asked, "journal-asked")
+            # dealt out by rows: what they cost are their responses and quotes, not their bytes
+            asked = search.stored(asked.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "journal-asked")
             found, rejected = extract.extract(asked.select("chunk_id", "text", "char_start", "response"))
             found = search.stored(found.join(self.read("facts", FACT).select("fact_id", "chunk_id"), ["fact_id", "chunk_id"], "left_anti"), "journal-claims")
             linked, decided = compose.resolved(found, self.concepts())

@@ -1,9 +1,9 @@
 """A vault of Markdown notes as a Python Data Source: spark.read.format("notes_vault") and readStream.
 
-Options: path (any store that pyarrow opens), excluded (folder names with commas between them, in place of the usual ones), partitions (how many at least, if there are as many folders).
+Options: path (any store that pyarrow opens), excluded (folder names with commas between them, in place of the usual ones), partitions (how many at least, if there are as many folders, or files enough).
 
 Planning lists folders level by level only until there are enough of them to deal out; each task lists what lies below its
-own folders and reads the files one after the other. As a stream, the offset is the greatest (mtime, path, size) that has been
+own folders, and its share of the files in those above, and reads the files one after the other. A folder of many files is so read by many tasks. As a stream, the offset is the greatest (mtime, path, size) that has been
 read, in this order: a later trigger takes the files that were written since, changed ones too. A file that is put in with an
 older time than what was read isn't seen, as with Spark's own file streams past their age limit.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ SCHEMA = "relative_path string, text string, content_hash string, byte_size long
 ENDINGS = (".md", ".markdown")
 #: Bytes of a batch that a task hands on.
 HELD = 8 << 20
+#: Files of the folders above the dealt ones for which there is another task.
+SHARED = 128
 
 
 class NotUtf8(ValueError):
@@ -38,10 +41,11 @@ class NotUtf8(ValueError):
 
 @dataclass
 class Folders(InputPartition):
-    """Folders of one task: with what lies below them (deep), or only their own files; files after `after` up to `upto` (mtime, path, size)."""
+    """Folders of one task: with what lies below them (deep), or only its share (this of so many) of their own files (flat); files after `after` up to `upto` (mtime, path, size)."""
 
     deep: list[str]
     flat: list[str]
+    share: tuple[int, int] = (0, 1)
     after: tuple | None = None
     upto: tuple | None = None
 
@@ -63,26 +67,30 @@ class Listing:
         """Level by level, until there are enough folders or none has another in it."""
         if self.store.get_file_info(self.root).type != fs.FileType.Directory:
             raise FileNotFoundError(f"there is no folder {self.root}: make it, or check that its drive is there")
-        level, flat = [self.root], []
+        level, flat, files = [self.root], [], 0
         while level and len(level) < self.partitions:
-            below = [folder for parent in level for folder in self.inside(parent)[1]]
-            flat += level
+            below = []
+            for parent in level:
+                notes, folders = self.inside(parent)
+                below += folders
+                files += len(notes)
+                flat += [parent] if notes else []
             level = below
-        tasks = [Folders([], []) for _ in range(max(1, min(self.partitions, len(level) + len(flat))))]
+        n = max(1, min(self.partitions, len(level) + -(-files // SHARED)))
+        tasks = [Folders([], sorted(flat), (k, n)) for k in range(n)]
         for k, folder in enumerate(sorted(level)):
-            tasks[k % len(tasks)].deep.append(folder)
-        for k, folder in enumerate(sorted(flat)):
-            tasks[-1 - k % len(tasks)].flat.append(folder)
+            tasks[k % n].deep.append(folder)
         return tasks
 
     def notes(self, part: Folders) -> Iterator[tuple[tuple, str]]:
         """(mtime, relative path, size) and path of the task's files."""
         rest = [(folder, True) for folder in part.deep] + [(folder, False) for folder in part.flat]
+        own, of = part.share
         while rest:
             folder, deep = rest.pop()
             notes, folders = self.inside(folder)
             rest += [(f, True) for f in folders] if deep else []
-            for i in sorted(notes, key=lambda i: i.path):
+            for i in sorted((i for i in notes if deep or zlib.crc32(i.base_name.encode()) % of == own), key=lambda i: i.path):
                 at = (i.mtime_ns, i.path[len(self.root) + 1 :].replace("\\", "/"), i.size)
                 if (part.after is None or at > tuple(part.after)) and (part.upto is None or at <= tuple(part.upto)):
                     yield at, i.path

@@ -439,6 +439,18 @@ def test_work_queue_over_a_folder(spark, tmp_path):
     assert sorted(r[0] for r in registry.QUERIES["str_work_queue"](spark, f"file://{tmp_path}").collect()) == [k for k in range(20) if k % 3]
 
 
+def test_vault_of_one_large_folder(tmp_path):
+    """A folder's files are dealt out over tasks, each file to one of them."""
+    (tmp_path / "notes" / "old").mkdir(parents=True)
+    names = {f"notes/{k}.md" for k in range(1000)} | {f"notes/old/{k}.md" for k in range(30)} | {"top.md"}
+    for name in names:
+        (tmp_path / name).write_text(name)
+    listing = vault_format.Listing({"path": f"file://{tmp_path}", "partitions": "6"})
+    read = [[name for (_, name, _), _ in listing.notes(part)] for part in listing.dealt()]
+    assert sorted(name for part in read for name in part) == sorted(names)
+    assert len(read) == 6 and max(map(len, read)) < 2 * len(names) / 6
+
+
 def test_streams_of_repeated_and_null_ids(spark, tmp_path):
     """As in their SQL, a row that shares its id with others, or has none, is a row of its own, and a second run adds nothing."""
     from corpusloom.plans import registry
