@@ -2,7 +2,9 @@
 
 import gzip
 import json
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,3 +326,18 @@ def test_ingest_again_changes_nothing(spark, tmp_path):
     for k in range(2):
         incremental.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), target, "doc_id", f"file://{tmp_path}/state{k}")
     assert spark.read.parquet(target).count() == 2
+
+
+def test_signals_are_found_in_one_look_at_a_run():
+    """The patterns give what the plain ones give, and a text that is one long word costs no more than its length."""
+    rng = random.Random(9)
+    plain = {"EMAIL": r"[\w.+-]+@[\w-]+\.[\w.-]+", "HASHTAG": r"(?<![\w#])#([^\s#,.;:!?]{2,50})", "MENTION": r"(?<![\w@])@([\w.-]{2,50})", "ISO_DATE": r"\b(\d{4}-\d{2}-\d{2})\b", "CLOCK_TIME": r"\b([01]?\d|2[0-3])[h:]([0-5]\d)\b"}
+    parts = ["a", "é", "+", "@", ".", "-", "#", " ", "_", "\n", "a@b.c", "a@b.c+d@e.f", "2024-05-11", "9h30", "23:59", "1", "²", "h", ":"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        for name, pattern in plain.items():
+            assert [m.span() for m in re.finditer(getattr(T, name), text)] == [m.span() for m in re.finditer(pattern, text)], (name, text)
+    began = time.process_time()
+    for name in plain:
+        assert re.findall(getattr(T, name), "a" * 100_000) == []
+    assert time.process_time() - began < 2
