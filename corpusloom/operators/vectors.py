@@ -2,10 +2,10 @@
 
 The first write picks pivots among its vectors (one for each block's worth of them, up to a bound); each vector lies in the cell of its nearest pivot, and cells are cut by the distance to
 the pivot into blocks of bounded size that carry their least and greatest distance. For a query at distance d of a pivot no
-vector of a block is nearer than d - greatest or least - d, so blocks beyond the query's bound are not read. The bound comes from the cells' counts, then
-from the vectors of the query's own cell.
+vector of a block is nearer than d - greatest or least - d, so blocks beyond the query's bound are not read. The bound comes from counts alone.
 
-Queries and blocks meet by block: a group is one block and at most `QUERIES` queries, whatever their number.
+Queries and blocks meet by stretch: consecutive blocks of a cell with at most `STRETCH` numbers. A group is one stretch and some `QUERIES` queries, whatever their
+number, and gives each query's best of all the stretch's vectors, so what is planned and shuffled grows with queries times stretches, not blocks.
 
 A key that is written again replaces its vector: a delta's keys hide those of earlier generations. Dimension and model are
 part of the stored metadata, and writing other ones is an error.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -29,6 +30,8 @@ from .tables import Generations, kept_root
 
 #: Vectors of a block, queries of a group, pivots at most.
 VECTORS, QUERIES, PIVOTS = 1024, 2048, 64
+#: Numbers of a stretch's vectors; distances, or numbers of pairs, that a task holds at once.
+STRETCH = 1 << 21
 
 
 class Mismatch(ValueError):
@@ -185,38 +188,32 @@ class VectorTable:
         if not meta:
             return self.spark.createDataFrame([], f"qid {qid}, {self.key} {self.kind}, value double, rank int")
         dim, pivots, queries = meta["dimensions"], self.pivots(), held(queries.select("qid", F.col("query").cast("array<double>").alias("query")).where("query IS NOT NULL"), "vector-queries", QUERIES)
-        visits = held(self.visits(queries, limit, kind, pivots), "vector-visits")
+        stretches = self.stretches()
+        visits = self.visits(queries, limit, kind, pivots, stretches)
         groups = max(1, -(-queries.count() // QUERIES))
-        deal = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int")
-        ours = visits.join(queries, "qid").select("generation", "cell", "part", deal.alias("deal"), "qid", "query", "bound")
-        blocks = self.blocks().join(visits.select("generation", "cell", "part").distinct(), ["generation", "cell", "part"], "left_semi")
-        theirs = blocks.select("generation", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("deal"), "keys", "vectors")
-        keys = ["generation", "cell", "part", "deal"]
+        ours = visits.select("cell", "turn", F.pmod(F.xxhash64("qid", "query"), F.lit(groups)).cast("int").alias("deal"), "qid", "query", "bound")
+        visited = held(stretches.join(held(visits.select("cell", "turn").distinct(), "vector-visited"), ["cell", "turn"]).select("generation", "cell", "part", "turn"), "vector-visits")
+        names, blocks, hidden = ["generation", "cell", "part"], self.blocks(), self._hidden()
+        if hidden is not None:  # replaced vectors are left out before the best are kept
+            blocks = self._without(blocks, stored(hidden, "vectors-hidden"), names, dim)
+        theirs = blocks.join(visited, names).select("cell", "turn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("deal"), "keys", "vectors")
+        keys = ["cell", "turn", "deal"]
         kinds = [to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(self.blocks().schema["keys"].dataType.elementType)]
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            found = [], [], []
+            out = [pa.array([], k) for k in (*kinds, pa.float64())]
             if len(left) and len(right):
-                left = left.combine_chunks()
-                q, bound, ids = _matrix(left.column("query").combine_chunks(), dim), left.column("bound").to_numpy(), np.array(left.column("qid").to_pylist(), object)
-                v = _matrix(pa.array([right.column("vectors")[0].as_py()], pa.list_(pa.float32())), dim * len(right.column("keys")[0])).reshape(-1, dim)
-                names = np.array(right.column("keys")[0].as_py(), object)
-                for k in range(0, len(q), 64):
-                    x, y, value = _kept(q[k : k + 64], v, bound[k : k + 64], limit, kind)
-                    for out, part in zip(found, (ids[k + x], names[y], value), strict=True):
-                        out.extend(part.tolist())
-            return pa.table([pa.array(found[0], kinds[0]), pa.array(found[1], kinds[1]), pa.array(found[2], pa.float64()), pa.array([generation_of(right)] * len(found[0]), pa.string())], ["qid", "key", "value", "generation"])
-
-        def generation_of(right: pa.Table) -> str | None:
-            return right.column("generation")[0].as_py() if len(right) else None
-
-        hidden = self._hidden()
-        if hidden is None:
-            met = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, f"qid {qid}, key {self.kind}, value double, generation string")
-        else:  # replaced vectors are left out before the best are kept
-            gone = stored(hidden, "vectors-hidden")
-            theirs = self._without(theirs, gone, keys, dim)
-            met = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, f"qid {qid}, key {self.kind}, value double, generation string")
+                names, flat = (right.column(c).combine_chunks().flatten() for c in ("keys", "vectors"))
+                order = pc.sort_indices(names)  # so that ties go to the smaller key
+                names, v = names.take(order), flat.to_numpy().reshape(-1, dim)[order.to_numpy()].astype(np.float64)
+                q, bound = _matrix(left.column("query").combine_chunks(), dim), left.column("bound").to_numpy()
+                most = max(1, STRETCH // len(v))
+                found = [(k, *_kept(q[k : k + most], v, bound[k : k + most], limit, kind)) for k in range(0, len(q), most)]
+                x, y, value = (np.concatenate(c) for c in zip(*[(k + x, y, value) for k, x, y, value in found], strict=True))
+                out = [left.column("qid").combine_chunks().take(pa.array(x)), names.take(pa.array(y)), pa.array(value)]
+            return pa.Table.from_arrays(out, ["qid", "key", "value"])
+
+        met = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, f"qid {qid}, key {self.kind}, value double")
         first = F.row_number().over(Window.partitionBy("qid").orderBy("value" if kind == "l2" else F.desc("value"), "key"))
         return met.withColumn("rank", first).where(F.col("rank") <= limit).select("qid", F.col("key").alias(self.key), "value", "rank")
 
@@ -229,45 +226,68 @@ class VectorTable:
         cut = F.flatten(F.transform("stay", lambda k: F.slice("vectors", k * dim + 1, dim)))
         return rows.select(*keys, F.when(F.size("gone") == 0, F.col("keys")).otherwise(F.transform("stay", lambda k: F.get("keys", k))).alias("keys"), F.when(F.size("gone") == 0, F.col("vectors")).otherwise(cut).alias("vectors"))
 
-    def visits(self, queries: DataFrame, limit: int, kind: str, pivots: np.ndarray) -> DataFrame:
-        """qid, generation, cell, part, bound: the blocks that can hold one of a query's nearest, which are at most `bound` away."""
-        bounds = self.blocks().select("generation", "cell", "part", "n", "least", "greatest")
-        if kind != "l2":
-            return queries.select("qid", F.lit(None).cast("double").alias("bound")).crossJoin(held(bounds.select("generation", "cell", "part"), "vector-blocks"))
+    def stretches(self) -> DataFrame:
+        """The blocks' numbers (generation, cell, part, n, least, greatest) and the turn of each block's stretch in its cell, by distance to the pivot."""
+        most = max(1, STRETCH // (self.block * self.metadata()["dimensions"]))
+        place = F.row_number().over(Window.partitionBy("cell").orderBy("least", "generation", "part")) - 1  # a row a block
+        return held(self.blocks().select("generation", "cell", "part", "n", "least", "greatest", F.floor(place / most).cast("int").alias("turn")), "vector-stretches")
+
+    def visits(self, queries: DataFrame, limit: int, kind: str, pivots: np.ndarray, stretches: DataFrame | None = None) -> DataFrame:
+        """qid, query, cell, turn, bound: the stretches that can hold one of a query's nearest, which are at most `bound` away; for dot products all."""
         replaced = self.metadata()["rows"] - self.table.read("keys", f"key {self.kind}").select("key").distinct().count() if len(self.table.committed()) > 1 else 0
-        cells = bounds.groupBy("cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")).collect()  # a row a pivot
-        number, counts, least, greatest = (np.array([r[k] for r in cells]) for k in ("cell", "n", "least", "greatest"))
+        every = self.stretches() if stretches is None else stretches
+        every = every.groupBy("cell", "turn").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")).collect()  # a row a stretch
+        cell, turn, counts, least, greatest = (np.array([r[k] for r in every]) for k in ("cell", "turn", "n", "least", "greatest"))
         kinds, dim = to_arrow_type(queries.schema["qid"].dataType), pivots.shape[1]
         enough = limit + replaced  # as many vectors hold `limit` that count
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                away = _far(_matrix(batch.column(1), dim), pivots)[:, number]
-                reach = np.take_along_axis(away + greatest, order := np.argsort(away + greatest, 1), 1)
-                sums = np.cumsum(counts[order], 1)
-                full = sums >= enough
-                bound = np.where(full.any(1), reach[np.arange(len(away)), full.argmax(1)], np.inf) + 1e-5
-                row, cell = np.nonzero(np.maximum(away - greatest, least - away) <= bound[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)).cast(kinds), pa.array(number[cell], pa.int32()), pa.array(away[row, cell]), pa.array(bound[row])], ["qid", "cell", "away", "bound"])
+            for part in (b.slice(k, QUERIES) for b in batches for k in range(0, len(b), QUERIES)):
+                bound = np.full(len(part), np.inf)
+                beyond = np.zeros((len(part), len(cell)), bool)
+                if kind == "l2":
+                    away = _far(_matrix(part.column(1), dim), pivots)[:, cell]
+                    reach = np.take_along_axis(away + greatest, order := np.argsort(away + greatest, 1), 1)
+                    full = np.cumsum(counts[order], 1) >= enough
+                    bound = np.where(full.any(1), reach[np.arange(len(away)), full.argmax(1)], np.inf) + 1e-5
+                    beyond = np.maximum(away - greatest, least - away) > bound[:, None]
+                row, at = np.nonzero(~beyond)
+                own = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column(0).cast(kinds), own.column(1), pa.array(cell[at], pa.int32()), pa.array(turn[at], pa.int32()), pa.array(bound[row])], ["qid", "query", "cell", "turn", "bound"])
 
         qid = queries.schema["qid"].dataType.simpleString()
-        met = queries.mapInArrow(near, f"qid {qid}, cell int, away double, bound double")
-        return met.join(held(bounds, "vector-bounds"), "cell").where("greatest(away - greatest, least - away) <= bound").select("qid", "generation", "cell", "part", "bound")
+        return queries.select("qid", "query").mapInArrow(near, f"qid {qid}, query array<double>, cell int, turn int, bound double")
 
 
 def _kept(q: np.ndarray, v: np.ndarray, bound: np.ndarray, limit: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries and vectors, and values, of each query's best `limit` (with ties) within its bound."""
+    """Places of queries and vectors, and values, of each query's best `limit` within its bound; of equal values the first vectors stay."""
+    last = lambda far: np.partition(far, limit - 1, 1)[:, limit - 1] if limit <= len(v) else np.full(len(q), np.inf)
     if kind == "dot":
         value = np.round(q @ v.T, 9)
+        x, y = np.nonzero((-value <= last(-value)[:, None]) & np.isfinite(value))
+        value = value[x, y]
         sign = -value
     else:
-        value = sign = np.round(np.sqrt(((q[:, None] - v) ** 2).sum(2)), 6)
-        sign = np.where(value <= bound[:, None], sign, np.inf)
-    last = np.partition(sign, limit - 1, 1)[:, limit - 1 : limit] if limit <= v.shape[0] else np.full((len(q), 1), np.inf)
-    x, y = np.nonzero((sign <= last) & np.isfinite(sign))
-    return x, y, value[x, y]
+        # squares by one product, off by little, tell which pairs' distances are worked out by differences
+        ours, theirs = (q * q).sum(1), (v * v).sum(1)
+        off = (q.shape[1] + 8) * 1e-15 * (ours + theirs[np.isfinite(theirs)].max(initial=0))
+        square = q @ v.T
+        square *= -2
+        square += ours[:, None]
+        square += theirs
+        np.fmin(square, np.inf, out=square)  # not a number counts as farthest
+        upper = np.fmin(np.sqrt(np.maximum(last(square), 0) + off), bound) + 2e-6  # rounding moves both by half a millionth
+        x, y = np.nonzero(square <= ((upper * upper) * (1 + 1e-12) + off)[:, None])
+        step = max(1, STRETCH // v.shape[1])
+        pieces = [np.round(np.sqrt(((q[x[k : k + step]] - v[y[k : k + step]]) ** 2).sum(1)), 6) for k in range(0, len(x), step)]
+        value = np.concatenate([np.empty(0), *pieces])
+        stay = value <= bound[x]
+        x, y, value = x[stay], y[stay], value[stay]
+        sign = value
+    order = np.lexsort((y, sign, x))
+    x, y, value = x[order], y[order], value[order]
+    first = np.arange(len(x)) - np.searchsorted(x, x) < limit
+    return x[first], y[first], value[first]
 
 
 def of_table(spark: SparkSession, table: str, vectors: DataFrame, key: str = "vec_id", model: str = "given") -> VectorTable:

@@ -125,6 +125,30 @@ def test_vector_table_gives_the_nearest_of_all(spark, tmp_path):
     assert max(r.c for r in per) < cells and sum(r.b for r in per) < 0.5 * blocks * len(per)
 
 
+def test_many_queries_plan_a_row_a_stretch_and_keep_no_more_than_asked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES", 16)
+    monkeypatch.setattr(vectors, "STRETCH", 4 * 64 * 3)  # 64 blocks of four vectors
+    rng = np.random.default_rng(8)
+    v = (rng.normal(0, 1, (600, 3)) * 1000).round(1).astype(np.float32)
+    v[200:500] = v[200]  # of equal distances more than are asked for
+    table = vectors.VectorTable(spark, f"file://{tmp_path}/v", block=4, pivots=1)
+    assert table.write(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>"), "m") == 600
+    queries = spark.createDataFrame([(q, v[q].tolist()) for q in range(0, 600, 10)], "qid int, query array<float>")
+    blocks = table.blocks().count()
+    visits = table.visits(queries.select("qid", F.col("query").cast("array<double>").alias("query")), 5, "l2", table.pivots()).count()
+    assert blocks >= 150 and visits <= 60 * -(-blocks // 64)  # not 60 times all blocks
+    w = v.astype(float)
+    for kind in ("l2", "dot"):
+        value = (lambda q: np.round(np.sqrt(((w - w[q]) ** 2).sum(1)), 6)) if kind == "l2" else (lambda q: -np.round(w @ w[q], 9))
+        got = {(r.qid, r["rank"]): (r.vec_id, r.value) for r in table.nearest(queries, 5, kind).collect()}
+        far = {q: value(q) for q in range(0, 600, 10)}
+        want = {(q, k + 1): (i, far[q][i]) for q in far for k, i in enumerate(np.lexsort((np.arange(600), far[q]))[:5].tolist())}
+        assert {k: i for k, (i, _) in got.items()} == {k: i for k, (i, _) in want.items()}
+        assert all(abs(abs(got[k][1]) - abs(want[k][1])) < 1e-6 * max(1, abs(want[k][1])) for k in want)
+        x, y, _ = vectors._kept(w[:60], w, np.full(60, np.inf), 5, kind)
+        assert np.bincount(x, minlength=60).tolist() == [5] * 60
+
+
 def test_vectors_of_another_kind_are_an_error(spark, tmp_path):
     table = vectors.VectorTable(spark, f"file://{tmp_path}/v")
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
