@@ -70,9 +70,14 @@ def top_rrf(spark, d):
 query("join_rrf_full_outer", f"WITH {_TERMS}, {_KNN}, {_RRF} SELECT qid, id, lexical_rank, semantic_rank FROM fused")(
     lambda spark, d: search.rrf(_lexical(spark, d).withColumnRenamed("doc_id", "id"), _semantic(spark, d).withColumnRenamed("vec_id", "id"), limit=1 << 30).select("qid", "id", "lexical_rank", "semantic_rank")
 )
-query("set_found_by_both", f"WITH {_TERMS}, {_KNN}, {_RRF} SELECT qid, id FROM fused WHERE by_both")(
-    lambda spark, d: _lexical(spark, d).select("qid", F.col("doc_id").alias("id")).intersect(_semantic(spark, d).select("qid", F.col("vec_id").alias("id")))
-)
+
+
+@query("set_found_by_both", f"WITH {_TERMS}, {_KNN}, {_RRF} SELECT qid, id FROM fused WHERE by_both")
+def found_by_both(spark, d):
+    lexical_hits = search.held(_lexical(spark, d).select("qid", F.col("doc_id").alias("id")), "found-lexical")  # the few questions' hits are sent out, not those of all query vectors
+    return _semantic(spark, d).select("qid", F.col("vec_id").alias("id")).join(lexical_hits, ["qid", "id"], "left_semi").distinct()
+
+
 query("set_union_ranks", f"WITH {_TERMS}, {_KNN} SELECT qid, id, round(sum(1 / (60 + rank)), 8) AS score FROM (SELECT qid, doc_id AS id, rank FROM lex UNION ALL SELECT qid, vec_id, rank FROM sem) GROUP BY ALL")(
     lambda spark, d: _lexical(spark, d).select("qid", F.col("doc_id").alias("id"), "rank").unionByName(_semantic(spark, d).select("qid", F.col("vec_id").alias("id"), "rank")).groupBy("qid", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 8).alias("score"))
 )

@@ -149,6 +149,40 @@ def test_many_queries_plan_a_row_a_stretch_and_keep_no_more_than_asked(spark, tm
         assert np.bincount(x, minlength=60).tolist() == [5] * 60
 
 
+def most_broadcast(frame):
+    """The greatest number of rows that a broadcast of an executed frame has sent."""
+
+    def nodes(node):
+        yield node
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        inner += [node.children().apply(k) for k in range(node.children().size())]
+        for child in inner:
+            yield from nodes(child)
+
+    found = [n for n in nodes(frame._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "BroadcastExchangeExec"]
+    return max((n.metrics().apply("numOutputRows").value() for n in found), default=0)
+
+
+def test_hits_of_all_query_vectors_are_not_broadcast(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (5000, 16)).astype(np.float32)
+    ids = [k * 100 if k < 2500 else 1_000_001 + k * 100 for k in range(5000)]
+    spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>").coalesce(4).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k * 50, f"the word {k}") for k in range(60)], "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    frames = {name: registry.QUERIES[name](spark, f"file://{tmp_path}") for name in ("set_found_by_both", "set_union_ranks")}
+    rows = {name: [tuple(r) for r in f.collect()] for name, f in frames.items()}
+    near = {q: [ids[k] for k in np.lexsort((ids, np.round(np.sqrt(((v.astype(float) - v[q - 1].astype(float)) ** 2).sum(1)), 6)))[:40]] for q in range(1, 2501)}
+    first = [k * 50 for k in range(40)]  # equal scores: the smallest ids
+    assert sorted(rows["set_found_by_both"]) == sorted((1, i) for i in near[1] if i in first) and rows["set_found_by_both"]
+    score = Counter({(q, i): 1 / (61 + k) for q, hits in near.items() for k, i in enumerate(hits)})
+    score.update({(1, i): 1 / (61 + k) for k, i in enumerate(first)})
+    assert sorted((q, i, s) for q, i, s in rows["set_union_ranks"]) == sorted((q, i, round(s, 8)) for (q, i), s in score.items())
+    assert {name: most_broadcast(f) <= search.BROADCAST_ROWS for name, f in frames.items()} == dict.fromkeys(frames, True)
+
+
 def test_vectors_of_another_kind_are_an_error(spark, tmp_path):
     table = vectors.VectorTable(spark, f"file://{tmp_path}/v")
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
