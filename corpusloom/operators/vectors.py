@@ -4,8 +4,8 @@ The first write picks pivots among its vectors (one for each block's worth of th
 the pivot into blocks of bounded size that carry their least and greatest distance. For a query at distance d of a pivot no
 vector of a block is nearer than d - greatest or least - d, so blocks beyond the query's bound are not read. The bound comes from counts alone.
 
-Queries and blocks meet by stretch: consecutive blocks of a cell with at most `STRETCH` numbers. A group is one stretch and some `QUERIES` queries, whatever their
-number, and gives each query's best of all the stretch's vectors, so what is planned and shuffled grows with queries times stretches, not blocks.
+Queries and blocks meet by shelf: neighbouring stretches, which are consecutive blocks of a cell, of at most `STRETCH` numbers together. A group is one shelf and some
+`QUERIES` queries, whatever their number, and gives each query's best of all the shelf's vectors, so what is planned and shuffled grows with queries times shelves, not blocks.
 
 A key that is written again replaces its vector: a delta's keys hide those of earlier generations. Dimension and model are
 part of the stored metadata, and writing other ones is an error.
@@ -30,8 +30,10 @@ from .tables import Generations, kept_root
 
 #: Vectors of a block, queries of a group, pivots at most.
 VECTORS, QUERIES, PIVOTS = 1024, 2048, 64
-#: Numbers of a stretch's vectors; distances, or numbers of pairs, that a task holds at once.
+#: Numbers of a shelf's vectors; distances, or numbers of pairs, that a task holds at once.
 STRETCH = 1 << 21
+#: Shelves of a table that could do with fewer, so that tasks share it.
+SPREAD = 8
 
 
 class Mismatch(ValueError):
@@ -191,13 +193,13 @@ class VectorTable:
         stretches = self.stretches()
         visits = self.visits(queries, limit, kind, pivots, stretches)
         groups = max(1, -(-queries.count() // QUERIES))
-        ours = visits.select("cell", "turn", F.pmod(F.xxhash64("qid", "query"), F.lit(groups)).cast("int").alias("deal"), "qid", "query", "bound")
-        visited = held(stretches.join(held(visits.select("cell", "turn").distinct(), "vector-visited"), ["cell", "turn"]).select("generation", "cell", "part", "turn"), "vector-visits")
+        ours = visits.where("lead").select("shelf", F.pmod(F.xxhash64("qid", "query"), F.lit(groups)).cast("int").alias("deal"), "qid", "query", "bound")
+        visited = held(stretches.join(held(visits.select("cell", "turn", "shelf").distinct(), "vector-visited"), ["cell", "turn"]).select("generation", "cell", "part", "shelf"), "vector-visits")
         names, blocks, hidden = ["generation", "cell", "part"], self.blocks(), self._hidden()
         if hidden is not None:  # replaced vectors are left out before the best are kept
             blocks = self._without(blocks, stored(hidden, "vectors-hidden"), names, dim)
-        theirs = blocks.join(visited, names).select("cell", "turn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("deal"), "keys", "vectors")
-        keys = ["cell", "turn", "deal"]
+        theirs = blocks.join(visited, names).select("shelf", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("deal"), "keys", "vectors")
+        keys = ["shelf", "deal"]
         kinds = [to_arrow_type(queries.schema["qid"].dataType), to_arrow_type(self.blocks().schema["keys"].dataType.elementType)]
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -226,18 +228,29 @@ class VectorTable:
         cut = F.flatten(F.transform("stay", lambda k: F.slice("vectors", k * dim + 1, dim)))
         return rows.select(*keys, F.when(F.size("gone") == 0, F.col("keys")).otherwise(F.transform("stay", lambda k: F.get("keys", k))).alias("keys"), F.when(F.size("gone") == 0, F.col("vectors")).otherwise(cut).alias("vectors"))
 
+    def _room(self) -> int:
+        """Vectors of a shelf, or of a stretch but for its last block: by vectors, as blocks that a partition's end cut off are small."""
+        meta = self.metadata()
+        return max(1, min(STRETCH // meta["dimensions"], -(-meta["rows"] // SPREAD)))
+
     def stretches(self) -> DataFrame:
         """The blocks' numbers (generation, cell, part, n, least, greatest) and the turn of each block's stretch in its cell, by distance to the pivot."""
-        most = max(1, STRETCH // (self.block * self.metadata()["dimensions"]))
-        place = F.row_number().over(Window.partitionBy("cell").orderBy("least", "generation", "part")) - 1  # a row a block
-        return held(self.blocks().select("generation", "cell", "part", "n", "least", "greatest", F.floor(place / most).cast("int").alias("turn")), "vector-stretches")
+        before = F.sum("n").over(Window.partitionBy("cell").orderBy("least", "generation", "part").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+        return held(self.blocks().select("generation", "cell", "part", "n", "least", "greatest", F.floor(F.coalesce(before, F.lit(0)) / self._room()).cast("int").alias("turn")), "vector-stretches")
 
     def visits(self, queries: DataFrame, limit: int, kind: str, pivots: np.ndarray, stretches: DataFrame | None = None) -> DataFrame:
-        """qid, query, cell, turn, bound: the stretches that can hold one of a query's nearest, which are at most `bound` away; for dot products all."""
+        """qid, query, cell, turn, shelf, lead, bound: the stretches that can hold one of a query's nearest, which are at most `bound` away; for dot products all. One of a query and shelf leads."""
         replaced = self.metadata()["rows"] - self.table.read("keys", f"key {self.kind}").select("key").distinct().count() if len(self.table.committed()) > 1 else 0
         every = self.stretches() if stretches is None else stretches
-        every = every.groupBy("cell", "turn").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")).collect()  # a row a stretch
+        every = every.groupBy("cell", "turn").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+        every = sorted(every.collect(), key=lambda r: (r.cell, r.turn))  # a row a stretch
         cell, turn, counts, least, greatest = (np.array([r[k] for r in every]) for k in ("cell", "turn", "n", "least", "greatest"))
+        shelf, used, room = [], 0, self._room()
+        for r in every:
+            new = used > 0 and used + r.n > room
+            shelf.append(shelf[-1] + new if shelf else 0)
+            used = r.n if new else used + r.n
+        shelf = np.array(shelf)
         kinds, dim = to_arrow_type(queries.schema["qid"].dataType), pivots.shape[1]
         enough = limit + replaced  # as many vectors hold `limit` that count
 
@@ -252,11 +265,12 @@ class VectorTable:
                     bound = np.where(full.any(1), reach[np.arange(len(away)), full.argmax(1)], np.inf) + 1e-5
                     beyond = np.maximum(away - greatest, least - away) > bound[:, None]
                 row, at = np.nonzero(~beyond)
-                own = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([own.column(0).cast(kinds), own.column(1), pa.array(cell[at], pa.int32()), pa.array(turn[at], pa.int32()), pa.array(bound[row])], ["qid", "query", "cell", "turn", "bound"])
+                own, place = part.take(pa.array(row)), row * len(cell) + shelf[at]
+                numbers = [pa.array(c, pa.int32()) for c in (cell[at], turn[at], shelf[at])]
+                yield pa.RecordBatch.from_arrays([own.column(0).cast(kinds), own.column(1), *numbers, pa.array(np.diff(place, prepend=-1) > 0), pa.array(bound[row])], ["qid", "query", "cell", "turn", "shelf", "lead", "bound"])
 
         qid = queries.schema["qid"].dataType.simpleString()
-        return queries.select("qid", "query").mapInArrow(near, f"qid {qid}, query array<double>, cell int, turn int, bound double")
+        return queries.select("qid", "query").mapInArrow(near, f"qid {qid}, query array<double>, cell int, turn int, shelf int, lead boolean, bound double")
 
 
 def _kept(q: np.ndarray, v: np.ndarray, bound: np.ndarray, limit: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
